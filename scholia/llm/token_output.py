@@ -25,6 +25,8 @@ LAYOUT = {
     "parquet.page.size": str(128 << 10),
     "parquet.page.row.count.limit": "2000",
 }
+#: Files whose first places are broadcast at most (12 bytes each).
+FILES = 1_000_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -63,12 +65,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> N
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids of each document; columns and rows that aren't asked for aren't read.
 
-    The files' first places are the running total of one row per file.
+    The files' first places are the running total of one row per file, broadcast up to FILES of them.
     """
     rows = spark.read.schema(SCHEMA).parquet(folder)
     files = rows.groupBy("part").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    files = F.broadcast(files) if rows.select("part").distinct().count() <= FILES else files
     return rows.join(files, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of one worker's cache, and how many of the first seen (the most frequent, mostly) outlive a clearing.
-BOUND, STAY = 500_000, 100_000
+BOUND, STAY = 1_200_000, 200_000
 #: Letters up to here have lower-case forms of one letter and are in normal form C.
 PLAIN_END = "İ"
 
@@ -40,11 +40,14 @@ class WordEncoder(Bounded):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # The same merges for stems that are normal already and hold letters only.
+        self.stems = Tokenizer(self.tokenizer.model)
+        self.stems.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -64,19 +67,20 @@ class WordEncoder(Bounded):
         known = {stem: self[stem] for stem in new if stem in self}
         letters = [stem for stem in new if stem not in known and plain(stem)]
         if letters:
-            ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.stems.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(letters):
                 flat, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
                 known.update((stem, flat[at[i] : at[i + 1]]) for i, stem in enumerate(letters))
         known.update((stem, self.whole(stem)) for stem in new if stem not in known)
+        self.update(known)
         for word, (stem, tail) in stems.items():
             self[word] = known[stem] + (known[tail] if tail else b"")
 
     def encode(self, batch: list[str]) -> list[bytes]:
         self.room()
         split = [None if self.odd.search(text) else text.split() for text in batch]
-        new = set().union(*(words for words in split if words)) - self.keys()
+        new = set(filterfalse(self.__contains__, chain.from_iterable(filter(None, split))))
         if new:
             self.learn(new)
         get = self.__getitem__
