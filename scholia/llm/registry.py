@@ -5,9 +5,10 @@ from __future__ import annotations
 from .fingerprints import op10_fingerprints
 from .mixing import op5_mixing
 from .quality import op2_quality
+from .sentencepiece_fst import op3_sentencepiece
 from .sharding import op7_sharding
 from .token_counts import op8_token_counts
 from .token_output import op1_token_output
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality, op5_mixing, op7_sharding, op8_token_counts, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality, op3_sentencepiece, op5_mixing, op7_sharding, op8_token_counts, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
