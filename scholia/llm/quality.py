@@ -129,19 +129,24 @@ def _summed(rows: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
     return total
 
 
-def fit(stats: DataFrame, labels: DataFrame, learn: F.Column, seed: int = SEED) -> Model:
-    """Learn from rows of labels (doc_id, y) where learn holds; learn is a condition on doc_id.
+def learnable(labels: DataFrame, learn: F.Column, seed: int = SEED) -> DataFrame:
+    """doc_id and y of about LABELLED rows of labels (doc_id, y) at most, of those where learn holds.
 
-    A fifth of those rows, by a hash, calibrates; the others give the normal equations. Rows without a label, and
-    labels without a document, are left out; one doc_id with several labels counts once, with the mean rounded. Without
-    any label the score is 0.5, with labels of one kind their share.
+    Rows without an id or a label are left out; one doc_id with several labels counts once, with the mean rounded.
     """
     labels = labels.where(learn & F.col("y").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg("y")).alias("y"))
-    n = labels.count()
-    share = min(1.0, LABELLED / max(1, n))
+    share = min(1.0, LABELLED / max(1, labels.count()))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    labels = labels.where(unit < share)
-    rows = stats.dropDuplicates(["doc_id"]).join(labels, "doc_id").select("doc_id", "stats", "y")
+    return labels.where(unit < share)
+
+
+def fit(stats: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
+    """Learn from the rows of stats that labels (learnable) has.
+
+    A fifth of them, by a hash, calibrates; the others give the normal equations. Labels without a document are left
+    out. Without any label the score is 0.5, with labels of one kind their share.
+    """
+    rows = stats.join(F.broadcast(labels), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "stats", "y")
     rows = written(rows.coalesce(32), "quality-labelled")
     for_fit = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)) > 0
     moments = _summed(rows, lambda x, y: np.vstack([x.sum(0), (x * x).sum(0), np.full(N_STATS, len(x)), np.full(N_STATS, y.sum())]), (4, N_STATS))
@@ -187,14 +192,32 @@ def fold() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
+def _labels(labels: DataFrame) -> DataFrame:
+    return learnable(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")), fold() != 0)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs; a null doc_id is not held out."""
+    """doc_id, held_out, score and predicted of every row of docs (null text: empty); a null doc_id is not held out."""
     stats = written(statistics_table(docs), "quality-stats")
-    model = fit(stats, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")), fold() != 0)
+    model = fit(stats, _labels(labels))
     held = F.coalesce(fold() == 0, F.lit(False))
     return scored(stats, model).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs with a score of threshold or more, with the same columns: one map once the model is there."""
+    prepare(docs.sparkSession)
+    known = _labels(labels)
+    model = fit(statistics_table(docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")), known)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([statistics(x or "") for x in batch.column("text").to_pylist()], float).reshape(-1, N_STATS)
+            yield batch.filter(pa.array(model.score(rows) >= threshold)) if batch.num_rows else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learnt from labels.quality outside the held-out fold."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
