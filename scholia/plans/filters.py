@@ -49,7 +49,7 @@ def flt_keywords(t: Tables) -> DataFrame:
 
 
 @query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 10 THEN 'A:' || p_brand END, CASE WHEN trim(p_name) <> '' THEN 'B:' || p_name END,
-CASE WHEN p_retailprice > 1000 THEN 'C:' || p_type END], x -> x IS NOT NULL), '|') AS choices FROM part""")
+CASE WHEN p_retailprice > 1000 THEN 'C:' || p_type END], lambda x: x IS NOT NULL), '|') AS choices FROM part""")
 def flt_choices(t: Tables) -> DataFrame:
     """Wide choice columns to a list of those that aren't blank, in order."""
     wide = F.array(*[F.when(c, F.struct(F.lit(k).alias("title"), F.col(v).alias("choice"))) for k, v, c in (("A", "p_brand", F.col("p_size") > 10), ("B", "p_name", F.trim("p_name") != ""), ("C", "p_type", F.col("p_retailprice") > 1000))])
