@@ -42,8 +42,8 @@ def parsed_options(block: Column) -> Column:
     """Letter-to-text map of lines that start with a letter A to J and a mark or a space; of equal letters the last."""
     line = r"(?m)^[ \t]*([A-J])[.:、)）． \t]+([^\n]+)$"
     pairs = F.arrays_zip(F.regexp_extract_all(block, F.lit(line), 1).alias("k"), F.regexp_extract_all(block, F.lit(line), 2).alias("v"))
-    last = F.filter(pairs, lambda p: F.element_at(F.filter(pairs, lambda q: q["0"] == p["0"]), -1)["1"] == p["1"])
-    distinct = F.array_distinct(F.transform(last, lambda p: F.struct(p["0"].alias("key"), F.trim(p["1"]).alias("value"))))
+    last = F.filter(pairs, lambda p: F.element_at(F.filter(pairs, lambda q: q["k"] == p["k"]), -1)["v"] == p["v"])
+    distinct = F.array_distinct(F.transform(last, lambda p: F.struct(p["k"].alias("key"), F.trim(p["v"]).alias("value"))))
     return F.map_from_entries(distinct)
 
 
