@@ -25,7 +25,7 @@ def finite(x: Column, default: float = 0.0) -> Column:
 
 def exact(x: Column) -> Column:
     """A double by its shortest decimal form."""
-    return x.cast("string").cast("decimal(38,10)")
+    return x.cast("string").cast("decimal(22,8)")
 
 
 def divided(a: Column, b: Column, places: int = 10) -> Column:
