@@ -50,35 +50,38 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def equal_groups(docs: DataFrame, marks: DataFrame | None = None) -> DataFrame:
-    """doc_id, fingerprint and group_id (the group's smallest doc_id) of every row of docs.
+    """fingerprint and group_id (the group's smallest doc_id) of every row of docs, with doc_id and marks' columns.
 
-    marks (doc_id, fingerprint) may be given where they are known. Fingerprints are grouped without texts; only rows
-    of buckets with several rows go through the byte comparison, and equal bytes meet by map-side aggregation, so a
-    bucket may hold any share of the rows. The ids of such rows are broadcast up to BROADCAST_IDS, else joined. Rows
-    with a null id are alone, with a null group. No rows give no rows.
+    marks (doc_id, fingerprint and any others) may be given where they are known. Fingerprints are grouped without
+    texts; only rows of buckets with several rows go through the byte comparison, and equal bytes meet by map-side
+    aggregation, so a bucket may hold any share of the rows. Ids and buckets are broadcast up to BROADCAST_IDS, else
+    joined. Rows with a null id are alone, with a null group. No rows give no rows.
     """
     marks = written(fingerprints(docs), "fingerprints") if marks is None else marks
-    marks = marks.select("doc_id", "fingerprint")
-    several = marks.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    ids = written(marks.where("doc_id is not null").join(several, "fingerprint", "left_semi").select("doc_id").distinct(), "several-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    own = marks.where("doc_id is not null").select("doc_id", "fingerprint")
+    several = own.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    ids = written(own.join(several, "fingerprint", "left_semi").select("doc_id").distinct(), "several-ids")
+    few = ids.count() <= BROADCAST_IDS
 
     def canon(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [canonical(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([fingerprint(x) for x in own]), pa.array(own, pa.binary())], ["doc_id", "fingerprint", "bytes"])
 
-    full = texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(canon, "doc_id long, fingerprint string, bytes binary")
-    classes = full.groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n"))
-    # Buckets that hold different bytes are found without them; hardly any bucket does.
-    classes = written(classes.withColumn("check", F.sha2("bytes", 256)).drop("bytes"), "equal-classes")
-    split = classes.groupBy("fingerprint").agg(F.count("*").alias("kinds"), F.min("group_id").alias("group_id"))
-    plain = marks.join(split.where("kinds = 1").select("fingerprint", "group_id"), "fingerprint", "left")
-    odd = split.where("kinds > 1").select("fingerprint")
-    plain = plain.join(F.broadcast(odd), "fingerprint", "left_anti") if odd.count() <= BROADCAST_IDS else plain.join(odd, "fingerprint", "left_anti")
-    plain = plain.select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.coalesce("group_id", "doc_id")).alias("group_id"))
-    by_bytes = full.join(odd, "fingerprint", "left_semi").withColumn("check", F.sha2("bytes", 256)).drop("bytes").join(classes.select("fingerprint", "check", "group_id"), ["fingerprint", "check"])
-    return plain.unionByName(by_bytes.select("doc_id", "fingerprint", "group_id"))
+    full = texts(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(canon, "doc_id long, fingerprint string, bytes binary")
+    classes = written(full.groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("group_id")).select("fingerprint", F.sha2("bytes", 256).alias("check"), "group_id"), "equal-classes")
+    # Nearly all buckets hold one kind of bytes; rows of any other bucket find their kind by their own bytes.
+    kinds = classes.groupBy("fingerprint").agg(F.count("*").alias("kinds"), F.min("group_id").alias("group_id"))
+    odd = kinds.where("kinds > 1").select("fingerprint")
+    by_bucket = kinds.select("fingerprint", F.when(F.col("kinds") == 1, F.col("group_id")).alias("same"))
+    out = marks.join(F.broadcast(by_bucket) if few else by_bucket, "fingerprint", "left")
+    by_row = F.lit(None).cast("long")
+    if not odd.isEmpty():
+        rows = full.join(odd, "fingerprint", "left_semi").select("doc_id", "fingerprint", F.sha2("bytes", 256).alias("check"))
+        rows = rows.join(classes, ["fingerprint", "check"]).groupBy("doc_id").agg(F.min("group_id").alias("odd_group"))
+        out, by_row = out.join(rows, "doc_id", "left"), F.col("odd_group")
+    group = F.when(F.col("doc_id").isNotNull(), F.coalesce(by_row, "same", "doc_id"))
+    return out.select(*marks.columns, group.alias("group_id"))
 
 
 def compared(text: str, canon: bytes, after: str, after_canon: bytes) -> tuple:
@@ -148,6 +151,4 @@ COMPARED = {"n_chars": "long", "edited_sha256": "string", "fingerprint": "string
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, compared with those of edited and next texts, and their groups."""
     docs = table(spark, sf_dir, "documents")
-    rows = written(compared_with_next(docs), "fingerprint-rows")
-    groups = equal_groups(docs, rows).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
-    return rows.join(groups, rows.doc_id.eqNullSafe(groups.doc_id)).drop(groups.doc_id)
+    return equal_groups(docs, written(compared_with_next(docs), "fingerprint-rows"))

@@ -37,7 +37,7 @@ def targets_of(sizes: Sequence[int], weights: Sequence[float], cap: float) -> li
                 shares[i] = per * weights[i]
             break
         for i in full:
-            shares[i] = cap * sizes[i]
+            shares[i] = float(cap * sizes[i])
         open_ -= full
         left = total - sum(shares[i] for i in range(len(sizes)) if i not in open_)
     return shares
