@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import rowwise as W
 from ..functions import text as T
 from .registry import Tables, query
 
@@ -115,3 +116,22 @@ def mth_scores(t: Tables) -> DataFrame:
     """Half-up division, clamps, levels and a schedule."""
     unit = F.round(N.exact(F.col("l_extendedprice")) / N.exact(F.col("l_quantity")), 4).cast("double")
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", unit.alias("unit"), N.clamp(F.col("l_discount") * 12).alias("share"), N.level(F.col("l_discount") * 10).alias("lvl"), F.round(N.epsilon(F.col("l_linenumber"), 1.0, 0.05, 5), 6).alias("eps"))
+
+
+@query()
+def str_sanitized(t: Tables) -> DataFrame:
+    """Pages as HTML of a few kept tags; the stack of open tags needs Python, in Arrow batches."""
+    return t.pages.select("page_id", W.sanitize("html").alias("clean"), W.unescape(W.escape("url")).alias("url"))
+
+
+@query()
+def str_amounts(t: Tables) -> DataFrame:
+    """Balances in Chinese capitals."""
+    return t.customer.select("c_custkey", "c_acctbal", W.amount_in_words("c_acctbal").alias("words"))
+
+
+@query()
+def txt_recursive_chunks(t: Tables) -> DataFrame:
+    """Whole texts cut at paragraphs, lines, words or characters."""
+    rows = t.documents.select("doc_id", F.posexplode(W.chunked("text")).alias("chunk", "content"))
+    return rows.select("doc_id", "chunk", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("id"), T.collapsed(F.col("content")).alias("content"))

@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scholia.functions import numbers as N
+from scholia.functions import rowwise
 from scholia.functions import text as T
 from scholia.operators import activity, dialogue, relational, retrieval
 
@@ -134,3 +135,25 @@ def test_fusion(spark):
     b = spark.createDataFrame([(1, 11, 1)], "q int, d int, rank int")
     rows = retrieval.fused([a, b], "q", "d", 5).orderBy("rank").collect()
     assert [r.d for r in rows] == [11, 10] and abs(rows[0].score - (1 / 101 + 1 / 102)) < 1e-9
+
+
+@pytest.mark.parametrize(("x", "words"), [(0.0, "零元整"), (1.0, "壹元整"), (10.5, "壹拾元伍角"), (1001.03, "壹仟零壹元叁分"), (-120000.0, "负壹拾贰万元整"), (100000001.0, "壹亿零壹元整"), (0.05, "伍分")])
+def test_amounts(x, words):
+    assert rowwise.capital_amount(x) == words
+
+
+def test_rowwise():
+    for text in ("a b", "é中\U0001f600%", ""):
+        assert rowwise.unescaped(rowwise.escaped(text)) == text
+    assert rowwise.escaped("a 中") == "a%20%u4E2D"
+    assert rowwise.sanitized('<b>x<script>y</script><a href="javascript:z" target="t">k</b><!-- c -->') == '<b>xy<a target="t">k</a></b>'
+    assert rowwise.decision('```json\n{"approved": true, "reason": ""}\n```') is True
+    assert rowwise.decision('{"approved": true, "approved": false, "reason": ""}') is None
+    assert rowwise.decision('{"approved": 1, "reason": ""}') is None and rowwise.decision(None) is None
+
+
+def test_recursive_chunks():
+    text = "\n\n".join(" ".join(f"word{i}{j}" for j in range(40)) for i in range(12))
+    chunks = rowwise.recursive_chunks(text, 500, 100)
+    assert all(0 < len(c) <= 500 for c in chunks) and all(w in " ".join(chunks) for w in text.split())
+    assert rowwise.recursive_chunks("", 10, 2) == [] and rowwise.recursive_chunks("x" * 25, 10, 2) == ["x" * 10, "x" * 10, "x" * 9]
