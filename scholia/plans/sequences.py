@@ -134,18 +134,18 @@ def stm_likes(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", "event_type").agg((F.max_by("event_id", F.struct("ts", "event_id")) % 2 == 0).alias("liked"))
 
 
-STEP = """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 51 AS m, l_discount * 5 AS c, (l_suppkey % 10) / 10 AS e, l_tax * 8 AS f, l_partkey % 3 AS p, l_suppkey % 3 AS a, l_orderkey % 3 AS d, l_linenumber % 3 AS y FROM lineitem),
+STEP = """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 51 AS m, l_discount * 5 / 1.03::DOUBLE AS c, (l_suppkey % 10) / 10.3::DOUBLE AS e, l_tax * 8 / 1.07::DOUBLE AS f, l_partkey % 3 AS p, l_suppkey % 3 AS a, l_orderkey % 3 AS d, l_linenumber % 3 AS y FROM lineitem),
 t AS (SELECT *, CASE WHEN y = [1, 0, 2][p + 1] THEN 1.0::DOUBLE ELSE 0.82::DOUBLE END AS fits, greatest(0.45::DOUBLE, 1 - 0.25::DOUBLE * abs(d - CASE WHEN m < 0.35 THEN 0 WHEN m < 0.75 THEN 1 ELSE 2 END)) AS apt FROM s),
 u AS (SELECT *, greatest(0, least(1, m + [0.27, 0.23, 0.31][p + 1]::DOUBLE * fits * apt * (0.5 + 0.5 * e) * (1 - 0.65 * f) * (1 - 0.35 * c) * (1 - m) * CASE WHEN a = 2 THEN 0.85::DOUBLE ELSE 1 END)) AS m2,
 greatest(0, least(1, c - [0.04, 0.05, 0.14][a + 1]::DOUBLE * fits)) AS c2, greatest(0, least(1, f + [-0.04, 0.025, 0.065][d + 1]::DOUBLE + [-0.025, 0, 0.025][y + 1]::DOUBLE)) AS f2 FROM t),
 v AS (SELECT *, greatest(0, least(1, e + CASE WHEN fits = 1 THEN 0.025 ELSE -0.025 END::DOUBLE + CASE WHEN apt = 1 THEN 0.01 ELSE -0.015 END::DOUBLE - 0.015 * f2)) AS e2 FROM u)
-SELECT l_orderkey, l_linenumber, l_partkey, round(m2, 9) AS mastery, round(c2, 9) AS misconception, round(e2, 9) AS engagement, round(f2, 9) AS fatigue, round(greatest(0, least(1, m2 * (1 - 0.4 * c2))), 9) AS assessment,
-round(greatest(-1, least(1, (8 * (m2 - m) + 2 * (c - c2) + 0.5 * (e2 - e) - 0.5 * greatest(0, f2 - f) - 0.08 + CASE WHEN a = 0 THEN 0.8 ELSE 0 END) / 5)), 9) AS reward FROM v"""
+SELECT l_orderkey, l_linenumber, l_partkey, round(m2, 6) AS mastery, round(c2, 6) AS misconception, round(e2, 6) AS engagement, round(f2, 6) AS fatigue, round(greatest(0, least(1, m2 * (1 - 0.4 * c2))), 6) AS assessment,
+round(greatest(-1, least(1, (8 * (m2 - m) + 2 * (c - c2) + 0.5 * (e2 - e) - 0.5 * greatest(0, f2 - f) - 0.08 + CASE WHEN a = 0 THEN 0.8 ELSE 0 END) / 5)), 6) AS reward FROM v"""
 
 
 @query(STEP)
 def sim_step(t: Tables) -> DataFrame:
     """A learner's state and reward after one action, without noise."""
     c = F.col
-    after = C.step(c("l_quantity") / 51, c("l_discount") * 5, c("l_suppkey") % 10 / 10, c("l_tax") * 8, c("l_partkey") % 3, c("l_suppkey") % 3, c("l_orderkey") % 3, c("l_linenumber") % 3)
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(x, 9).alias(name) for name, x in after.items()])
+    after = C.step(c("l_quantity") / 51, c("l_discount") * 5 / 1.03, c("l_suppkey") % 10 / 10.3, c("l_tax") * 8 / 1.07, c("l_partkey") % 3, c("l_suppkey") % 3, c("l_orderkey") % 3, c("l_linenumber") % 3)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(x, 6).alias(name) for name, x in after.items()])
