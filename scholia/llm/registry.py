@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op10_fingerprints
 from .mixing import op5_mixing
-from .near_dedup import op9_near_dedup
+from .near_dedup import OP9_SQL, op9_near_dedup
 from .neighbours import op4_neighbours
 from .quality import op2_quality
 from .sentencepiece_fst import op3_sentencepiece
@@ -14,4 +14,4 @@ from .token_counts import op8_token_counts
 from .token_output import op1_token_output
 
 QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality, op3_sentencepiece, op4_neighbours, op5_mixing, op6_suffix_dedup, op7_sharding, op8_token_counts, op9_near_dedup, op10_fingerprints)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_near_dedup": OP9_SQL}
