@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, table, texts, written
@@ -31,6 +31,8 @@ SHIFT = np.array([min(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) for
 RANKED = (LENGTH - 4) // PERIOD * PERIOD
 #: Bytes hashed at a time; bytes of a bucket; ids broadcast at most (8 bytes each).
 PIECE, BUCKET, BROADCAST_IDS = 1 << 20, 4 << 20, 2_000_000
+#: Buckets that one anchor may fill before it goes window by window.
+HOT = 8
 assert RANKED + 4 == LENGTH
 
 
@@ -198,6 +200,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     blocks = placed.groupBy("h", "p", "key").agg(F.first("block").alias("block"), F.count("*").alias("n"))
     total = placed.agg(F.sum(F.length("block"))).first()[0] or 0
     bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-total // BUCKET))))
+    # An anchor whose blocks could overfill a bucket goes window by window instead, so no task holds it whole.
+    hot = placed.groupBy("h").agg(F.sum(F.length("block")).alias("size")).where(F.col("size") > HOT * BUCKET).select("h")
+    hot = written(hot, "suffix-hot")  # fewer than the corpus' bytes / (HOT * BUCKET)
+    any_hot = not hot.isEmpty()
+    cool = blocks.join(hot, "h", "left_anti") if any_hot else blocks
 
     def sort_bucket(own: pd.DataFrame) -> pd.DataFrame:
         flags = repeated_windows(own["block"].tolist(), own["p"].tolist())
@@ -205,12 +212,35 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         own = own[["h", "p", "key"]].assign(spans=spans)
         return own[[bool(x) for x in spans]].explode("spans").pipe(lambda x: x.assign(first=[s[0] for s in x["spans"]], last=[s[1] for s in x["spans"]]))[["h", "p", "key", "first", "last"]]
 
-    found = blocks.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(sort_bucket, "h long, p int, key binary, first long, last long")
+    found = cool.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(sort_bucket, "h long, p int, key binary, first long, last long")
+    if any_hot:
+        found = found.unionByName(_hot_windows(blocks.join(hot, "h", "left_semi")))
     found = placed.select("doc_id", "a", "h", "p", "key").join(found, ["h", "p", "key"])
     found = found.select("doc_id", F.struct((F.col("a") + F.col("first")).alias("first"), (F.col("a") + F.col("last")).alias("last")).alias("span"))
     return written(found.groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("spans")), "suffix-spans")
 
 
+def _hot_windows(blocks: DataFrame) -> DataFrame:
+    """What sort_bucket gives, of blocks (h, p, key, block, n), by a 128-bit digest of each window.
+
+    Windows are counted by digest with map-side aggregation, however many blocks hold one.
+    """
+
+    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, p, key, block, n in zip(*(batch.column(x).to_pylist() for x in ("h", "p", "key", "block", "n"))):
+                count = len(block) - LENGTH + 1
+                marks = [hashlib.blake2b(block[i : i + LENGTH], digest_size=16).digest() for i in range(count)]
+                columns = [pa.array([h] * count, pa.int64()), pa.array([p] * count, pa.int32()), pa.array([key] * count, pa.binary()), pa.array(range(count), pa.int64()), pa.array(marks, pa.binary()), pa.array([n] * count, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "p", "key", "w", "mark", "n"])
+
+    rows = blocks.select("h", "p", "key", "block", "n").mapInArrow(windows, "h long, p int, key binary, w long, mark binary, n long")
+    again = rows.groupBy("mark").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("mark")
+    rows = rows.join(again, "mark").select("h", "p", "key", "w")
+    run = F.col("w") - F.row_number().over(Window.partitionBy("h", "p", "key").orderBy("w"))
+    return rows.withColumn("run", run).groupBy("h", "p", "key", "run").agg(F.min("w").alias("first"), F.max("w").alias("last")).drop("run")
+
+
 def covered(spans: list[dict]) -> list[tuple[int, int]]:
     """Maximal runs of bytes (first, end) that the sorted windows cover."""
     out: list[list[int]] = []

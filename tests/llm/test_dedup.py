@@ -132,6 +132,8 @@ def test_repeats_in_periodic_and_shared_texts(spark, monkeypatch):
     check_removed(frame(spark, docs))
     monkeypatch.setattr(suffix_dedup, "BUCKET", 2000)
     check_removed(frame(spark, docs))
+    monkeypatch.setattr(suffix_dedup, "HOT", 0.2)
+    check_removed(frame(spark, docs))
 
 
 def test_pieces_hold_each_window_once(monkeypatch):
