@@ -29,23 +29,10 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 _machines: dict[str, "Transducer"] = {}
 
 
-class Arcs(Bounded):
-    """Whether two neighbouring pieces agree, by (a, b); with "" as a, whether b is what its characters merge to."""
-
-    def __init__(self, machine: "Transducer"):
-        self.machine, self.bound, self.stay = machine, 400_000, 100_000
-
-    def __missing__(self, pair: tuple[str, str]) -> bool:
-        found = self.machine.merged(pair[0] + pair[1]) == [piece for piece in pair if piece]
-        self.room()
-        self[pair] = found
-        return found
-
-
 class Transducer(Bounded):
     """Little-endian unsigned 32-bit ids of each word (a run of word marks and what follows up to the next)."""
 
-    bound, stay = 500_000, 100_000
+    most_arcs = 1_000_000
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -64,8 +51,16 @@ class Transducer(Bounded):
             raise ValueError("a piece goes on after an inner word mark")
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        self.widest = max(map(len, self.ids))
-        self.arcs = Arcs(self)
+        self.byte_ids = frozenset(self.bytes.values())
+        self.shown = [{UNKNOWN: " ⁇ ", CONTROL: ""}.get(kind, name) for name, kind in zip(self.names, self.kinds)]
+        self.raw = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        # Of each string that a piece is or begins with: 1 for a piece, 2 if a longer one begins with it.
+        self.table = dict.fromkeys(self.ids, 1)
+        for piece in self.ids:
+            for k in range(1, len(piece)):
+                self.table[piece[:k]] = self.table.get(piece[:k], 0) | 2
+        self.arcs: dict[str, dict[str, bool]] = {}  # whether a piece agrees with the one before it, by that one
+        self.n_arcs = 0
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def normalise(self, text: str) -> str:
@@ -85,47 +80,90 @@ class Transducer(Bounded):
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def agrees(self, last: str, piece: str) -> bool:
+        """Whether merging the characters of both gives both again; after "", whether a piece's own give it."""
+        row = self.arcs.get(last)
+        found = None if row is None else row.get(piece)
+        if found is None:
+            found = self.merged(last + piece) == ([last, piece] if last else [piece])
+            if self.n_arcs >= self.most_arcs:
+                self.arcs.clear()
+                self.n_arcs = 0
+            self.arcs.setdefault(last, {})[piece] = found
+            self.n_arcs += 1
+        return found
+
     def path(self, word: str) -> list[str]:
-        """The shortest path through the composition of word with the piece machine.
+        """The shortest path through the composition of word with the piece machine, as its pieces.
 
-        reached[j] holds the piece that ends the only path of finite weight to j; an arc leaves it for each piece, or
-        single character, that starts there and agrees with it.
+        All finite arcs weigh 0 and one path is finite, so states are visited depth first, the longest piece first, and
+        only as far as needed; a place has one piece that can end there, so a place left once isn't entered again.
         """
-        n, ids, arcs, widest = len(word), self.ids, self.arcs, self.widest
-        reached: list[str | None] = ["", *[None] * n]
-        for j in range(1, n + 1):
-            for i in range(max(0, j - widest), j):
-                piece = word[i:j]
-                if (piece in ids or i == j - 1) and reached[i] is not None and arcs[reached[i], piece]:
-                    reached[j] = piece
+        n, table, agrees = len(word), self.table, self.agrees
+        found: list[str] = []
+        untried: list[list[str]] = []  # pieces that start at the end of found[:k], longest last
+        left, i, last = set(), 0, ""
+        while i < n:
+            if len(untried) == len(found):
+                ways, j = [], i
+                while j < n:
+                    j += 1
+                    piece = word[i:j]
+                    kind = table.get(piece, 0)
+                    if kind & 1 or j == i + 1:
+                        ways.append(piece)
+                    if kind < 2:
+                        break
+                untried.append(ways)
+            ways, row = untried[-1], self.arcs.get(last) or {}
+            while ways:
+                piece = ways.pop()
+                if i + len(piece) in left:
+                    continue
+                known = row.get(piece)
+                if agrees(last, piece) if known is None else known:
+                    found.append(piece)
+                    i, last = i + len(piece), piece
                     break
-        found, j = [], n
-        while j:
-            found.append(reached[j])
-            j -= len(reached[j])
-        return found[::-1]
+            else:
+                left.add(i)
+                untried.pop()
+                i -= len(found.pop())
+                last = found[-1] if found else ""
+        return found
 
     def __missing__(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.path(word):
-            i = self.ids.get(piece)
-            if i is not None:
-                ids.append(i)
-            elif self.bytes:
-                ids += [self.bytes[b] for b in piece.encode()]
-            else:
-                ids.append(self.unknown)
-        found = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = found
+        if len(word) > 64:
+            return self.composed(word)
+        found = None
+        if len(word) > 2 and word[-1] in ".," and word[-2] != MARK:
+            # The path to the last character is the stem's own, and the mark as a rule agrees with its end.
+            stem = self[word[:-1]]
+            last = int.from_bytes(stem[-4:], "little")
+            if self.kinds[last] == NORMAL and word[-1] in self.raw and self.agrees(self.names[last], word[-1]):
+                found = stem + self.raw[word[-1]]
+        self[word] = found = self.composed(word) if found is None else found
         return found
 
+    def composed(self, word: str) -> bytes:
+        pieces, raw = self.path(word), self.raw
+        try:
+            return b"".join([raw[piece] for piece in pieces])
+        except KeyError:  # characters without a piece
+            own: list[int] = []
+            for piece in pieces:
+                own += [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
+            return np.array(own, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         self.room()
         return b"".join(map(self.__getitem__, self.words.findall(self.normalise(text))))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The inverse machine: pieces and bytes to characters, word marks to spaces, without the mark at the start."""
+        if self.byte_ids.isdisjoint(ids):
+            text = "".join(map(self.shown.__getitem__, ids))
+            return (text[1:] if self.prefix and text.startswith(MARK) else text).replace(MARK, " ")
         out: list[str] = []
         held = bytearray()
         for i in ids:
@@ -136,7 +174,7 @@ class Transducer(Bounded):
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            out.append(" ⁇ " if kind == UNKNOWN else "" if kind == CONTROL else self.names[i])
+            out.append(self.shown[i])
         if held:
             out.append(held.decode("utf-8", "replace"))
         text = "".join(out)
@@ -189,10 +227,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(path)
         for batch in batches:
-            ids, own = batch.column("piece_ids").to_pylist(), batch.column("own").to_pylist()
-            back = [machine.decode(x) for x in ids]
-            crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
-            columns = [pa.array(map(len, ids), pa.int64()), pa.array(crc, pa.int64()), pa.array([len(x.encode()) for x in back], pa.int64()), pa.array([a == b for a, b in zip(back, own)])]
+            lists, own = batch.column("piece_ids"), batch.column("own").to_pylist()
+            flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            parts = [flat[a:b] for a, b in zip(at, at[1:])]
+            back = [machine.decode(x.tolist()) for x in parts]
+            crc = [zlib.crc32(x.tobytes()) for x in parts]
+            columns = [pa.array(map(len, parts), pa.int64()), pa.array(crc, pa.int64()), pa.array([len(x.encode()) for x in back], pa.int64()), pa.array([a == b for a, b in zip(back, own)])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "n_pieces", "ids_crc32", "n_bytes", "round_trip"])
 
     return rows.mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, round_trip boolean")
