@@ -135,25 +135,40 @@ def fit(vectors: DataFrame, n: int, k: int, seed: int = SEED) -> Index | None:
     return Index(directions, rng.uniform(0, 1, (TABLES, projections)), distance, distance)
 
 
-def _best(own: np.ndarray, ids: np.ndarray, near: np.ndarray, vec_ids: np.ndarray, at: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest vec_ids of each query, but for itself; vec_ids[j] belongs to near[:, at[j]]."""
-    found = []
-    for q, d in zip(ids, near):
-        far = np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)]
-        keep = np.flatnonzero((d[at] <= far) & (vec_ids != q))
-        order = keep[np.lexsort((vec_ids[keep], d[at[keep]]))][:k]
-        found.append(pd.DataFrame({"query_id": q, "vec_id": vec_ids[order], "score": d[at[order]]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+def _nearest_ids(q: int, d: np.ndarray, vec_ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of q's k nearest but itself; d[j] is the distance of entries[j], whose ids are a slice of vec_ids."""
+    if len(d) > k + 1:
+        keep = np.flatnonzero(d <= np.partition(d, k)[k])
+        d, entries = d[keep], entries[keep]
+    n = sizes[entries]
+    ids = vec_ids[np.repeat(starts[entries] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    far = np.repeat(d, n)
+    good = ids != q
+    ids, far = ids[good], far[good]
+    order = np.lexsort((ids, far))[:k]
+    return ids[order], far[order]
+
+
+def search(queries: np.ndarray, x: np.ndarray, codes: np.ndarray, y: np.ndarray, own_codes: np.ndarray, ids: pd.Series, k: int) -> pd.DataFrame:
+    """query_id, vec_id and score of each query's k nearest among the entries that share its code."""
+    sizes = ids.map(len).to_numpy()
+    starts, vec_ids = np.cumsum(sizes) - sizes, np.concatenate([np.asarray(v, np.int64) for v in ids])
+    by_code = np.argsort(own_codes, kind="stable")
+    low, high = np.searchsorted(own_codes[by_code], codes), np.searchsorted(own_codes[by_code], codes, "right")
+    found: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for q, v, a, b in zip(queries.tolist(), x, low, high):
+        if a < b:
+            entries = by_code[a:b]
+            gap = y[entries] - v
+            found.append((q, *_nearest_ids(q, np.sqrt(np.einsum("nd,nd->n", gap, gap)), vec_ids, starts, sizes, entries, k)))
+    if not found:
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([d for _, _, d in found])})
 
 
 FOUND = "query_id long, vec_id long, score double"
 
 
-def _expanded(ids: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    sizes = ids.map(len).to_numpy()
-    return np.concatenate([np.asarray(x, np.int64) for x in ids]), np.repeat(np.arange(len(sizes)), sizes)
-
-
 def exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Each query's k nearest by brute force: blocks of queries against all vectors, block after block."""
     n = queries.count()
@@ -164,13 +179,12 @@ def exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             continue
         ids, x = own["query_id"].to_numpy(), _matrix(own["vector"])
 
-        def search(batches: Iterable[pd.DataFrame], ids: np.ndarray = ids, x: np.ndarray = x) -> Iterator[pd.DataFrame]:
+        def one_block(batches: Iterable[pd.DataFrame], ids: np.ndarray = ids, x: np.ndarray = x) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    vec_ids, at = _expanded(batch["ids"])
-                    yield _best(x, ids, distances(x, _matrix(batch["vector"])), vec_ids, at, k)
+                    yield search(ids, x, np.zeros(len(ids), np.int64), _matrix(batch["vector"]), np.zeros(len(batch), np.int64), batch["ids"], k)
 
-        found = found.unionByName(vectors.mapInPandas(search, FOUND))
+        found = found.unionByName(vectors.mapInPandas(one_block, FOUND))
     return found
 
 
@@ -235,16 +249,16 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     entries = entries.join(cuts, ["t", "code"], "left").withColumn("cut", cut).select("t", "code", "cut", "vector", "ids")
     spread = probes.join(cuts, ["t", "code"], "left").withColumn("cut", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)))
 
-    def rerank(own: pd.DataFrame, bucket: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(bucket):
+    def rerank(own: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(group):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        vec_ids, at = _expanded(bucket["ids"])
-        x, y = _matrix(own["vector"]), _matrix(bucket["vector"])
-        parts = [_best(x[i : i + 64], own["query_id"].to_numpy()[i : i + 64], distances(x[i : i + 64], y), vec_ids, at, k) for i in range(0, len(x), 64)]
-        return pd.concat(parts)
+        return search(own["query_id"].to_numpy(), _matrix(own["vector"]), own["code"].to_numpy(), _matrix(group["vector"]), group["code"].to_numpy(), group["ids"], k)
 
-    keys = ["t", "code", "cut"]
-    found = spread.select(*keys, "query_id", "vector").groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(rerank, FOUND)
+    # Many small buckets share a task's group, some SPLIT vectors of one table together.
+    together = F.pmod(F.xxhash64("code"), F.lit(max(1, ceil(n / SPLIT)))).alias("together")
+    keys = ["t", "cut", "together"]
+    spread, entries = spread.select("t", "cut", together, "code", "query_id", "vector"), entries.select("t", "cut", together, "code", "vector", "ids")
+    found = spread.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(rerank, FOUND)
     found = written(ranked(found, k), "ann-found")
     # n counts distinct vectors; with few of them, equal ones may still make up k.
     short = queries.select("query_id").distinct().join(found.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti")
