@@ -26,9 +26,9 @@ from .common import prepare, table, written
 TABLES, WANTED, SEED = 12, 0.97, 4
 #: Vectors that fit the widths and the distance; vectors of a bucket that one task takes; queries of an exact block.
 SAMPLE, SPLIT, BLOCK = 4096, 4096, 2048
-#: Cells to either side of a query's own that probes may reach, and probes of a table at most; a query that hits this
-#: limit short of its share is searched exactly.
-REACH, PROBES = 3, 256
+#: Cells to either side of a query's own that probes may reach, probes of a table at most (a query that hits this limit
+#: short of its share is searched exactly), and their mean at most.
+REACH, PROBES, USUAL = 3, 256, 48
 
 
 @dataclass
@@ -130,9 +130,14 @@ def fit(vectors: DataFrame, n: int, k: int, seed: int = SEED) -> Index | None:
     # In a sample the k-th neighbour is farther than among all rows, so probes reach rather too far.
     distance = float(np.median(np.partition(some, min(k, len(x) - 1), axis=1)[:, min(k, len(x) - 1)])) or 1e-9
     rng = np.random.default_rng(seed)
-    projections = max(2, min(12, round(log2(max(n, 4) / 100) / 1.6)))
-    directions = rng.standard_normal((TABLES, projections, x.shape[1]))
-    return Index(directions, rng.uniform(0, 1, (TABLES, projections)), distance, distance)
+    share = 1 - (1 - WANTED) ** (1 / TABLES)
+    # Finer buckets where there are more vectors, but no finer than what some dozen probes of a table can cover.
+    for projections in range(max(2, min(12, round(log2(max(n, 4) / 100) / 1.6))), 1, -1):
+        index = Index(rng.standard_normal((TABLES, projections, x.shape[1])), rng.uniform(0, 1, (TABLES, projections)), distance, distance)
+        tried = [index.probes(place[0], share) for place in index.places(x[:32])]
+        if all(enough for _, enough in tried) and np.mean([len(cells) for cells, _ in tried]) <= USUAL:
+            break
+    return index
 
 
 def _nearest_ids(q: int, d: np.ndarray, vec_ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
