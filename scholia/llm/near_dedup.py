@@ -2,8 +2,9 @@
 
 A document's set is hashed to a signature; documents of equal sets are one class. Each tree orders the classes by the
 signature rotated to its own start, and classes with a common prefix of DEPTH values are a region. A region with too
-many or too large sets is split by one more value at a time, and the parts' first classes form a region of their own,
-so depth follows density. Within a region all classes of different components are compared, the best linked first:
+many or too large sets is dense: it is first split by one more value at a time, and the parts' first classes form a
+region of their own, which connects most of it; what its largest component then lacks is compared with all of the
+region, block against block. Within a region all classes of different components are compared, the best linked first:
 signatures that agree in FEWEST of their values or more (4 standard deviations below a link's mean) are confirmed on
 the full sets, until nothing is left to connect. Trees come in rounds, and a region whose classes are connected by
 earlier rounds needs no work, so full sets are moved only where something may be new, and a region gives at most as many
@@ -13,12 +14,13 @@ links as it has classes.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table, texts, written
@@ -107,9 +109,12 @@ def prefixes(classes: DataFrame, trees: range, depth: int) -> DataFrame:
     return classes.select("rep", "n_shingles", "sig").mapInArrow(run, "rep long, n_shingles long, tree int, region long")
 
 
-def regions(classes: DataFrame, trees: range) -> DataFrame:
-    """region and rep of every region that has several classes; dense ones are split by further values."""
-    out, depth, rows = None, DEPTH, prefixes(classes, trees, DEPTH)
+def regions(classes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame | None]:
+    """region and rep of every region that has several classes, dense ones split by further values; and what is dense.
+
+    The second (tree, region, rep, n_shingles) has the dense regions before any split, or is None.
+    """
+    out, whole, depth, rows = None, None, DEPTH, prefixes(classes, trees, DEPTH)
     while True:
         rows = written(rows, "forest")
         sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
@@ -118,7 +123,9 @@ def regions(classes: DataFrame, trees: range) -> DataFrame:
         fit_ = rows.join(sizes.where("not dense").select("region"), "region").select("region", "rep")
         out = fit_ if out is None else out.union(fit_)
         if sizes.where("dense").isEmpty():
-            return out
+            return out, whole
+        if whole is None:
+            whole = rows.join(sizes.where("dense").select("region"), "region").select("tree", "region", "rep", "n_shingles")
         dense = rows.join(sizes.where("dense").select("region"), "region").select("rep", "n_shingles", "tree", F.col("region").alias("top"))
         depth += 1
         if depth <= VALUES:
@@ -127,11 +134,40 @@ def regions(classes: DataFrame, trees: range) -> DataFrame:
         else:  # equal signatures: any parts will do
             rows = dense.withColumn("deep", F.pmod(F.xxhash64("rep", F.lit(depth)), F.lit(16)))
         rows = written(rows.select("rep", "n_shingles", "tree", "top", F.xxhash64("top", "deep").alias("region")), "forest-deeper")
-        heads = rows.groupBy("top", "region").agg(F.min("rep").alias("rep"))
-        out = out.union(heads.select(F.xxhash64("top", F.lit(depth), F.pmod("rep", F.lit(64))).alias("region"), "rep"))
+        heads = rows.groupBy("top", "region").agg(F.min_by(F.struct("rep", "n_shingles"), "rep").alias("h")).select("top", "h.*")
+        heads = heads.join(heads.groupBy("top").agg(_blocks(MOST, MOST_SHINGLES).alias("blocks")), "top")
+        out = out.union(heads.select(F.xxhash64("top", F.lit(depth), _block("blocks")).alias("region"), "rep"))
         rows = rows.drop("top")
 
 
+def _blocks(most: int, most_shingles: int) -> Column:
+    return F.ceil(F.greatest(F.count("*") / F.lit(max(1, most)), F.sum("n_shingles") / F.lit(max(1, most_shingles)))).cast("int")
+
+
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("rep"), F.greatest(F.col(blocks), F.lit(1))).cast("int")
+
+
+def blocks(whole: DataFrame, labels: DataFrame) -> DataFrame:
+    """tree, region, i, j, rep, component and asked: pairs of blocks that hold every pair yet unconnected of dense regions.
+
+    Block i is of the classes outside the region's largest component (asked), block j of all its classes; so every
+    pair of classes of different components is in some (i, j), with one of the two asked.
+    """
+    rows = whole.join(labels, whole.rep == labels.node, "left").select("tree", "region", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    parts = rows.groupBy("region", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("region").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rows = written(rows.join(main.select("region", "main"), "region"), "dense")
+    rest = rows.where("component <> main")
+    # Half a region's bounds for each of the two.
+    counts = rows.groupBy("region").agg(_blocks(MOST // 2, MOST_SHINGLES // 2).alias("js")).join(rest.groupBy("region").agg(_blocks(MOST // 2, MOST_SHINGLES // 2).alias("is")), "region")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+    own = ["tree", "region", "rep", "component"]
+    a = rest.join(counts, "region").select(*own, _block("is").alias("i"), every("js").alias("j"), F.lit(True).alias("asked"))
+    b = rows.join(counts, "region").select(*own, every("is").alias("i"), _block("js").alias("j"), F.lit(False).alias("asked"))
+    return a.union(b).groupBy("tree", "region", "i", "j", "rep", "component").agg(F.max("asked").alias("asked"))
+
+
 def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """rep and its set (sorted little-endian 64-bit hashes), from the texts of reps only."""
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
@@ -176,6 +212,52 @@ def linked(own: pd.DataFrame) -> list[tuple[int, int]]:
     return found
 
 
+def unmet(sigs: np.ndarray, i: int, labels: np.ndarray, tree: int) -> np.ndarray:
+    """Which classes i has to be compared with: of another component, alike enough, and in no region of an earlier tree."""
+    same = sigs == sigs[i]
+    earlier = same[:, : tree * DEPTH].reshape(len(sigs), tree, DEPTH).all(2).any(1)
+    return (labels != labels[i]) & (same.mean(1) >= FEWEST) & ~earlier
+
+
+def needed(own: pd.DataFrame) -> np.ndarray:
+    """Which rows of a pair of blocks (tree, component, sig, asked) have a class to be compared with."""
+    sigs, labels = np.frombuffer(b"".join(own["sig"]), "<u4").reshape(-1, VALUES), own["component"].to_numpy()
+    found = np.zeros(len(own), bool)
+    for i in np.flatnonzero(own["asked"]).tolist():
+        near = unmet(sigs, i, labels, int(own["tree"].iloc[0]))
+        found |= near
+        found[i] |= near.any()
+    return found
+
+
+def linked_blocks(own: pd.DataFrame) -> list[tuple[int, int]]:
+    """As linked, of a pair of blocks: what is asked against all."""
+    reps, labels = own["rep"].to_numpy(), own["component"].to_numpy().copy()
+    sigs, sets = np.frombuffer(b"".join(own["sig"]), "<u4").reshape(-1, VALUES), [np.frombuffer(x, "<u8") for x in own["set"]]
+    found = []
+    for i in np.flatnonzero(own["asked"]).tolist():
+        for j in np.flatnonzero(unmet(sigs, i, labels, int(own["tree"].iloc[0]))).tolist():
+            if labels[j] != labels[i] and similar(sets[i], sets[j]):
+                found.append((int(reps[i]), int(reps[j])))
+                labels[labels == labels[j]] = labels[i]
+    return found
+
+
+def dense_links(whole: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what dense regions still lack; sets are moved only of classes that may be linked."""
+    place = "tree int, region long, i int, j int, rep long, component long, asked boolean"
+    own = [x.split()[0] for x in place.split(", ")]
+
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.loc[needed(rows), own]
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(linked_blocks(rows), columns=["a", "b"], dtype="int64")
+
+    todo = written(blocks(whole, labels).join(sigs, "rep").groupBy("region", "i", "j").applyInPandas(ask, place), "dense-todo")
+    return todo.join(sigs, "rep").join(sets, "rep").groupBy("region", "i", "j").applyInPandas(link, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (null text: empty).
 
@@ -189,13 +271,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "minhash-classes")
     links = spark.createDataFrame([], "a long, b long")
     labels, first, sets = None, 0, None
-    forest = []
+    forest, dense = [], []
     for trees in ROUNDS:
-        forest.append(written(regions(classes, range(first, first + trees)), "regions"))
+        found, whole = regions(classes, range(first, first + trees))
+        forest.append(written(found, "regions"))
+        dense += [] if whole is None else [whole]
         first += trees
     wanted = forest[0].select("rep")
     for found in forest[1:]:
         wanted = wanted.union(found.select("rep"))
+    for whole in dense:
+        wanted = wanted.union(whole.select("rep"))
     wanted = written(wanted.distinct(), "region-reps")
     sets = written(_sets(docs, wanted).dropDuplicates(["rep"]) if _repeated(marks) else _sets(docs, wanted), "region-sets")
     sigs = classes.select("rep", "sig").dropDuplicates(["rep"])
@@ -212,6 +298,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
         links = written(links.union(todo.groupBy("region").applyInPandas(link, "a long, b long")), "near-links")
         labels = written(components(links), "near-labels")
+    if dense:
+        links = written(links.union(dense_links(reduce(DataFrame.union, dense), labels, sigs, sets)), "near-links")
+        labels = written(components(links), "near-labels")
     # Classes of one document that is linked with nothing need no join.
     by_class = classes.join(labels, classes.rep == labels.node, "left").where("n > 1 or component is not null")
     by_class = by_class.select("set_key", F.coalesce("component", "rep").alias("component_id"))

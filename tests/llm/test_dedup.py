@@ -73,6 +73,14 @@ def test_near_copies(spark, monkeypatch):
     check_groups(spark, frame(spark, docs))
 
 
+def test_dense_regions_compare_all(spark, monkeypatch):
+    """One region of all classes, far over its bound: what further values part is compared all the same."""
+    docs = near_copies(40, seed=7, edits=4) + [(100 + i, t) for i, t in near_copies(30, seed=8, edits=3)]
+    for name, value in (("ROUNDS", (1,)), ("DEPTH", 0), ("MOST", 12)):
+        monkeypatch.setattr(near_dedup, name, value)
+    check_groups(spark, frame(spark, docs))
+
+
 def test_one_of_each(spark, odd_docs, no_docs):
     assert near_dedup.one_of_each(no_docs).count() == 0
     rows = near_dedup.one_of_each(odd_docs)
