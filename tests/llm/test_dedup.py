@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from scholia.llm import fingerprints, graph, near_dedup, suffix_dedup
@@ -81,6 +82,14 @@ def test_dense_regions_compare_all(spark, monkeypatch):
     check_groups(spark, frame(spark, docs))
 
 
+def test_links_with_unlikely_signatures():
+    """A link at 0.75 whose signatures agree in 0.54 of their values, in a region of three."""
+    x = np.unique(np.random.default_rng(4759).integers(0, 1 << 63, 64, np.uint64))
+    sets = [x[:28], np.concatenate([x[:24], x[28:32]]), x[40:]]
+    own = pd.DataFrame({"rep": [1, 2, 3], "component": [1, 2, 3], "sig": [near_dedup.signature(s).tobytes() for s in sets], "set": [s.tobytes() for s in sets]})
+    assert near_dedup.linked(own) == [(1, 2)]
+
+
 def test_one_of_each(spark, odd_docs, no_docs):
     assert near_dedup.one_of_each(no_docs).count() == 0
     rows = near_dedup.one_of_each(odd_docs)
