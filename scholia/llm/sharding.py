@@ -1,9 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
-Equal texts form a group, and a group lies whole in one shard unless it is larger than a slice of one (SLICES to a
-shard); then its rows are cut by a hash of doc_id into slices of that size. Small groups are pooled by a hash of their
-text, so the things to pack are at most a few thousand whatever the input: the vectors of slices, large groups and
-pools. Each goes, largest first, where the dot product of its vector with the free capacity is highest.
+Equal texts form a group, and a group lies whole in one shard unless its bytes, tokens or rows are more than a shard's
+even share; then its rows are cut by a hash of doc_id into slices (SLICES to a shard). Groups larger than a slice are
+packed each by itself, smaller ones are pooled by a hash of their text, so the things to pack are at most a few thousand
+whatever the input: the vectors of slices, large groups and pools. Each goes, largest first, where the dot product of its
+vector with the free capacity is highest; single moves then level what whole groups left uneven.
 """
 
 from __future__ import annotations
@@ -29,6 +30,21 @@ def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS)
     for i in np.lexsort((np.arange(len(share)), -share.max(1) - 1e-3 * share.sum(1))):
         place[i] = int(np.argmax(free @ (scale * share[i])))
         free[place[i]] -= share[i]
+    return levelled(share, free, place, scale)
+
+
+def levelled(share: np.ndarray, free: np.ndarray, place: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The places after moves from the fullest shard to the emptiest one in bytes, while the weighted squares of free fall."""
+    for _ in range(len(share)):
+        a, b = int(np.argmin(free[:, 0])), int(np.argmax(free[:, 0]))
+        own = np.flatnonzero(place == a)
+        gain = 2 * ((share[own] ** 2 + share[own] * (free[a] - free[b])) @ scale)
+        if not len(own) or gain.min() >= -1e-9:
+            break
+        i = own[int(np.argmin(gain))]
+        place[i] = b
+        free[a] += share[i]
+        free[b] -= share[i]
     return place
 
 
@@ -54,9 +70,10 @@ def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     quanta = [max(1.0, n / (shards * SLICES)) for n in total]
     groups = rows.groupBy("g", "g2").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
-    slices = F.ceil(F.greatest(F.col("b") / quanta[0], F.col("t") / quanta[1], F.col("r") / quanta[2])).cast("int")
+    most = F.greatest(F.col("b") / quanta[0], F.col("t") / quanta[1], F.col("r") / quanta[2])
+    slices = F.when(most > SLICES, F.ceil(most)).otherwise(1).cast("int")  # cut only beyond a whole shard
     # A large group holds over one quantum of something, so there are fewer than 3 * shards * SLICES of them.
-    large = groups.where(F.greatest(F.col("b") / quanta[0], F.col("t") / quanta[1], F.col("r") / quanta[2]) > 1).select("g", "g2", slices.alias("slices"))
+    large = groups.where(most > 1).select("g", "g2", slices.alias("slices"))
     rows = rows.join(F.broadcast(large), ["g", "g2"], "left")
     own = F.xxhash64("doc_id")
     part = F.when(F.col("slices").isNull(), F.concat(F.lit("p"), F.pmod("g", F.lit(shards * SLICES)))).otherwise(

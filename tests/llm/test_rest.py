@@ -168,6 +168,18 @@ def test_shards_of_a_hot_group(spark):
     assert (sums.max() - sums.min()) / sums.mean() < 0.05 and (counts.max() - counts.min()) / counts.mean() < 0.1
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Groups of up to nearly a shard's share of rows, or of bytes, aren't cut."""
+    rng = random.Random(9)
+    texts = ["copied text " * 20] * 250 + ["another one " * 15] * 60 + ["long words " * 800] * 2
+    texts += ["".join(rng.choices("abc d", k=rng.randrange(50, 350))) for _ in range(2_700)]
+    docs = spark.createDataFrame([(i, t, *[None] * 12) for i, t in enumerate(texts)], SCHEMA)
+    rows = check_shards(docs, 10)
+    assert rows.groupby(["size", "text_crc32"])["shard"].nunique().max() == 1
+    sums = rows.groupby("shard")["size"].sum()
+    assert (sums.max() - sums.min()) / sums.mean() < 0.1
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against what it must do to its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
