@@ -39,33 +39,38 @@ def _encoder(path: str) -> WordEncoder:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
     """Encode every whole text (null: empty), append end_id, and write the ids to folder.
 
-    Files hold doc_id ranges in ascending order (null ids first, equal ids in the order of their texts), and every
-    row its place within its file, so that places in the whole corpus need one number per file.
+    Files hold doc_id ranges in ascending order (null ids first, equal ids in the order of a hash of their texts), and
+    every row its place within its file, so that places in the whole corpus need one number per file. Repeated rows are
+    rows of their own. No rows give files without rows.
     """
     prepare(docs.sparkSession)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            flat = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
-            n = np.array([len(x) // 4 for x in flat], np.int64)
-            ends = np.cumsum(n)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(flat), "<u4").view(np.int32)))
+            flat, at = encoder.encode(batch.column("text"))
+            at = at + np.arange(len(at))  # one end id after each text
+            ids = np.full(at[-1], end_id, np.int32)
+            own = np.ones(len(ids), bool)
+            own[at[1:] - 1] = False
+            ids[own] = flat.view(np.int32)
+            n = np.diff(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(start + ends - n), pa.array(n.astype(np.int32)), ids],
+                [pa.array(np.full(len(n), part, np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(start + at[:-1]), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))],
                 ["part", "doc_id", "local_start", "n_tokens", "ids"],
             )
-            start += int(n.sum())
+            start += int(at[-1])
 
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(folder)
+    # Rows of one id are many at most where ids are null or repeated; the texts' hash parts them.
+    ordered = texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered.select("doc_id", "text").mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids of each document; columns and rows that aren't asked for aren't read.
 
-    The files' first places are the running total of one row per file, broadcast up to FILES of them.
+    The files' first places are the running total of one row per file, broadcast up to FILES of them. Null ids are
+    read as they were written; a folder without rows gives no rows.
     """
     rows = spark.read.schema(SCHEMA).parquet(folder)
     files = rows.groupBy("part").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))

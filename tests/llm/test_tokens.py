@@ -4,10 +4,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scholia.llm import sentencepiece_fst, token_counts, token_output
@@ -20,8 +23,11 @@ WORD, BYTE, PIECE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "b
 SOME = st.lists(st.sampled_from(list("abehinorst.,'!?|#0129 \n\t\x1cÀéßΣİ中▁ ") + ["́", "\U0001f600", "the ", "The", "<|endoftext|>", "<0x0A>"]), max_size=60).map("".join)
 
 
+WORDS = Tokenizer.from_file(WORD)
+
+
 def ids_of(text):
-    return Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids
+    return WORDS.encode(text, add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +39,8 @@ def libraries():
 @given(text=SOME)
 def test_caches_are_exact(libraries, text):
     word, own_word, byte, own_byte, piece, own_piece = libraries
-    assert np.frombuffer(own_word.encode([text])[0], "<u4").tolist() == word.encode(text, add_special_tokens=False).ids
+    flat, at = own_word.encode(pa.array(["a, B.", text, ""]))
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [word.encode(t, add_special_tokens=False).ids for t in ("a, B.", text, "")]
     assert own_byte.count(text) == len(byte.encode(text, add_special_tokens=False).ids)
     ids = piece.encode(text)
     assert np.frombuffer(own_piece.encode(text), "<u4").tolist() == ids
@@ -41,23 +48,49 @@ def test_caches_are_exact(libraries, text):
 
 
 def test_cache_forgets(libraries):
-    small = WordEncoder(WORD)
-    small.bound, small.stay = 50, 10
-    texts = [f"w{i} x{i * 7} the" for i in range(200)]
-    for i in range(0, 200, 20):
-        got = small.encode(texts[i : i + 20])
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [libraries[0].encode(t, add_special_tokens=False).ids for t in texts[i : i + 20]]
-    assert len(small) < 200
+    small = WordEncoder(WORD, most_bytes=150_000)
+    texts = [f"w{i} x{i * 7} the Stem{'abcdefghij'[i % 10] * (i % 7)}. stem, ." for i in range(2000)]
+    for i in range(0, 2000, 20):
+        flat, at = small.encode(pa.array(texts[i : i + 20]))
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [libraries[0].encode(t, add_special_tokens=False).ids for t in texts[i : i + 20]]
+    assert small.held() < 400_000
+
+
+def test_white_space_is_that_of_split():
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    split = pc.utf8_split_whitespace(pa.array([f"a{chr(c)}b" for c in codes])).to_pylist()
+    assert all(own == f"a{chr(c)}b".split() for c, own in zip(codes, split))
+
+
+def test_token_query(spark):
+    """The registered query against the library, place by place."""
+    rows = {r.doc_id: r for r in QUERIES["op1_token_output"](spark, SF).collect()}
+    start = 0
+    for doc_id, text in sorted(texts_of(spark.read.parquet(f"{SF}/documents.parquet"))):
+        ids = ids_of(text) + [2]
+        assert (rows[doc_id].start, rows[doc_id].n_tokens, rows[doc_id].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_count_query(spark):
+    library = Tokenizer.from_file(BYTE)
+    texts = dict(texts_of(spark.read.parquet(f"{SF}/documents.parquet")))
+    rows = QUERIES["op8_token_counts"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
 
 
 def check_files(spark, docs, tmp_path):
     folder = str(tmp_path / "ids")
     token_output.write_tokens(docs, folder, WORD, 2)
     rows = token_output.checksums(token_output.read_tokens(spark, folder)).orderBy("start").collect()
-    own = sorted(texts_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    own = sorted(hashed, key=lambda r: (r[0] is not None, r[0] or 0, r.h, r.text))
     start = 0
     assert len(rows) == len(own)
-    for r, (doc_id, text) in zip(rows, own):
+    for r, (doc_id, text, _) in zip(rows, own):
         ids = ids_of(text) + [2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
