@@ -23,10 +23,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A new path below the session's spark.checkpoint.dir; where that is unset, a temporary folder on one machine only."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="scholia-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -42,3 +44,13 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 def texts(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) and no other column than those named."""
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it clash with no column of df (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

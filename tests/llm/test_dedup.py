@@ -147,10 +147,33 @@ def test_repeats_in_periodic_and_shared_texts(spark, monkeypatch):
     docs = [(i, "".join(rng.choices("abcdefgh ", k=rng.randrange(400))) + (passage if i % 2 else "") + "".join(rng.choices("ijk", k=50))) for i in range(40)]
     docs += [(50, "ab" * 400), (51, "abc" * 70), (52, passage[:200]), (53, passage[:199]), (54, passage[10:]), (55, passage + passage)]
     check_removed(frame(spark, docs))
-    monkeypatch.setattr(suffix_dedup, "BUCKET", 2000)
-    check_removed(frame(spark, docs))
-    monkeypatch.setattr(suffix_dedup, "HOT", 0.2)
-    check_removed(frame(spark, docs))
+    for size in (20_000, 500):
+        monkeypatch.setattr(suffix_dedup, "BUCKET", size)
+        check_removed(frame(spark, docs))
+
+
+def test_hot_anchor_is_cut_in_halves(spark, monkeypatch):
+    """One line in many surroundings: its anchor's blocks outgrow a bucket, down to single windows."""
+    rng = random.Random(8)
+    line = "".join(rng.choices("mnopqrst", k=150))
+    word = lambda k: "".join(rng.choices("ab", k=k))
+    docs = [(i, word(60) + line + word(60)) for i in range(60)]
+    docs += [(100 + i, docs[i % 7][1][10:] + word(30)) for i in range(30)] + [(200 + i, "c" * i + docs[3][1]) for i in range(20)]
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", 0)
+    for size in (4000, 300):
+        monkeypatch.setattr(suffix_dedup, "BUCKET", size)
+        check_removed(frame(spark, docs))
+
+
+def test_windows_are_sorted():
+    """Suffixes in the order of their first LENGTH bytes, by residue from the anchor."""
+    rng = random.Random(9)
+    blocks = ["".join(rng.choices("ab", k=rng.randrange(200, 420))).encode() for _ in range(12)]
+    places = [rng.randrange(150) for _ in blocks]
+    order, same = suffix_dedup.sorted_windows(blocks + blocks[:3], places + places[:3])
+    flat = [((i - p) % 7, b[i : i + 200]) for b, p in zip(blocks + blocks[:3], places + places[:3]) for i in range(len(b) - 199)]
+    own = [flat[i] for i in order]
+    assert own == sorted(own) and same.tolist() == [False, *(a == b for a, b in zip(own, own[1:]))]
 
 
 def test_pieces_hold_each_window_once(monkeypatch):
