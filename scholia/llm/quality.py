@@ -100,16 +100,22 @@ class Model:
 
 
 def pool_adjacent(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression of y on x: the knots' places and values, smoothed by one row of the mean at either end."""
-    order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []  # weight, sum of x, sum of y
-    for a, b in zip(x[order], y[order]):
-        blocks.append([1.0, a, b])
+    """Isotonic regression of y on x: the knots' places and rising values.
+
+    A row of the mean is put at either end before pooling, so that values of few rows aren't quite 0 or 1. Rows of
+    equal x are pooled at once.
+    """
+    places, at = np.unique(x, return_inverse=True)
+    rows = np.column_stack([np.bincount(at), np.bincount(at) * places, np.bincount(at, y)]).astype(float)
+    ends = np.array([[1.0, place, y.mean()] for place in (places[0], places[-1])])
+    blocks: list[np.ndarray] = []  # weight, sum of x, sum of y
+    for row in np.vstack([ends[:1], rows, ends[1:]]):
+        blocks.append(row)
         while len(blocks) > 1 and blocks[-2][2] * blocks[-1][0] >= blocks[-1][2] * blocks[-2][0]:
             last = blocks.pop()
-            blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
-    mean = float(y.mean())
-    return np.array([b[1] / b[0] for b in blocks]), np.array([(b[2] + mean) / (b[0] + 1) for b in blocks])
+            blocks[-1] = blocks[-1] + last
+    # A block's own place may lie beside its neighbours' where the ends' rows count for most of it.
+    return np.maximum.accumulate([b[1] / b[0] for b in blocks]), np.array([b[2] / b[0] for b in blocks])
 
 
 def _summed(rows: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
@@ -186,8 +192,6 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return stats.mapInArrow(run, "doc_id long, score double")
 
 
-
-
 def fold() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
@@ -197,7 +201,11 @@ def _labels(labels: DataFrame) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs (null text: empty); a null doc_id is not held out."""
+    """doc_id, held_out, score and predicted of every row of docs (null text: empty).
+
+    A null doc_id is not held out and never learnt from; rows of one doc_id are scored each by its own text. No rows
+    give no rows; labels without rows give 0.5 for all.
+    """
     stats = written(statistics_table(docs), "quality-stats")
     model = fit(stats, _labels(labels))
     held = F.coalesce(fold() == 0, F.lit(False))
@@ -205,7 +213,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs with a score of threshold or more, with the same columns: one map once the model is there."""
+    """The rows of docs with a score of threshold or more, with the same columns: one map once the model is there.
+
+    Null and empty texts are scored as empty, repeated rows and rows with null ids each by their text; no rows give no
+    rows.
+    """
     prepare(docs.sparkSession)
     known = _labels(labels)
     model = fit(statistics_table(docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")), known)
