@@ -1,11 +1,11 @@
 """Mixing sources to target weights by pivotal dependent rounding of copy counts.
 
 Each document of a source starts with the same expected number of copies, target over size of its source. The whole
-part is certain; the fractions are rounded in duels. A duel of a document with another, or with all smaller ones of its
-block together, moves mass, counted in words, from one fraction to the other until one is 0 or 1; the direction is
-random with the odds that leave both expectations as they were. The words of a source are kept exactly until one open
-fraction is left, so what it takes is within one document (as a rule a small one) of its target. Duels run in blocks of
-some thousand documents, then among the blocks' open ends, and so on up a tree.
+part is certain; the fractions are rounded in duels of two documents: a duel moves mass, counted in words, from one
+fraction to the other until one is 0 or 1, and the direction is random with the odds that leave both expectations as
+they were. The words of a source are kept exactly until one open fraction is left, so what it takes is within one
+document (as a rule a small one) of its target. Duels run in blocks of some thousand documents, the largest first, then
+among the blocks' open ends, and so on up a tree.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 #: Documents of a block, and open ends that meet in one task of the tree above.
 BLOCK, FAN_IN = 4096, 1024
@@ -58,23 +58,13 @@ def open_(f: float) -> bool:
     return EDGE < f < 1 - EDGE
 
 
-def duels_with_rest(keys: Sequence[int], words: Sequence[int], f: float, seed: int) -> list[float]:
-    """Round the equal fractions of a block, largest document first; at most one is left open.
+def duels(keys: Sequence[int], words: Sequence[int], fractions: Sequence[float], seed: int) -> list[float]:
+    """Round open fractions pair by pair, largest document first; at most one is left open.
 
-    Each document duels with all smaller ones together, whose fractions move alike. So large documents become
-    integral while others can take up their mass, and what is left open is as a rule the smallest.
+    What a duel leaves open meets the next document, so what is open at the end is as a rule among the smallest.
+    Documents without words give and take nothing; their fractions are 0.
     """
-    order = sorted((i for i in range(len(words)) if words[i]), key=lambda i: (-words[i], keys[i]))
-    found, rest = [0.0] * len(words), sum(words)
-    for i in order:
-        rest -= words[i]
-        found[i], f = _moved(f, words[i], f, rest, _chance(seed, keys[i], rest)) if rest and open_(f) else (f, f)
-    return found
-
-
-def duels(keys: Sequence[int], words: Sequence[int], fractions: Sequence[float], seed: int) -> list[float]:
-    """Round open fractions pair by pair, largest document first; at most one is left open."""
-    found, at = list(fractions), None
+    found, at = [f if w else 0.0 for f, w in zip(fractions, words)], None
     for i in sorted((i for i, f in enumerate(found) if open_(f)), key=lambda i: (-words[i], keys[i])):
         if at is not None:
             found[i], found[at] = _moved(found[i], words[i], found[at], words[at], _chance(seed, keys[i], keys[at]))
@@ -92,7 +82,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, s
 
     Sources by code point, null last, take the weights in turn. A document gets the whole part of its expected copies
     or one more, so at most cap copies. Rows without words get the whole part. Repeated rows are rows of their own.
-    The outcome hangs on the rows alone, not on partitions: reruns agree. No rows give no rows.
+    Copies of one row are dealt to blocks of their own number, so a row may be repeated any number of times. The
+    outcome hangs on the rows alone, not on partitions: reruns agree. No rows give no rows.
     """
     spark = docs.sparkSession
     rows = written(sized(docs), "mix-sizes")
@@ -104,24 +95,25 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, s
     rows = rows.join(F.broadcast(plan), rows.source.eqNullSafe(plan.source)).select("doc_id", rows.source, "key", "size", "source_size", "target", "s", rate.alias("rate"))
     n_blocks = max(1, -(-rows.count() // BLOCK))
     rows = rows.withColumn("whole", F.floor("rate")).withColumn("f", F.col("rate") - F.floor("rate"))
-    # Rows with equal keys are alike, so their order doesn't matter.
-    rows = rows.withColumn("node", F.pmod("key", F.lit(n_blocks)))
-
-    def round_block(_: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own["f"] = duels_with_rest(own["key"].tolist(), own["size"].tolist(), own["f"].iloc[0], seed)
-        return own
-
-    def round_ends(_: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own["f"] = duels(own["key"].tolist(), own["size"].tolist(), own["f"].tolist(), seed)
+    # Alike rows are counted, numbered in chunks of BLOCK, and each chunk has its own key and node.
+    alike = rows.groupBy(*rows.columns).agg(F.count("*").alias("m"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / BLOCK).cast("long"))).alias("chunk")
+    alike = alike.select("*", chunk).withColumn("name", F.when(F.col("chunk") == 0, F.col("key")).otherwise(F.xxhash64("key", "chunk")))
+    own = F.least(F.lit(BLOCK), F.col("m") - F.col("chunk") * BLOCK).cast("int")
+    rows = alike.select(*rows.columns, "name", F.pmod("name", F.lit(n_blocks)).alias("node"), F.explode(F.sequence(F.lit(1), own)).alias("twin"))
+
+    def round_node(_: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        keys = [xxhash.xxh3_64_intdigest(struct.pack("<qq", *x)) >> 1 for x in zip(own["name"].tolist(), own["twin"].tolist())]
+        own["f"] = duels(keys, own["size"].tolist(), own["f"].tolist(), seed)
         return own
 
     still = (F.col("f") > EDGE) & (F.col("f") < 1 - EDGE)
-    level, nodes = written(rows.groupBy("s", "node").applyInPandas(round_block, _schema(rows)), "mix-blocks"), n_blocks
+    level, nodes = written(rows.groupBy("s", "node").applyInPandas(round_node, _schema(rows)), "mix-blocks"), n_blocks
     done, ends = level.where(~still), level.where(still)
     while nodes > 1:
         nodes = -(-nodes // FAN_IN)
         ends = ends.withColumn("node", F.col("node") % F.lit(nodes))
-        level = written(ends.groupBy("s", "node").applyInPandas(round_ends, _schema(ends)), "mix-ends")
+        level = written(ends.groupBy("s", "node").applyInPandas(round_node, _schema(ends)), "mix-ends")
         done, ends = done.unionByName(level.where(~still)), level.where(still)
 
     last = ends.withColumn("f", F.when(_uniform(seed) < F.col("f"), 1.0).otherwise(0.0))
@@ -130,7 +122,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, s
 
 
 def _uniform(seed: int) -> F.Column:
-    return F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(1 << 52)) / float(1 << 52)
+    return F.pmod(F.xxhash64("name", "twin", F.lit(seed + 1)), F.lit(1 << 52)) / float(1 << 52)
 
 
 def _schema(df: DataFrame) -> str:
@@ -140,13 +132,24 @@ def _schema(df: DataFrame) -> str:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the same columns.
 
-    Rows of equal doc_id, source and text share out their counts in any order.
+    Rows of equal doc_id, source and text share out their counts in any order. Null ids, sources and texts are values
+    like others; no rows give no rows.
     """
-    plan = mixed(docs).groupBy("key").agg(F.sort_array(F.collect_list("copies")).alias("__all")).withColumnRenamed("key", "__key")
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text")).join(plan, "__key")
-    twin = F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))
-    rows = rows.withColumn("__n", F.element_at("__all", twin).cast("int")).where("__n > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    key, low, more, m, place, n, copy = fresh(docs, "mix_key", "mix_low", "mix_more", "mix_rows", "mix_place", "mix_n", "mix_copy")
+    plan = mixed(docs).groupBy("key").agg(F.min("copies").alias(low), (F.sum("copies") - F.min("copies") * F.count("*")).alias(more), F.count("*").alias(m)).withColumnRenamed("key", key)
+    plan = written(plan, "mix-plan")
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "source", "text")).join(plan, key)
+    taken = rows.where(F.col(m) == 1).withColumn(n, F.col(low) + F.col(more))
+    if not plan.where(F.col(m) > 1).isEmpty():
+        # Twins are numbered task by task, each task after the counts of those before.
+        twins = written(rows.where(F.col(m) > 1).withColumn(place, F.spark_partition_id()), "mix-twins")
+        before = F.sum(n).over(Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
+        counts = twins.groupBy(key, place).agg(F.count("*").alias(n)).select(key, place, F.coalesce(before, F.lit(0)).alias(copy))
+        number = F.row_number().over(Window.partitionBy(key, place).orderBy(F.lit(0))) + F.col(copy)
+        twins = twins.join(counts, [key, place]).withColumn(n, F.col(low) + (number <= F.col(more)).cast("long"))
+        taken = taken.unionByName(twins.select(*taken.columns))
+    taken = taken.where(F.col(n) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
