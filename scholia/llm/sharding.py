@@ -1,36 +1,36 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
 Equal texts form a group, and a group lies whole in one shard unless its bytes, tokens or rows are more than a shard's
-even share; then its rows are cut by a hash of doc_id into slices (SLICES to a shard). Groups larger than a slice are
-packed each by itself, smaller ones are pooled by a hash of their text, so the things to pack are at most a few thousand
-whatever the input: the vectors of slices, large groups and pools. Each goes, largest first, where the dot product of its
-vector with the free capacity is highest; single moves then level what whole groups left uneven.
+even share; then its rows are cut by a hash of doc_id into slices (SLICES to a shard). Every group goes where the dot
+product of its vector with the free capacity is highest, the largest first. Groups of more than a slice are few (three
+to a slice at most) and are packed together first; single moves then level what whole groups left uneven. All others
+are packed in parts of some thousand groups, each part against its own share of the capacity that the large ones left.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Pools and slices to a shard; weights of bytes, tokens and rows in the dot product.
-SLICES = 64
+#: Slices to a shard; small groups of a part; weights of bytes, tokens and rows in the dot product.
+SLICES, PART = 64, 20_000
 WEIGHTS = (8.0, 1.0, 1.0)
 #: Rows of a shard that are numbered in one task.
 NUMBERED = 50_000
 
 
-def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
-    """A shard for each row of vectors: largest first, to the highest dot product with the free capacity."""
-    share = vectors / np.maximum(vectors.sum(0), 1) * shards
-    free, place = np.ones((shards, vectors.shape[1])), np.zeros(len(vectors), np.int64)
+def pack(share: np.ndarray, free: np.ndarray, weights: tuple[float, ...] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
+    """A shard for each row of share: largest first, to the highest dot product with the free capacity; and what is free then."""
+    free, place = free.copy(), np.zeros(len(share), np.int64)
     scale = np.array(weights)
-    for i in np.lexsort((np.arange(len(share)), -share.max(1) - 1e-3 * share.sum(1))):
+    for i in np.lexsort((np.arange(len(share)), -share.max(1) - 1e-3 * share.sum(1))) if len(share) else []:
         place[i] = int(np.argmax(free @ (scale * share[i])))
         free[place[i]] -= share[i]
-    return levelled(share, free, place, scale)
+    return levelled(share, free, place, scale), free
 
 
 def levelled(share: np.ndarray, free: np.ndarray, place: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -52,7 +52,8 @@ def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row of docs (null text: empty).
 
     size is the text's UTF-8 bytes and 16; tokens are words between white space. Slots of a shard run from 0 without
-    gaps, by hash bucket and doc_id. Repeated rows are rows of their own, of one group. No rows give no rows.
+    gaps, by hash bucket and doc_id. Repeated rows are rows of their own, of one group; null ids are ids like others.
+    No rows give no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -69,23 +70,35 @@ def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
     if not total[2]:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     quanta = [max(1.0, n / (shards * SLICES)) for n in total]
-    groups = rows.groupBy("g", "g2").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
+    groups = written(rows.groupBy("g", "g2").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")), "shard-groups")
     most = F.greatest(F.col("b") / quanta[0], F.col("t") / quanta[1], F.col("r") / quanta[2])
     slices = F.when(most > SLICES, F.ceil(most)).otherwise(1).cast("int")  # cut only beyond a whole shard
     # A large group holds over one quantum of something, so there are fewer than 3 * shards * SLICES of them.
     large = groups.where(most > 1).select("g", "g2", slices.alias("slices"))
-    rows = rows.join(F.broadcast(large), ["g", "g2"], "left")
-    own = F.xxhash64("doc_id")
-    part = F.when(F.col("slices").isNull(), F.concat(F.lit("p"), F.pmod("g", F.lit(shards * SLICES)))).otherwise(
-        F.concat_ws("/", F.lit("g"), F.col("g"), F.col("g2"), F.pmod(own, F.greatest("slices", F.lit(1))))
-    )
-    rows = rows.withColumn("part", part)
-    things = rows.groupBy("part").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")).orderBy("part").collect()
-    place = pack(np.array([[x.b, x.t, x.r] for x in things], float), shards)
-    map_ = spark.createDataFrame([(x.part, int(p)) for x, p in zip(things, place)], "part string, shard int")
+    own = F.xxhash64("doc_id", "text_crc32")
+    big = rows.join(F.broadcast(large), ["g", "g2"]).withColumn("slice", F.pmod(own, F.col("slices")).cast("int"))
+    things = big.groupBy("g", "g2", "slice").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")).orderBy("g", "g2", "slice").collect()
+    whole = np.maximum(np.array(total, float), 1) / shards
+    place, free = pack(np.array([[x.b, x.t, x.r] for x in things], float).reshape(-1, 3) / whole, np.ones((shards, 3)))
+    map_ = spark.createDataFrame([(x.g, x.g2, x["slice"], int(p)) for x, p in zip(things, place)], "g long, g2 int, slice int, shard int")
+    columns = ["doc_id", "size", "text_crc32", "shard"]
+    placed = big.join(F.broadcast(map_), ["g", "g2", "slice"]).select(*columns)
+
+    small = groups.where(most <= 1)
+    n, *sums = small.agg(F.count("*"), F.sum("b"), F.sum("t"), F.sum("r")).first()
+    sums = np.maximum(np.array([x or 0 for x in sums], float), 1)
+
+    def pack_part(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["g", "g2"])
+        vectors = own[["b", "t", "r"]].to_numpy(float)
+        found, _ = pack(vectors / whole, np.maximum(free, 0) * (vectors.sum(0) / sums))
+        return own[["g", "g2"]].assign(shard=found.astype(np.int32))
+
+    part = F.pmod(F.xxhash64("g", "g2"), F.lit(max(1, -(-n // PART)))).alias("part")
+    small = written(small.select("g", "g2", "b", "t", "r", part).groupBy("part").applyInPandas(pack_part, "g long, g2 int, shard int"), "shard-small")
+    placed = placed.unionByName(rows.join(small, ["g", "g2"]).select(*columns))
     buckets = max(1, -(-total[2] // (shards * NUMBERED)))
-    rows = rows.join(F.broadcast(map_), "part").select("doc_id", "size", "text_crc32", "shard", F.pmod(own, F.lit(buckets)).alias("bucket"))
-    return numbered(rows)
+    return numbered(placed.withColumn("bucket", F.pmod(own, F.lit(buckets))))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
