@@ -59,7 +59,9 @@ def equal_groups(docs: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """
     marks = written(fingerprints(docs), "fingerprints") if marks is None else marks
     own = marks.where("doc_id is not null").select("doc_id", "fingerprint")
-    several = own.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    # Tables of their own, so that the joins with them are broadcasts, or such that skewed partitions can be split.
+    several = written(own.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "several-marks")
+    several = F.broadcast(several) if several.count() <= BROADCAST_IDS // 4 else several
     ids = written(own.join(several, "fingerprint", "left_semi").select("doc_id").distinct(), "several-ids")
     few = ids.count() <= BROADCAST_IDS
 
@@ -103,12 +105,13 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     """Each text, its edited text and the next text in descending doc_id, by their fingerprints.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next text. One
-    range exchange sorts the texts (null ids last, equal ids by text; after the last row comes the first) and a task
-    pairs its rows as they stream by. A task's last row meets the first row of the next task that has rows: those
+    range exchange sorts the texts (null ids last, equal ids by a hash of the text; after the last row comes the first)
+    and a task pairs its rows as they stream by. A task's last row meets the first row of the next task that has rows: those
     two texts of each task are joined afterwards. No rows give no rows.
     """
     prepare(docs.sparkSession)
-    ordered = texts(docs).repartitionByRange(F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc(), "text")
+    order = [F.col("doc_id").desc(), F.col("h")]
+    ordered = texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     names = ", ".join(f"{k} {v}" for k, v in COMPARED.items())
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,10 +4,12 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from scholia.llm import fingerprints, graph, near_dedup, suffix_dedup
 from scholia.llm.registry import QUERIES
@@ -213,22 +215,48 @@ def test_canonical(a, b, same):
     assert fingerprints.likeness(fingerprints.canonical(a), fingerprints.canonical(b)) == float(same)
 
 
-def check_fingerprints(docs):
-    texts = sorted(texts_of(docs), key=lambda r: r[1])
-    texts = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
-    texts = [x for k in dict.fromkeys(i for i, _ in texts) for x in sorted((y for y in texts if y[0] == k), key=lambda y: y[1])]
-    own = []
-    for n, (i, t) in enumerate(texts):
-        after = texts[(n + 1) % len(texts)][1]
-        own.append((i, *fingerprints.compared(t, fingerprints.canonical(t), after, fingerprints.canonical(after))))
-    assert sorted(map(tuple, fingerprints.compared_with_next(docs).collect()), key=str) == sorted(own, key=str)
+def plain_form(text):
+    """The canonical form, step by step on characters."""
+    folded = unicodedata.normalize("NFKC", "".join(c.casefold() for c in unicodedata.normalize("NFKC", text)))
+    return re.sub(r"\s+", " ", folded.replace("\x1c", " ").replace("\x1d", " ").replace("\x1e", " ").replace("\x1f", " ")).strip()
+
+
+def check_fingerprints(spark, docs):
+    """Against plain Python: edited texts by their SHA-256, fingerprints by which texts they tell apart."""
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    texts = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h, r.text))
+    rows = collections.defaultdict(list)
+    for r in fingerprints.compared_with_next(docs).collect():
+        rows[r.doc_id, r.n_chars, r.edited_sha256].append(r)
+    form = {}
+    for n, r in enumerate(texts):
+        after = texts[(n + 1) % len(texts)].text
+        half = len(r.text) // 2
+        edited = r.text[: len(r.text) - half] + after[:half]
+        own = rows[r.doc_id, len(r.text), hashlib.sha256(edited.encode()).hexdigest()].pop()
+        assert form.setdefault(own.fingerprint, plain_form(r.text)) == plain_form(r.text)
+        assert form.setdefault(own.edited_fingerprint, plain_form(edited)) == plain_form(edited)
+        assert (own.near_edited, own.near_next) == (plain_form(r.text) == plain_form(edited), plain_form(r.text) == plain_form(after))
+    assert len(set(form.values())) == len(form) and not any(rows.values())
 
 
 def test_fingerprints(spark, odd_docs, no_docs):
-    check_fingerprints(odd_docs)
-    check_fingerprints(no_docs)
-    check_fingerprints(spark.read.parquet(f"{SF}/documents.parquet"))
-    check_fingerprints(frame(spark, [(1, "only one")]))
+    check_fingerprints(spark, odd_docs)
+    check_fingerprints(spark, no_docs)
+    check_fingerprints(spark, spark.read.parquet(f"{SF}/documents.parquet"))
+    check_fingerprints(spark, frame(spark, [(1, "only one")]))
+
+
+def test_fingerprint_query(spark):
+    """Equal canonical texts share the registered query's fingerprint and group; others don't."""
+    texts = dict(texts_of(spark.read.parquet(f"{SF}/documents.parquet")))
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(plain_form(texts[i]), i)
+    rows = QUERIES["op10_fingerprints"](spark, SF).collect()
+    assert {r.doc_id: r.group_id for r in rows} == {i: first[plain_form(t)] for i, t in texts.items()}
+    assert {r.doc_id: r.n_chars for r in rows} == {i: len(t) for i, t in texts.items()}
+    assert len({r.fingerprint for r in rows}) == len(first)
 
 
 def test_groups_of_equal_texts(spark, odd_docs, no_docs):

@@ -48,10 +48,27 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
 
 def test_isotonic():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=500)
-    y = (x + rng.normal(size=500) > 0).astype(float)
-    knots, values = quality.pool_adjacent(x, y)
-    assert (np.diff(knots) > 0).all() and (np.diff(values) >= -0.2).all() and 0 <= values.min() <= values.max() <= 1
+    for n in (1, 2, 5, 40, 400):
+        for _ in range(20):
+            x = rng.normal(size=n).round(2)
+            y = (x + rng.normal(size=n) > 0).astype(float)
+            knots, values = quality.pool_adjacent(x, y)
+            assert (np.diff(knots) >= 0).all() and (np.diff(values) >= 0).all() and 0 <= values.min() <= values.max() <= 1
+            assert (np.diff(np.interp(np.linspace(-4, 4, 99), knots, values)) >= 0).all()
+
+
+def test_normal_equations_of_partitions_are_those_of_all_rows(spark):
+    """Weights from partition sums against a solution over all learnt rows at once."""
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    stats = quality.statistics_table(docs)
+    model = quality.fit(stats, quality._labels(labels))
+    known = labels.toPandas().set_index("doc_id")["quality"]
+    held = {r.doc_id for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(quality.SEED + 1)), F.lit(5)).alias("k")).collect() if r.k == 0}
+    learnt = [(r.stats, known[r.doc_id]) for r in stats.collect() if r.doc_id in known.index and zlib.crc32(str(r.doc_id).encode()) % 5]
+    fitted = [(r.stats, known[r.doc_id]) for r in stats.collect() if r.doc_id in known.index and zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id not in held]
+    z, y = model.features(np.array([x for x, _ in fitted])), np.array([y for _, y in fitted], float)
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * len(learnt) / z.shape[1] * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(model.weights, want, atol=1e-6)
 
 
 def brute_nearest(rows, k):
@@ -104,7 +121,7 @@ def test_duels_keep_words_and_chances():
     words = [rng.randrange(1, 400) for _ in range(60)]
     counts = np.zeros(60)
     for seed in range(1500):
-        found = mixing.duels_with_rest(list(range(60)), words, 0.3, seed)
+        found = mixing.duels(list(range(60)), words, [0.3] * 60, seed)
         assert sum(map(mixing.open_, found)) <= 1
         assert sum(f * w for f, w in zip(found, words)) == pytest.approx(0.3 * sum(words))
         counts += found
@@ -114,6 +131,45 @@ def test_duels_keep_words_and_chances():
     assert sum(map(mixing.open_, found)) <= 1 and sum(f * w for f, w in zip(found, words)) == pytest.approx(sum(f * w for f, w in zip(mixed, words)))
 
 
+def test_mix_of_twins(spark, monkeypatch):
+    """One row a thousand times over: its copies are dealt to many nodes, and the sums still meet the targets."""
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    rows = [(7, "a b c d", None, "s1", 1, *[None] * 9)] * 1000 + [(100 + i, "w " * (i % 9), None, f"s{i % 3}", 1, *[None] * 9) for i in range(500)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    first = mixing.mixed(docs).toPandas()
+    assert len(first) == 1500
+    sums = first.assign(taken=first["copies"] * first["size"]).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), largest=("size", "max"))
+    assert (abs(sums["taken"] - sums["target"]) <= sums["largest"]).all()
+    want, got = collections.Counter(), collections.Counter(r.doc_id for r in mixing.mix_documents(docs).collect())
+    for r in first.itertuples():
+        want[r.doc_id] += r.copies
+    assert got == +want
+
+
+def test_mix_against_plain_rounding(spark):
+    """One block a source: the tables' outcome is that of a plain loop over all documents."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.source, size_of(r.text or ""), k.key) for r, k in zip(docs.collect(), docs.select(F.xxhash64("doc_id", "source", "text").alias("key")).collect())]
+    names = sorted({r[1] for r in rows}, key=lambda x: (x is None, x or ""))
+    sums = [sum(r[2] for r in rows if r[1] == x) for x in names]
+    left, shares, open_ = sum(sums), {}, set(range(len(names)))
+    while open_:
+        per = left / sum(i % 3 + 1 for i in open_)
+        full = [i for i in open_ if per * (i % 3 + 1) > 3 * sums[i]]
+        shares |= {i: 3 * sums[i] if full else per * (i % 3 + 1) for i in full or open_}
+        left -= sum(shares[i] for i in full)
+        open_ -= set(full or open_)
+    found = {r.doc_id: r for r in QUERIES["op5_mixing"](spark, SF).collect()}
+    for i, name in enumerate(names):
+        own = [r for r in rows if r[1] == name]
+        rate = shares[i] / sums[i]
+        taken = sum(found[r[0]].taken for r in own)
+        assert all(found[r[0]].target == pytest.approx(shares[i]) and found[r[0]].source_size == sums[i] for r in own)
+        assert all(found[r[0]].taken in (int(rate) * r[2], (int(rate) + 1) * r[2]) for r in own)
+        assert abs(taken - shares[i]) <= max(r[2] for r in own)
+
+
 def test_mix(spark, odd_docs, no_docs, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for block in (4096, 16):
@@ -159,6 +215,28 @@ def test_shards(spark, odd_docs, no_docs, monkeypatch):
     assert (sums.max() - sums.min()) / sums.mean() < 0.1
 
 
+def test_shard_query(spark):
+    """The registered query: every row once, the law's promise, and equal texts together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pd.DataFrame([r.asDict() for r in QUERIES["op7_sharding"](spark, "/root/testdata/sf0.01").collect()]).set_index("doc_id")
+    texts = dict(texts_of(docs))
+    assert set(rows.index) == set(texts) and (rows["law"] == "bytes").all() and rows["grown_shard"].isna().all()
+    assert all(r.size == len(texts[i].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[i].encode()) for i, r in zip(rows.index, rows.itertuples()))
+    for _, own in rows.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+    share = rows["size"].sum() / 40
+    together = pd.DataFrame({"text": texts, "shard": rows["shard"], "size": rows["size"]}).groupby("text").agg(n=("shard", "nunique"), size=("size", "sum"), rows=("size", "count"))
+    assert (together["n"][(together["size"] <= share) & (together["rows"] <= len(rows) / 40)] == 1).all()
+
+
+@pytest.mark.parametrize("part", [20_000, 50])
+def test_small_groups_in_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(sharding, "PART", part)
+    rows = check_shards(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 10)
+    sums = rows.groupby("shard")["size"].sum()
+    assert (sums.max() - sums.min()) / sums.mean() < 0.1
+
+
 def test_shards_of_a_hot_group(spark):
     """Copies that make up a third of all rows are cut into slices; shards stay even."""
     rng = random.Random(4)
