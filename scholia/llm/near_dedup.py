@@ -1,14 +1,16 @@
 """MinHash near-duplicates with an LSH forest.
 
-A document's set is hashed to a signature; documents of equal sets are one class. Nothing is sorted: each tree takes the
-signature rotated to its own start, and hashes its first DEPTH values; classes that have these in common are a region. A region with too
-many or too large sets is dense: it is first split by one more value at a time, and the parts' first classes form a
-region of their own, which connects most of it; what its largest component then lacks is compared with all of the
-region, block against block. Within a region all classes of different components are compared, the best linked first:
-signatures that agree in FEWEST of their values or more (6 standard deviations below a link's mean) are confirmed on
-the full sets, until nothing is left to connect. Trees come in rounds, and a region whose classes are connected by
-earlier rounds needs no work, so full sets are moved only where something may be new, and a region gives at most as many
-links as it has classes.
+A document's set is hashed to a signature; documents of equal sets are one class. Each tree takes the signature rotated
+to its own start and orders the classes by it: a hash of the first DEPTH values deals the order's stretches, the
+regions, to tasks, and a task sorts its own. There, neighbours in the order are compared first, those with the longest
+common prefixes before others. What is then left in several components is compared over a prefix index of the region's
+sets (two sets that are alike enough share one of their rarest members), so that no pair of a region is left out.
+
+The depth is each region's own: one with too many or too large sets is split by one more value at a time, and the parts'
+first classes form a region of their own, which connects most of it; what its largest component then lacks is compared
+with all of the region, block against block. Trees come in rounds, and a region whose classes are connected by earlier
+rounds needs no work, so full sets are moved only where something may be new, and a region gives at most as many links
+as it has classes. Pairs that met in an earlier tree aren't compared again.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table, texts, written
+from .common import fresh, prepare, table, texts, written
 from .graph import components
 from .wordcache import Bounded
 
@@ -32,8 +34,6 @@ WORDS, SIMILAR = 5, (75, 100)
 #: tree with probability (1 - 0.75 ** 3) ** 24 = 2e-6.
 ROUNDS, DEPTH = (1, 3, 8, 12), 3
 VALUES = sum(ROUNDS) * DEPTH
-#: A link at exactly 0.75 agrees in fewer of its 72 values with probability 3e-8, well below what the trees miss.
-FEWEST = 0.45
 #: Classes, and shingles of all of them together, of a region that one task takes.
 MOST, MOST_SHINGLES = 4000, 6_000_000
 #: Ids whose texts are read again that are broadcast at most (8 bytes each).
@@ -45,7 +45,7 @@ _xor = _rng.integers(0, 1 << 63, VALUES, np.uint64)
 
 
 class _WordHashes(Bounded):
-    bound, stay = 600_000, 150_000
+    bound, stay = 300_000, 150_000
 
     def __missing__(self, word: bytes) -> int:
         self[word] = found = xxhash.xxh3_64_intdigest(word)
@@ -111,7 +111,7 @@ def prefixes(classes: DataFrame, trees: range, depth: int) -> DataFrame:
 
 
 def regions(classes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame | None]:
-    """region and rep of every region that has several classes, dense ones split by further values; and what is dense.
+    """tree, region and rep of every region that has several classes, dense ones split by further values; and what is dense.
 
     The second (tree, region, rep, n_shingles) has the dense regions before any split, or is None.
     """
@@ -121,7 +121,7 @@ def regions(classes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame | No
         sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
         sizes = sizes.withColumn("dense", (F.col("n") > MOST) | (F.col("s") > MOST_SHINGLES) & (F.col("n") > 2))
         sizes = written(sizes.select("region", "dense"), "forest-sizes")
-        fit_ = rows.join(sizes.where("not dense").select("region"), "region").select("region", "rep")
+        fit_ = rows.join(sizes.where("not dense").select("region"), "region").select("tree", "region", "rep")
         out = fit_ if out is None else out.union(fit_)
         if sizes.where("dense").isEmpty():
             return out, whole
@@ -135,9 +135,9 @@ def regions(classes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame | No
         else:  # equal signatures: any parts will do
             rows = dense.withColumn("deep", F.pmod(F.xxhash64("rep", F.lit(depth)), F.lit(16)))
         rows = written(rows.select("rep", "n_shingles", "tree", "top", F.xxhash64("top", "deep").alias("region")), "forest-deeper")
-        heads = rows.groupBy("top", "region").agg(F.min_by(F.struct("rep", "n_shingles"), "rep").alias("h")).select("top", "h.*")
+        heads = rows.groupBy("tree", "top", "region").agg(F.min_by(F.struct("rep", "n_shingles"), "rep").alias("h")).select("tree", "top", "h.*")
         heads = heads.join(heads.groupBy("top").agg(_blocks(MOST, MOST_SHINGLES).alias("blocks")), "top")
-        out = out.union(heads.select(F.xxhash64("top", F.lit(depth), _block("blocks")).alias("region"), "rep"))
+        out = out.union(heads.select("tree", F.xxhash64("top", F.lit(depth), _block("blocks")).alias("region"), "rep"))
         rows = rows.drop("top")
 
 
@@ -192,71 +192,92 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= SIMILAR[0] * (len(a) + len(b) - common)
 
 
-def linked(own: pd.DataFrame) -> list[tuple[int, int]]:
-    """Links that connect what one region's classes (rep, component, sig, set) can be connected by."""
-    reps, labels = own["rep"].to_numpy(), own["component"].to_numpy().copy()
-    if len(set(labels)) < 2:
-        return []
-    sigs = np.frombuffer(b"".join(own["sig"]), "<u4").reshape(-1, VALUES)
-    sets = [np.frombuffer(x, "<u8") for x in own["set"]]
-    agree = (lambda i: (sigs == sigs[i]).mean(1)) if len(own) > 2 else lambda i: np.ones(2)
-    degree = [int((agree(i) >= SIMILAR[0] / 100).sum()) for i in range(len(own))] if len(own) > 2 else [0, 0]
-    found = []
-    for i in sorted(range(len(own)), key=lambda i: (-degree[i], reps[i])):
-        near = agree(i)
-        for j in np.flatnonzero((labels != labels[i]) & (near >= FEWEST))[np.argsort(-near[(labels != labels[i]) & (near >= FEWEST)], kind="stable")].tolist():
+def rarest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Postings of an index of each set's rarest members, as many as it can lack of a set it is linked to, and one more.
+
+    Owners in the order of members; each member's first place (and the end); and each set's own members.
+    """
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, member, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((member, counts[member], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    most = sizes - -(-SIMILAR[0] * sizes // SIMILAR[1]) + 1
+    order = order[(place < most[owner]) & (counts[member[order]] > 1)]  # owner is sorted: order keeps its owners
+    own = np.split(member[order], np.searchsorted(owner[order], np.arange(1, len(sets))))
+    by_member = np.argsort(member[order], kind="stable")
+    starts = np.searchsorted(member[order][by_member], np.arange(len(counts) + 1))
+    return owner[order][by_member], starts, own
+
+
+def met(sigs: np.ndarray, own: np.ndarray, tree: int) -> np.ndarray:
+    """Which signatures share a region of an earlier tree with own."""
+    return (sigs[:, : tree * DEPTH] == own[: tree * DEPTH]).reshape(len(sigs), tree, DEPTH).all(2).any(1)
+
+
+def completed(sets: list[np.ndarray], sigs: np.ndarray, labels: np.ndarray, asked: np.ndarray, tree: int) -> list[tuple[int, int]]:
+    """Links that connect asked sets with any, where labels differ and no earlier tree had both; labels are joined.
+
+    All pairs that the index doesn't rule out are compared, so no link is missed between what stays apart.
+    """
+    found: list[tuple[int, int]] = []
+    if not len(asked) or (labels == labels[0]).all():
+        return found
+    owners, starts, own = rarest(sets)
+    for i in asked.tolist():
+        lists = [owners[starts[k] : starts[k + 1]] for k in own[i].tolist()]
+        near = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+        near = near[labels[near] != labels[i]]
+        if len(near):
+            near = near[~met(sigs[near], sigs[i], tree)]
+        for j in near.tolist():
             if labels[j] != labels[i] and similar(sets[i], sets[j]):
-                found.append((int(reps[i]), int(reps[j])))
+                found.append((i, j))
                 labels[labels == labels[j]] = labels[i]
         if (labels == labels[0]).all():
             break
     return found
 
 
-def unmet(sigs: np.ndarray, i: int, labels: np.ndarray, tree: int) -> np.ndarray:
-    """Which classes i has to be compared with: of another component, alike enough, and in no region of an earlier tree."""
-    same = sigs == sigs[i]
-    earlier = same[:, : tree * DEPTH].reshape(len(sigs), tree, DEPTH).all(2).any(1)
-    return (labels != labels[i]) & (same.mean(1) >= FEWEST) & ~earlier
-
-
-def needed(own: pd.DataFrame) -> np.ndarray:
-    """Which rows of a pair of blocks (tree, component, sig, asked) have a class to be compared with."""
-    sigs, labels = np.frombuffer(b"".join(own["sig"]), "<u4").reshape(-1, VALUES), own["component"].to_numpy()
-    found = np.zeros(len(own), bool)
-    for i in np.flatnonzero(own["asked"]).tolist():
-        near = unmet(sigs, i, labels, int(own["tree"].iloc[0]))
-        found |= near
-        found[i] |= near.any()
-    return found
+def linked(own: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links that connect what one region's classes (tree, rep, component, sig, set) can be connected by."""
+    reps, labels, tree = own["rep"].to_numpy(), own["component"].to_numpy().copy(), int(own["tree"].iloc[0])
+    if (labels == labels[0]).all():
+        return []
+    sigs = np.frombuffer(b"".join(own["sig"]), "<u4").reshape(-1, VALUES)
+    sets = [np.frombuffer(x, "<u8") for x in own["set"]]
+    rotated = np.roll(sigs, -tree * DEPTH, 1)
+    raw = rotated.astype(">u4")
+    order = sorted(range(len(own)), key=lambda i: (raw[i].tobytes(), reps[i]))
+    differ = rotated[order[1:]] != rotated[order[:-1]]
+    common = np.where(differ.any(1), differ.argmax(1), VALUES)
+    found = []
+    for k in np.argsort(-common, kind="stable").tolist():
+        i, j = order[k], order[k + 1]
+        if labels[i] != labels[j] and similar(sets[i], sets[j]):
+            found.append((i, j))
+            labels[labels == labels[j]] = labels[i]
+    if len(own) > 2:
+        values, counts = np.unique(labels, return_counts=True)
+        found += completed(sets, sigs, labels, np.flatnonzero(labels != values[np.argmax(counts)]), tree)
+    return [(int(reps[i]), int(reps[j])) for i, j in found]
 
 
 def linked_blocks(own: pd.DataFrame) -> list[tuple[int, int]]:
     """As linked, of a pair of blocks: what is asked against all."""
     reps, labels = own["rep"].to_numpy(), own["component"].to_numpy().copy()
     sigs, sets = np.frombuffer(b"".join(own["sig"]), "<u4").reshape(-1, VALUES), [np.frombuffer(x, "<u8") for x in own["set"]]
-    found = []
-    for i in np.flatnonzero(own["asked"]).tolist():
-        for j in np.flatnonzero(unmet(sigs, i, labels, int(own["tree"].iloc[0]))).tolist():
-            if labels[j] != labels[i] and similar(sets[i], sets[j]):
-                found.append((int(reps[i]), int(reps[j])))
-                labels[labels == labels[j]] = labels[i]
-    return found
+    found = completed(sets, sigs, labels, np.flatnonzero(own["asked"]), int(own["tree"].iloc[0]))
+    return [(int(reps[i]), int(reps[j])) for i, j in found]
 
 
 def dense_links(whole: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what dense regions still lack; sets are moved only of classes that may be linked."""
-    place = "tree int, region long, i int, j int, rep long, component long, asked boolean"
-    own = [x.split()[0] for x in place.split(", ")]
-
-    def ask(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.loc[needed(rows), own]
+    """Links (a, b) that connect what dense regions still lack."""
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(linked_blocks(rows), columns=["a", "b"], dtype="int64")
 
-    todo = written(blocks(whole, labels).join(sigs, "rep").groupBy("region", "i", "j").applyInPandas(ask, place), "dense-todo")
-    return todo.join(sigs, "rep").join(sets, "rep").groupBy("region", "i", "j").applyInPandas(link, "a long, b long")
+    return blocks(whole, labels).join(sigs, "rep").join(sets, "rep").groupBy("region", "i", "j").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -290,7 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if labels is None:
             placed = found.withColumn("component", F.col("rep"))
         else:
-            placed = found.join(labels, found.rep == labels.node, "left").select("region", "rep", F.coalesce("component", "rep").alias("component"))
+            placed = found.join(labels, found.rep == labels.node, "left").select("tree", "region", "rep", F.coalesce("component", "rep").alias("component"))
         open_ = placed.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("region")
         todo = placed.join(open_, "region").join(sigs, "rep").join(sets, "rep")
 
@@ -315,11 +336,15 @@ def _repeated(marks: DataFrame) -> bool:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, one for each doc_id, with the same columns."""
+    """The rows of docs that near_duplicates keeps, one for each doc_id, with the same columns.
+
+    Rows with a null id stay; of repeated ids one row stays, with any of their texts. No rows give no rows.
+    """
     marks = written(near_duplicates(docs), "near-kept")
-    gone = marks.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    (own,) = fresh(docs, "gone_id")
+    gone = marks.where("not kept").select(F.col("doc_id").alias(own)).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    rows = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    rows = docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")
     if _repeated(marks):
         rows = rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null"))
     return rows

@@ -84,12 +84,48 @@ def test_dense_regions_compare_all(spark, monkeypatch):
     check_groups(spark, frame(spark, docs))
 
 
+def region_of(sets, tree=0):
+    return pd.DataFrame({"tree": tree, "rep": range(1, len(sets) + 1), "component": range(1, len(sets) + 1), "sig": [near_dedup.signature(s).tobytes() for s in sets], "set": [s.tobytes() for s in sets]})
+
+
+def components_of(n, links):
+    name = list(range(n + 1))
+    for a, b in links:
+        name = [name[a] if v == name[b] else v for v in name]
+    return [name.index(v) for v in name[1:]]
+
+
 def test_links_with_unlikely_signatures():
     """A link at 0.75 whose signatures agree in 0.54 of their values, in a region of three."""
     x = np.unique(np.random.default_rng(4759).integers(0, 1 << 63, 64, np.uint64))
-    sets = [x[:28], np.concatenate([x[:24], x[28:32]]), x[40:]]
-    own = pd.DataFrame({"rep": [1, 2, 3], "component": [1, 2, 3], "sig": [near_dedup.signature(s).tobytes() for s in sets], "set": [s.tobytes() for s in sets]})
-    assert near_dedup.linked(own) == [(1, 2)]
+    assert near_dedup.linked(region_of([x[:28], np.concatenate([x[:24], x[28:32]]), x[40:]])) in ([(1, 2)], [(2, 1)])
+
+
+def test_regions_are_compared_whole():
+    """Random sets around the line, in one region whatever their signatures: components are those of all pairs."""
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 9, 40):
+        for _ in range(25):
+            pool = np.unique(rng.integers(0, 1 << 63, 60, np.uint64))
+            sets = [np.sort(rng.choice(pool, rng.integers(1, 59), False)) for _ in range(n // 2)]
+            sets += [np.sort(np.unique(np.concatenate([s[: max(1, len(s) * 9 // 10)], rng.integers(0, 1 << 63, 2, np.uint64)]))) for s in sets] + [pool[:1 + n % 2]]
+            links = [(a + 1, b + 1) for b in range(len(sets)) for a in range(b) if near_dedup.similar(sets[a], sets[b])]
+            assert components_of(len(sets), near_dedup.linked(region_of(sets))) == components_of(len(sets), links)
+
+
+def test_many_pairs_at_the_line_in_one_region(spark, monkeypatch):
+    """Pairs just over 0.75 that share a long part with all others: every pair is its own component, however dense."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared, docs = [word() for _ in range(60)], []
+    for k in range(40):
+        own = [word() for _ in range(60)]
+        for side in range(2):
+            docs.append((2 * k + side, " ".join(shared + own[: 60 - 12 * side] + [word() for _ in range(12 * side)])))
+    check_groups(spark, frame(spark, docs))
+    for most in (20, 6):
+        monkeypatch.setattr(near_dedup, "MOST", most)
+        check_groups(spark, frame(spark, docs))
 
 
 def test_one_of_each(spark, odd_docs, no_docs):
