@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 
 import pandas as pd
@@ -13,37 +14,43 @@ from pyspark.sql import types as T
 # Digits and units of amounts in Chinese capitals; tags and attributes that the sanitizer keeps.
 DIGITS, PLACES, GROUPS = "零壹贰叁肆伍陆柒捌玖", ["", "拾", "佰", "仟"], ["元", "万", "亿"]
 KEPT = {"a": {"href", "target"}, "img": {"src", "width", "height", "alt"}, "b": set(), "strong": set(), "i": set(), "em": set()}
-PROTOCOLS = ("http:", "https:", "mailto:")
+PROTOCOLS = ("http", "mailto", "https")
+
+
+def capital_number(n: int) -> str:
+    """A whole number in Chinese capitals, of any size; nothing for 0."""
+    if n >= 10**8:
+        high, low = divmod(n, 10**8)
+        return capital_number(high) + GROUPS[2] + (DIGITS[0] if low and low < 10**7 else "") + capital_number(low)
+    out, gap = "", False
+    for k in reversed(range(8)):
+        d = n // 10**k % 10
+        if d:
+            out += (DIGITS[0] if gap and out else "") + DIGITS[d] + PLACES[k % 4]
+        gap = not d
+        if k == 4 and n >= 10**4:
+            out += GROUPS[1]
+    return out
 
 
 def capital_amount(x: float | None) -> str | None:
-    """An amount in Chinese capitals, to whole hundredths."""
-    if x is None or x != x:
+    """An amount in Chinese capitals, to whole hundredths; what isn't a finite number gives null."""
+    if x is None or not math.isfinite(x):
         return None
     cents = round(abs(x) * 100)
-    whole, tenths, hundredths = cents // 100, cents // 10 % 10, cents % 10
-    out, gap = "", False
-    for k in reversed(range(12)):
-        d = whole // 10**k % 10
-        if d:
-            out += ("零" if gap and out else "") + DIGITS[d] + PLACES[k % 4]
-            gap = False
-        else:
-            gap = True
-        if k % 4 == 0 and k and whole // 10**k % 10_000:
-            out += GROUPS[k // 4]
-            gap = False if d else gap
-    out += "元" if out else ""
+    tenths, hundredths = cents // 10 % 10, cents % 10
+    whole = capital_number(cents // 100)
+    whole += GROUPS[0] if whole else ""
     small = (DIGITS[tenths] + "角" if tenths else "") + (DIGITS[hundredths] + "分" if hundredths else "")
-    text = (out + small if small else out + "整") if out or small else "零元整"
+    text = (whole + small if small else whole + "整") if whole or small else "零元整"
     return ("负" if x < 0 and cents else "") + text
 
 
 def escaped(text: str) -> str:
-    """Letters and digits as they are, others as %XX or %uXXXX."""
-    units = text.encode("utf-16-be")
+    """Every UTF-16 unit as %xx, or as %uxxxx from 256 on."""
+    units = text.encode("utf-16-be", "surrogatepass")
     codes = [units[i] << 8 | units[i + 1] for i in range(0, len(units), 2)]
-    return "".join(chr(c) if c < 128 and chr(c).isalnum() else f"%{c:02X}" if c < 256 else f"%u{c:04X}" for c in codes)
+    return "".join(f"%{c:02x}" if c < 256 else f"%u{c:04x}" for c in codes)
 
 
 def unescaped(text: str) -> str:
@@ -52,8 +59,24 @@ def unescaped(text: str) -> str:
     return units.decode("utf-16-be", "replace")
 
 
+ATTRIBUTE = re.compile(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s]+))""")
+
+
+def linked_value(value: str) -> str:
+    """A link of a protocol that is kept, or with it replaced by #."""
+    protocol = re.match(r"([^:]+):", value)
+    if not protocol or protocol[1].lower() in PROTOCOLS or "/" in protocol[1]:
+        return value
+    rest = "#" + value[len(protocol[0]) :]
+    return "#" + rest[3:] if rest.startswith("#//") else rest
+
+
 def sanitized(text: str) -> str:
-    """HTML with the kept tags only, closed in order; comments and other tags go, their text stays, escaped."""
+    """HTML with the kept tags only, closed in order; comments and other tags go, their text stays, escaped.
+
+    Attributes may be quoted or not; links of other protocols become anchors; kept pairs without content go, and so do
+    those that this empties.
+    """
     out, opened = [], []
     for mark, words in re.findall(r"(?s)(<!--.*?-->|</?[A-Za-z][^<>]*>)|([^<]+|<)", text):
         if words:
@@ -71,17 +94,19 @@ def sanitized(text: str) -> str:
                 out.append(f"</{tag}>")
             continue
         attrs = ""
-        for name, a, b in re.findall(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""", found[3]):
-            value, name = (a or b).strip(), name.lower()
-            link = name in ("href", "src")
-            if name in KEPT[tag] and not (link and ":" in value.split("/")[0] and not value.lower().startswith(PROTOCOLS)):
-                attrs += f' {name}="{html.escape(html.unescape(value))}"'
+        for name, *given in ATTRIBUTE.findall(found[3]):
+            value, name = html.unescape("".join(given)).strip(), name.lower()
+            if name in KEPT[tag]:
+                attrs += f' {name}="{html.escape(linked_value(value) if name in ("href", "src") else value)}"'
         if tag == "img":
             out.append(f"<img{attrs} />")
         else:
             out.append(f"<{tag}{attrs}>")
             opened.append(tag)
-    return "".join(out) + "".join(f"</{t}>" for t in reversed(opened))
+    whole, before = "".join(out) + "".join(f"</{t}>" for t in reversed(opened)), None
+    while whole != before:
+        before, whole = whole, re.sub(r"<(a|b|strong|i|em)(?:\s[^<>]*)?></\1>", "", whole)
+    return whole
 
 
 def decision(text: str | None) -> bool | None:

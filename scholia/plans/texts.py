@@ -114,7 +114,7 @@ def dat_span(t: Tables) -> DataFrame:
 CASE WHEN l_discount * 10 < 0.34 THEN 'L' WHEN l_discount * 10 < 0.67 THEN 'M' ELSE 'H' END AS lvl, round(1.0 + (0.05 - 1.0) * least(1.0, l_linenumber / 5.0), 6) AS eps FROM lineitem""")
 def mth_scores(t: Tables) -> DataFrame:
     """Half-up division, clamps, levels and a schedule."""
-    unit = F.round(N.exact(F.col("l_extendedprice")) / N.exact(F.col("l_quantity")), 4).cast("double")
+    unit = N.divided(F.col("l_extendedprice"), F.col("l_quantity"), 4).cast("double")
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", unit.alias("unit"), N.clamp(F.col("l_discount") * 12).alias("share"), N.level(F.col("l_discount") * 10).alias("lvl"), F.round(N.epsilon(F.col("l_linenumber"), 1.0, 0.05, 5), 6).alias("eps"))
 
 

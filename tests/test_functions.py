@@ -33,7 +33,7 @@ def test_options(spark):
     assert value(spark, T.options_block(F.map_from_arrays(F.array(F.lit("B"), F.lit("A")), F.array(F.lit(" b "), F.lit("  "))))) == "B. b"
 
 
-@pytest.mark.parametrize(("kind", "given", "shown"), [("phone", "13812345678", "138****5678"), ("email", "alice@x.org", "a****@x.org"), ("password", "abc", "***"), ("username", "Tom", "T*m")])
+@pytest.mark.parametrize(("kind", "given", "shown"), [("phone", "13812345678", "138****5678"), ("email", "alice@x.org", "a****@x.org"), ("password", "abc", "***"), ("username", "Tom", "T*m"), ("password", " ", ""), ("bank_card", "622202123456789012", "**** **** **** **** 012"), ("bank_card", "12345678901", "12345678901"), ("id_card", "110101199003077777", "1101** **** ****7777"), ("id_card", "11010119900307777X", "11010119900307777X"), ("plate", "京A12345", "京A1***5"), ("plate", "京AD12345", "京AD****5"), ("plate", "京A1234", "京A1234"), ("plate", "", "")])
 def test_masks(spark, kind, given, shown):
     assert value(spark, T.masked(F.lit(given), kind)) == shown
 
@@ -64,6 +64,41 @@ def test_exact_sums(spark):
     assert float(value(spark, F.round(N.exact(F.lit(-1.235)), 2))) == -1.24
 
 
+@pytest.mark.parametrize(("f", "a", "b", "out"), [(N.added, 0.1, 0.2, 0.3), (N.subtracted, 0.3, 0.2, 0.1), (N.multiplied, 0.1, 0.2, 0.02), (N.added, 1 / 3e8, 0.0, 1 / 3e8), (N.multiplied, 1e-12, 2.0, 2e-12), (N.added, 1e25, 1.0, 1e25)])
+def test_arithmetic(spark, f, a, b, out):
+    assert value(spark, f(F.lit(a), F.lit(b))) == out
+
+
+@pytest.mark.parametrize(("n", "mb"), [(0, 0.0), (1048576, 1.0), (5243, 0.01), (5242, 0.0), (1572864, 1.5), (10_000_000_000, 9536.74)])
+def test_megabytes(spark, n, mb):
+    assert value(spark, N.megabytes(F.lit(n))) == mb
+
+
+def test_long_names(spark):
+    name = "_".join(["ab"] * 150)
+    assert value(spark, T.snake_to_camel(F.lit(name))) == "ab" + "Ab" * 149
+    assert value(spark, T.snake_to_camel(F.lit("a_" + "b" * 3000))) == "aB" + "b" * 2999
+
+
+def test_lists_and_templates(spark):
+    assert value(spark, T.split_list(F.lit(" a, ,b "))) == ["a", "b"] and value(spark, T.split_list(F.lit(None).cast("string"))) == []
+    assert value(spark, T.filled("{} is \\\\{} of {}", F.lit("x"), F.lit(2))) == "x is \\2 of {}"
+    assert value(spark, T.filled("a \\{} {}", F.lit(1))) == "a {} 1"
+    assert value(spark, T.contains_any(F.array(F.lit("A"), F.lit("b")), ["a"], fold=True)) and not value(spark, T.contains_any(F.array(F.lit("A")), ["a"]))
+    assert value(spark, T.hidden(F.lit("abcdef"), 2, 4)) == "ab**ef" and value(spark, T.hidden(F.lit("abc"), 2, 9)) == "ab*"
+    assert value(spark, T.link_path(F.lit("https://www.a.b:80/c"))) == "a/b/80/c" and value(spark, T.is_http(F.lit("https://x")))
+    assert value(spark, T.picture_type(F.unhex(F.lit("89504E470D0A1A0A")))) == "PNG" and value(spark, T.picture_type(F.unhex(F.lit("FFD8FFE000104A464946")))) == "JPG"
+    assert T.canonical_digest({"b": 1, "a": [1]}) == T.canonical_digest({"a": [1], "b": 1})
+
+
+def test_options_of_lists_maps_and_lines(spark):
+    assert value(spark, T.listed_options(F.array(F.lit("one"), F.lit("C. two"), F.lit(None).cast("string"), F.lit("xyz"), F.lit("four")))) == {"A": "one", "C": "two", "D": "xyz", "F": "our"}
+    assert value(spark, T.named_options(F.create_map(F.lit("a1"), F.lit(" x "), F.lit(""), F.lit("y")))) == {"A": "x", "?": "y"}
+    assert value(spark, T.parsed_options(F.lit("1 A. xy 2 B. z"))) == {"A": "xy 2", "B": "z"}
+    assert value(spark, T.parsed_options(F.lit("only A. one"))) == {}
+    assert value(spark, T.parsed_options(F.lit("a. one\nA: two"))) == {"A": "two"}
+
+
 def test_addresses(spark):
     assert value(spark, N.ip_allowed(F.lit("10.0.0.7"), ["10.0.0.1-10.0.0.9"])) is True
     assert value(spark, N.ip_allowed(F.lit("10.0.0.77"), ["10.0.0.1-10.0.0.9", "10.1.*.*"])) is False
@@ -120,9 +155,9 @@ def test_streaks(spark):
     assert value(spark, activity.clamp_days(F.lit(None).cast("int"))) == 1
 
 
-@pytest.mark.parametrize(("text", "bad"), [("<hint>a</hint>", []), ("plain", ["none"]), ("<hint>a", ["unclosed"]), ("</hint>", ["stray_close", "none"]), ("<hint>a</check>", ["mismatch"]), ("<hint/>", ["self_closed_content"]), ("<end></end>", ["end_not_self_closed", "paired_end"]), ("<hint>a <end/></hint>", ["end_nested"]), ("<foo>x</foo>", ["unknown_tag", "none"]), ("<hint>a</hint><end/>", [])])
+@pytest.mark.parametrize(("text", "bad"), [("<hint>a</hint>", []), ("plain", ["no_tags"]), (None, ["not_text"]), (" ", ["empty"]), ("<hint>a", ["unclosed"]), ("</hint>", ["stray_close"]), ("<check>x <hint>y</hint></check>", ["nested", "mismatch", "stray_close"]), ("<Hint>a</Hint>", ["unknown_tag", "unknown_tag"]), ("<probe>a</probe><recall>b</recall>", []), ("<hint>a <hint>b</hint>", ["nested"]), ("<oops> <hint>a</hint>", ["unknown_tag"]), ("<hint>a</check>", ["mismatch"]), ("<hint/>", ["self_closed_content"]), ("<end></end>", ["end_not_self_closed", "paired_end"]), ("<hint>a <end/></hint>", ["end_nested"]), ("<foo>x</foo>", ["unknown_tag", "unknown_tag"]), ("<hint>a</hint><end/>", [])])
 def test_defects(spark, text, bad):
-    assert value(spark, dialogue.turn_defects(F.lit(text))) == bad
+    assert value(spark, dialogue.turn_defects(F.lit(text).cast("string"))) == bad
 
 
 def test_walk(spark):
@@ -137,7 +172,7 @@ def test_fusion(spark):
     assert [r.d for r in rows] == [11, 10] and abs(rows[0].score - (1 / 101 + 1 / 102)) < 1e-9
 
 
-@pytest.mark.parametrize(("x", "words"), [(0.0, "零元整"), (1.0, "壹元整"), (10.5, "壹拾元伍角"), (1001.03, "壹仟零壹元叁分"), (-120000.0, "负壹拾贰万元整"), (100000001.0, "壹亿零壹元整"), (0.05, "伍分")])
+@pytest.mark.parametrize(("x", "words"), [(0.0, "零元整"), (1.0, "壹元整"), (10.5, "壹拾元伍角"), (1001.03, "壹仟零壹元叁分"), (-120000.0, "负壹拾贰万元整"), (100000001.0, "壹亿零壹元整"), (0.05, "伍分"), (1e12, "壹万亿元整"), (123456789012345.0, "壹佰贰拾叁万肆仟伍佰陆拾柒亿捌仟玖佰零壹万贰仟叁佰肆拾伍元整"), (float("inf"), None), (20_000_010.0, "贰仟万零壹拾元整"), (100_010_000.0, "壹亿零壹万元整")])
 def test_amounts(x, words):
     assert rowwise.capital_amount(x) == words
 
@@ -145,8 +180,9 @@ def test_amounts(x, words):
 def test_rowwise():
     for text in ("a b", "é中\U0001f600%", ""):
         assert rowwise.unescaped(rowwise.escaped(text)) == text
-    assert rowwise.escaped("a 中") == "a%20%u4E2D"
-    assert rowwise.sanitized('<b>x<script>y</script><a href="javascript:z" target="t">k</b><!-- c -->') == '<b>xy<a target="t">k</a></b>'
+    assert rowwise.escaped("aZ 中\n") == "%61%5a%20%u4e2d%0a" and rowwise.unescaped("a%20%u4E2Dz") == "a 中z"
+    assert rowwise.sanitized('<b>x<script>y</script><a href="javascript:z" target="t">k</b><!-- c -->') == '<b>xy<a href="#z" target="t">k</a></b>'
+    assert rowwise.sanitized("<a href=http://x/y target=_b>k</a><i> </i><b><em></em></b><IMG src=q.png onerror=z>") == '<a href="http://x/y" target="_b">k</a><i> </i><img src="q.png" />'
     assert rowwise.decision('```json\n{"approved": true, "reason": ""}\n```') is True
     assert rowwise.decision('{"approved": true, "approved": false, "reason": ""}') is None
     assert rowwise.decision('{"approved": 1, "reason": ""}') is None and rowwise.decision(None) is None
