@@ -10,6 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chance
+from ..shared import written
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as make it no column of df."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 class Where:
@@ -92,20 +100,43 @@ def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int | No
 def keep_first(df: DataFrame, key: Sequence[Column], order: Sequence[Column]) -> DataFrame:
     """The first row of each key: one exchange by the key, no row sent twice."""
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("__n", n).where("__n = 1").drop("__n")
+    own = fresh(df, "place")
+    return df.withColumn(own, n).where(F.col(own) == 1).drop(own)
 
 
 def last_wins(df: DataFrame, key: str, pos: str) -> DataFrame:
     """The last row of each key in the place of its first: aggregates only, so a hot key is merged before the exchange."""
     rest = [c for c in df.columns if c not in (key, pos)]
     packed = F.struct(F.col(pos), *rest)
-    return df.groupBy(key).agg(F.min(pos).alias("__first"), F.max_by(packed, F.col(pos)).alias("__row")).select(key, F.col("__first").alias(pos), *[F.col("__row")[c].alias(c) for c in rest])
+    first, row = fresh(df, "first_place"), fresh(df, "last_row")
+    return df.groupBy(key).agg(F.min(pos).alias(first), F.max_by(packed, F.col(pos)).alias(row)).select(key, F.col(first).alias(pos), *[F.col(row)[c].alias(c) for c in rest])
+
+
+def last_wins_numbered(df: DataFrame, key: str, pos: str) -> DataFrame:
+    """last_wins of rows in order of pos (a number from 0 on without gaps), blank keys first numbered `q-000001`.
+
+    A blank key's number is one more than the keys that are there before it; where that is another row's own key, the
+    later one wins. Numbers are given along the order, in one task: it is the size of a list of questions, not a corpus.
+    """
+    given = F.trim(F.coalesce(F.col(key), F.lit("")))
+    order = Window.orderBy(pos)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    own = fresh(df, "given_key")
+    rows = df.withColumn(own, F.when(given != "", given))
+    # A row adds a key if it is blank or the first of its key.
+    new = F.when(F.col(own).isNull() | (F.row_number().over(Window.partitionBy(own).orderBy(pos)) == 1), 1).otherwise(0)
+    count = fresh(df, "new_key")
+    rows = rows.withColumn(count, new)
+    number = F.coalesce(F.sum(count).over(before), F.lit(0)) + 1
+    rows = rows.withColumn(key, F.coalesce(own, F.concat(F.lit("q-"), F.lpad(number.cast("string"), 6, "0")))).drop(own, count)
+    return last_wins(rows, key, pos)
 
 
 def capped(df: DataFrame, group: Sequence[str], key: str, most: int, seed: int) -> DataFrame:
     """At most so many rows of each group, drawn by the digest of seed and key."""
     n = F.row_number().over(Window.partitionBy(*group).orderBy(chance(seed, F.col(key)), key))
-    return df.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
+    own = fresh(df, "place")
+    return df.withColumn(own, n).where(F.col(own) <= most).drop(own)
 
 
 def priority_sample(df: DataFrame, first: Column, key: str, total: int, seed: int) -> DataFrame:
@@ -126,21 +157,36 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def depths(nodes: DataFrame, node: str, parent: str, most: int = 32) -> DataFrame:
-    """node, depth and path of a forest; roots are nodes whose parent isn't a node. One join a level."""
+def depths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """node, depth and path of a forest of any depth; roots are nodes whose parent isn't a node, all if there is none.
+
+    One join a level, each a table in the shared folder. Nodes that hang on a circle have no root and are left out,
+    unless all do.
+    """
     nodes = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
     roots = nodes.join(nodes.select(F.col("node").alias("p")), F.col("parent") == F.col("p"), "left_anti")
-    level = roots.select("node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"))
-    out = level
-    for _ in range(most):
+    top = written(roots.select("node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path")), "tree")
+    if top.isEmpty():
+        return nodes.select("node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"))
+    level, out = top, top
+    while not level.isEmpty():
         below = nodes.join(level.select(F.col("node").alias("parent"), F.col("depth").alias("d"), F.col("path").alias("up")), "parent")
-        level = below.select("node", (F.col("d") + 1).alias("depth"), F.concat_ws(",", "up", F.col("node").cast("string")).alias("path"))
-        if level.isEmpty():
-            break
+        level = written(below.select("node", (F.col("d") + 1).alias("depth"), F.concat_ws(",", "up", F.col("node").cast("string")).alias("path")), "tree")
         out = out.unionByName(level)
     return out
 
 
+def not_in(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """Rows whose key is not among values (one column), as NOT IN has it: a null among values keeps no row, a null key
+    stays only where there are no values at all. An anti join by key, after two looks at values."""
+    name = values.columns[0]
+    if values.isEmpty():
+        return df
+    if not values.where(F.col(name).isNull()).isEmpty():
+        return df.limit(0)
+    return df.where(F.col(key).isNotNull()).join(values, F.col(key) == values[name], "left_anti")
+
+
 def reparented(path: Column, old: str, new: str) -> Column:
     """path with its leading old replaced by new."""
-    return F.when((path == old) | path.startswith(old + ","), F.concat(F.lit(new), F.substring(path, len(old) + 1, 10_000))).otherwise(path)
+    return F.when((path == old) | path.startswith(old + ","), F.concat(F.lit(new), F.right(path, F.length(path) - len(old)))).otherwise(path)

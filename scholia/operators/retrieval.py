@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def fixed_chunks(docs: DataFrame, key: str, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """key, chunk (from 0), id and content: windows of size characters, overlap of them shared, over collapsed text."""
+    """key, chunk (from 0), id and content: windows of size characters, overlap of them shared, over collapsed text.
+
+    Windows are cut before they become rows, so no row carries the whole text.
+    """
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
     starts = F.sequence(F.lit(1), F.greatest(F.length("t") - overlap, F.lit(1)), F.lit(size - overlap))
-    rows = docs.select(key, text.alias("t")).where("t <> ''").select(key, "t", F.posexplode(starts).alias("chunk", "at"))
-    return rows.select(key, "chunk", F.concat_ws("_", F.col(key).cast("string"), F.col("chunk").cast("string")).alias("id"), F.substring(F.col("t"), F.col("at"), F.lit(size)).alias("content"))
+    rows = docs.select(key, text.alias("t")).where("t <> ''")
+    rows = rows.select(key, F.posexplode(F.transform(starts, lambda at: F.substring(F.col("t"), at, F.lit(size)))).alias("chunk", "content"))
+    return rows.select(key, "chunk", F.concat_ws("_", F.col(key).cast("string"), F.col("chunk").cast("string")).alias("id"), "content")
+
+
+def sharded_names(docs: DataFrame, key: str, size: int = 10_000) -> DataFrame:
+    """key and shard: the name of the file of size documents each, in order of key, digits padded to six.
+
+    Places come from counts of key ranges, so no task numbers more than its own range.
+    """
+    ranged = written(docs.select(key).repartitionByRange(key).withColumn("part", F.spark_partition_id()), "shard-keys")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    rows = ranged.withColumn("place", place).join(F.broadcast(counts.select("part", base.alias("base"))), "part")  # one row a task
+    return rows.select(key, F.lpad(F.floor((F.col("base") + F.col("place")) / size).cast("string"), 6, "0").alias("shard"))
 
 
 def terms(text: Column) -> Column:
@@ -19,28 +38,44 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(docs: DataFrame, key: str) -> DataFrame:
-    """key, term, tf and the document's length."""
-    rows = docs.select(key, terms(F.col("text")).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+#: Terms of all queries that are broadcast at most; queries of one block of an exact search.
+BROADCAST_TERMS, BLOCK = 500_000, 1024
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """query_key, key, score and rank of the k best documents of each query (query_key, text).
+def asked_terms(queries: DataFrame, query_key: str) -> DataFrame:
+    """query_key and each distinct term of a query's text."""
+    return queries.select(query_key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+
+
+def term_hits(docs: DataFrame, asked: DataFrame, key: str) -> tuple[DataFrame, int, float]:
+    """key, length, term and tf of asked terms in documents, the number of documents and their mean length.
 
-    Only postings of the queries' terms are kept, before anything is exchanged by term.
+    One pass splits the texts; what isn't asked for goes before any exchange, and counts are merged before theirs.
     """
-    asked = queries.select(query_key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    # A posting list needs its document's length and the corpus' mean: both come with the scan.
+    seen = Observation("corpus")
+    words = asked.select("term").distinct()
+    words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
     rows = docs.select(key, terms(F.col("text")).alias("w")).withColumn("length", F.size("w"))
-    corpus = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    hits = rows.select(key, "length", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = hits.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
+    found = rows.select(key, "length", F.explode("w").alias("term")).join(words, "term", "left_semi")
+    found = written(found.groupBy(key, "length", "term").agg(F.count("*").alias("tf")), "term-hits")
+    return found, seen.get["docs"], seen.get["mean"]
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """query_key, key, score and rank of the k best documents of each query (query_key, text)."""
+    asked = asked_terms(queries, query_key)
+    return bm25_of(*term_hits(docs, asked, key), asked, key, query_key, k, k1, b)
+
+
+def bm25_of(hits: DataFrame, docs: int, mean: float, asked: DataFrame, key: str, query_key: str, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """As bm25, of term_hits: hits meet the queries' terms and weights without an exchange by term where these are few."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    weighted = hits.join(df, "term").join(F.broadcast(corpus)).select(key, "term", weight.alias("w"))
-    scores = weighted.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score"))
+    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(df, "term").select(query_key, "term", idf.alias("idf"))
+    weights = F.broadcast(weights) if asked.count() <= BROADCAST_TERMS else weights
+    weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean or 1.0)))
+    scores = hits.join(weights, "term").groupBy(query_key, key).agg(F.round(F.sum(weight), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -50,16 +85,73 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, column: str, k: int) -> DataFrame:
-    """query_key, key, score and rank of the k vectors of largest inner product with each of a few queries.
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean distance of two lists, in double precision."""
+    d = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
+    return F.sqrt(F.aggregate(d, F.lit(0.0).cast("double"), lambda s, x: s + x * x))
+
+
+def normalised(a: Column) -> Column:
+    """A list by its Euclidean length; one of zeros stays."""
+    size = F.sqrt(similarity(a, a))
+    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)).otherwise(F.transform(a, lambda x: x.cast("double")))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, column: str, k: int, metric: str = "inner", unit: bool = False) -> DataFrame:
+    """query_key, key, score and rank of each query's k best vectors but the one of its own key, by exact search.
 
-    The queries are one broadcast row, unfolded by each vector; each task keeps its k best of a query before the exchange.
+    metric: inner (largest inner product first) or l2 (smallest distance first); unit: queries are normalised first.
+    Queries come in blocks of BLOCK, each one broadcast row that every vector meets; each task keeps its k best of a
+    query before the exchange.
     """
-    asked = queries.select(F.struct(F.col(query_key), F.col(column).alias("v")).alias("q")).agg(F.collect_list("q").alias("qs"))
-    rows = vectors.join(F.broadcast(asked)).select(key, F.col(column).alias("v"), F.explode("qs").alias("q"))
-    rows = rows.select(F.col(f"q.{query_key}").alias(query_key), key, F.round(similarity(F.col("v"), F.col("q.v")), 6).alias("score")).where(F.col(key) != F.col(query_key))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    if metric not in ("inner", "l2"):
+        raise ValueError(f"no such metric: {metric}")
+    own = normalised(F.col(column)) if unit else F.col(column)
+    asked = written(queries.select(F.col(query_key), own.alias("v"), F.pmod(F.xxhash64(query_key), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("block")), "asked")
+    score = similarity if metric == "inner" else distance
+    order = F.desc("score") if metric == "inner" else F.asc("score")
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(order, key))
+    out = None
+    for block in sorted(r[0] for r in asked.select("block").distinct().collect()):  # one number for each BLOCK queries
+        one = asked.where(F.col("block") == block).agg(F.collect_list(F.struct(F.col(query_key), "v")).alias("qs"))
+        rows = vectors.join(F.broadcast(one)).select(key, F.col(column).alias("v"), F.explode("qs").alias("q"))
+        rows = rows.select(F.col(f"q.{query_key}").alias(query_key), key, F.round(score(F.col("v"), F.col("q.v")), 6).alias("score")).where(F.col(key) != F.col(query_key))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= k)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return vectors.limit(0).select(F.col(key).alias(query_key), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return out
+
+
+def over_fetched(k: int) -> int:
+    """How many of each list are fetched to fuse k."""
+    return max(2 * k, 100)
+
+
+def context(passages: DataFrame, group: str, order: str, title: Column, content: Column, budget: int, tokens: Column | None = None) -> DataFrame:
+    """group and context: `Document [i] (Title: t) c` lines in order, as many characters as budget tokens have.
+
+    tokens: how many a passage has (words where not given). Whole passages are kept while they fit; the first that
+    doesn't is cut at a word, the others go.
+    """
+    n = F.size(F.split(F.trim(content), r"\s+")) if tokens is None else tokens
+    rows = passages.select(group, order, title.alias("title"), content.alias("content"), n.cast("long").alias("n"))
+    rows = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, "title", "content", "n"))).alias("p"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("out"))
+
+    def step(s, p):
+        left = F.lit(budget) - s["used"]
+        words = F.split(F.trim(p["content"]), r"\s+")
+        text = F.when(p["n"] <= left, p["content"]).otherwise(F.array_join(F.slice(words, 1, F.greatest(left, F.lit(0)).cast("int")), " "))
+        line = F.concat(F.lit("Document ["), F.size(s["out"]).cast("string"), F.lit("] (Title: "), p["title"], F.lit(") "), text)
+        return F.struct((s["used"] + p["n"]).alias("used"), F.when(left > 0, F.array_append(s["out"], line)).otherwise(s["out"]).alias("out"))
+
+    return rows.select(group, F.array_join(F.aggregate("p", start, step)["out"], "\n").alias("context"))
+
+
+def looked_up(ids: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """ids with the columns of texts for their key; ids without one stay, with nulls. An empty list of ids gives none."""
+    return ids.join(texts, key, "left")
 
 
 def fused(lists: list[DataFrame], query_key: str, key: str, k: int, constant: int = 100) -> DataFrame:

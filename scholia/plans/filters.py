@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators.relational import Where
+from ..operators.relational import Where, not_in
 from .registry import Tables, query
 
 
@@ -24,10 +24,17 @@ def flt_like(t: Tables) -> DataFrame:
     return Where().like("c_name", "OMER#00000001")(t.customer).select("c_custkey", "c_name")
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE list_contains(string_split(replace(p_type, ' ', ','), ','), 'BRASS')")
+@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(replace(p_name, ' ', ','), ','), 'widget')")
 def flt_find_in_set(t: Tables) -> DataFrame:
     """An id in a comma-separated path."""
-    return t.part.where(F.find_in_set(F.lit("BRASS"), F.translate("p_type", " ", ",")) > 0).select("p_partkey", "p_type")
+    return t.part.where(F.find_in_set(F.lit("widget"), F.translate("p_name", " ", ",")) > 0).select("p_partkey", "p_name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <> 3 AND n_regionkey <> 3")
+def flt_outside_subtree(t: Tables) -> DataFrame:
+    """Nodes but one and all below it, by their paths."""
+    path = F.concat_ws(",", F.lit("0"), F.col("n_regionkey").cast("string"))
+    return t.nation.where((F.col("n_nationkey") != 3) & (F.find_in_set(F.lit("3"), path) == 0)).select("n_nationkey", "n_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
@@ -35,10 +42,15 @@ def flt_in_subquery(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.where("o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("""SELECT 'plain' AS kind, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)
+UNION ALL SELECT 'with null', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 7) FROM orders) UNION ALL SELECT 'empty', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 0)""")
 def flt_not_in(t: Tables) -> DataFrame:
-    """Keys are never null, so the anti join needs no null-aware form and shuffles by key."""
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """NOT IN with its rules for nulls: of some values, of values with a null (nothing), of no values (all)."""
+    keys = t.customer.select("c_custkey")
+    plain = not_in(keys, "c_custkey", t.orders.where("o_totalprice > 300000").select("o_custkey"))
+    null = not_in(keys, "c_custkey", t.orders.select(F.nullif(F.col("o_custkey"), F.lit(7)).alias("o_custkey")))
+    empty = not_in(keys, "c_custkey", t.orders.where("o_totalprice < 0").select("o_custkey"))
+    return plain.select(F.lit("plain").alias("kind"), "c_custkey").unionByName(null.select(F.lit("with null").alias("kind"), "c_custkey")).unionByName(empty.select(F.lit("empty").alias("kind"), "c_custkey"))
 
 
 @query("""SELECT doc_id, lower(text) LIKE '%stupid%' OR lower(text) LIKE '%moron%' OR lower(text) LIKE '%clown%' AS risky,

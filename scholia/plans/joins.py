@@ -55,10 +55,10 @@ def jn_parent_name(t: Tables) -> DataFrame:
     return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", F.col("r_name").alias("parent_name"))
 
 
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 30)")
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49 AND l_returnflag = 'R')")
 def jn_unanswered(t: Tables) -> DataFrame:
     """Questions without such an answer."""
-    return t.part.join(t.lineitem.where("l_quantity > 30").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
+    return t.part.join(t.lineitem.where("l_quantity > 49 AND l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
 
 
 @query("SELECT p_partkey, CASE WHEN f.k IS NULL THEN '0' ELSE '1' END AS favourite FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R') f ON k = p_partkey")

@@ -13,13 +13,11 @@ from .registry import Tables, query
 CJK = "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}\\x{3000}-\\x{303F}]"
 
 
-@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '眼科 教学。' || substr(text, 1, CAST(doc_id % 40 AS INTEGER)) ELSE text END AS t FROM documents),
-b AS (SELECT doc_id, regexp_replace(t, '\\s', '', 'g') AS t FROM d)
+@query(f"""WITH b AS (SELECT doc_id, regexp_replace(text, '\\s', '', 'g') AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) = 0 THEN 'zh' WHEN (length(t) - length(regexp_replace(t, '{CJK}', '', 'g'))) / length(t) >= 0.25 THEN 'zh' ELSE 'en' END AS lang FROM b""")
 def str_language(t: Tables) -> DataFrame:
-    """Chinese or not, by the share of characters."""
-    own = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("眼科 教学。"), F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 40).cast("int")))).otherwise(F.col("text"))
-    return t.documents.select("doc_id", T.detect_lang(own).alias("lang"))
+    """Chinese or not, by the share of characters of whole texts."""
+    return t.documents.select("doc_id", T.detect_lang(F.col("text")).alias("lang"))
 
 
 @query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(p_name), '[A-J]'))), '') AS letters,
@@ -63,12 +61,17 @@ def str_tags(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.tagged(F.col("html"), "title").alias("title"), T.file_extension(F.col("url")).alias("ext"))
 
 
-@query("""SELECT c_custkey, regexp_replace(lpad(CAST(c_custkey * 7919 AS VARCHAR), 11, '1'), '(\\d{3})\\d{4}(\\d{4})', '\\1****\\2') AS phone,
-regexp_replace(lower(c_name) || '@x.org', '(^.)[^@]*(@.*$)', '\\1****\\2') AS email, repeat('*', length(c_name)) AS password, regexp_replace(c_name, '^(.{2}).+(.{2})$', '\\1***\\2') AS plate FROM customer""")
+@query("""SELECT c_custkey, substr(p, 1, 3) || '****' || substr(p, 8) AS phone, CASE WHEN length(c_name) > 0 THEN lower(c_name[1]) || '****@x.org' END AS email, repeat('*', length(c_name)) AS password,
+CASE length(v) WHEN 7 THEN substr(v, 1, 3) || '***' || substr(v, 7) WHEN 8 THEN substr(v, 1, 3) || '****' || substr(v, 8) ELSE v END AS plate,
+'**** **** **** **** ' || substr(d, 16, 3) AS bank, CASE WHEN c_custkey % 2 = 0 THEN substr(d, 1, 4) || '** **** ****' || substr(d, 15, 4) ELSE substr(d, 1, 17) || 'X' END AS card, substr(c_name, 1, 1) || '*' || substr(c_name, 3) AS name
+FROM (SELECT *, lpad(CAST(c_custkey * 7919 AS VARCHAR), 11, '1') AS p, substr('AB1234567', 1, CAST(6 + c_custkey % 4 AS INTEGER)) AS v, lpad(CAST(c_custkey * 104729 AS VARCHAR), 18, '6222021') AS d FROM customer)""")
 def str_masks(t: Tables) -> DataFrame:
-    """Personal data masked."""
-    phone, email = F.lpad((F.col("c_custkey") * 7919).cast("string"), 11, "1"), F.concat(F.lower("c_name"), F.lit("@x.org"))
-    return t.customer.select("c_custkey", T.masked(phone, "phone").alias("phone"), T.masked(email, "email").alias("email"), T.masked(F.col("c_name"), "password").alias("password"), T.masked(F.col("c_name"), "plate").alias("plate"))
+    """Personal data masked, of every kind."""
+    k = F.col("c_custkey")
+    phone, email = F.lpad((k * 7919).cast("string"), 11, "1"), F.concat(F.lower("c_name"), F.lit("@x.org"))
+    digits = F.lpad((k * 104729).cast("string"), 18, "6222021")
+    plate, card = F.left(F.lit("AB1234567"), 6 + k % 4), F.when(k % 2 == 0, digits).otherwise(F.concat(F.left(digits, F.lit(17)), F.lit("X")))
+    return t.customer.select("c_custkey", T.masked(phone, "phone").alias("phone"), T.masked(email, "email").alias("email"), T.masked(F.col("c_name"), "password").alias("password"), T.masked(plate, "plate").alias("plate"), T.masked(digits, "bank_card").alias("bank"), T.masked(card, "id_card").alias("card"), T.masked(F.col("c_name"), "username").alias("name"))
 
 
 @query("""SELECT doc_id, CAST(('0x' || substr(sha1('doc-' || doc_id), 1, 8)) AS BIGINT) % 100000 AS seed, sha1('doc-' || doc_id || '||' || trim(text)) AS trajectory, md5(text) AS digest, sha256(text) AS wide FROM documents""")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BAD = "_corrupt_record"
+# Extensions of images, and encodings in the order tried (each reads an optional byte order mark).
+IMAGES = ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp")
+ENCODINGS = ("UTF-8", "GBK")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -46,17 +49,24 @@ def read_json_any(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return text.select(F.explode(rows).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
-def read_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "GB18030", "ISO-8859-1")) -> DataFrame:
-    """A table with a header; the first encoding in which no field holds a replacement character."""
+def read_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """A table with a header; the first encoding in which no field holds a replacement character.
+
+    A file that fits none gives no rows, under the columns of the last one tried.
+    """
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # for encodings beyond Unicode and Latin ones
-    for encoding in encodings:
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
-        broken = F.lit(False)
-        for name in df.columns:
-            broken = broken | F.coalesce(F.col(f"`{name}`").contains("�"), F.lit(False)) | F.lit("�" in name)
-        if df.where(broken).isEmpty():
-            break
-    return df.withColumnsRenamed({name: name.lstrip("﻿") for name in df.columns})
+    try:
+        for encoding in encodings:
+            df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+            broken = F.lit(False)
+            for name in df.columns:
+                broken = broken | F.coalesce(F.col(f"`{name}`").contains("�"), F.lit(False)) | F.lit("�" in name)
+            if df.where(broken).isEmpty():
+                return df.withColumnsRenamed({name: name.lstrip("\ufeff") for name in df.columns})
+        return df.limit(0)
+    finally:
+        spark.conf.set("spark.sql.legacy.javaCharsets", before)
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +77,7 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("PMID").alias("id"), F.col("Article.ArticleTitle").alias("title"), abstract.alias("abstract")).where("abstract <> ''")
 
 
-def list_files(spark: SparkSession, path: str, extensions: Sequence[str] = ("jpg", "jpeg", "png", "bmp", "webp")) -> DataFrame:
+def list_files(spark: SparkSession, path: str, extensions: Sequence[str] = IMAGES) -> DataFrame:
     """path, name and parent of files below path by extension, without their content."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     parts = F.split("path", "/")
@@ -76,10 +86,10 @@ def list_files(spark: SparkSession, path: str, extensions: Sequence[str] = ("jpg
 
 def labelled(files: DataFrame, labels: DataFrame) -> DataFrame:
     """files with the label (path, label) of their path, else of their name, else their folder's name."""
-    by_path = labels.select(F.col("path").alias("__p"), F.col("label").alias("__a")).dropDuplicates(["__p"])
-    by_name = labels.select(F.substring_index("path", "/", -1).alias("__n"), F.col("label").alias("__b")).dropDuplicates(["__n"])
-    rows = files.join(by_path, F.col("path") == F.col("__p"), "left").join(by_name, F.col("name") == F.col("__n"), "left")
-    return rows.select(*files.columns, F.coalesce("__a", "__b", F.nullif(F.col("parent"), F.lit("")), F.lit("unlabeled")).alias("label"))
+    by_path = labels.select(F.col("path").alias("p"), F.col("label").alias("a")).dropDuplicates(["p"])
+    by_name = labels.select(F.substring_index("path", "/", -1).alias("n"), F.col("label").alias("b")).dropDuplicates(["n"])
+    rows = files.join(by_path, files["path"] == by_path["p"], "left").join(by_name, files["name"] == by_name["n"], "left")
+    return rows.select(*[files[c] for c in files.columns], F.coalesce(by_path["a"], by_name["b"], F.nullif(files["parent"], F.lit("")), F.lit("unlabeled")).alias("label"))
 
 
 def renamed(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
