@@ -1,11 +1,16 @@
-"""The curriculum's noise-free step: how a teaching action changes a learner's state at one course."""
+"""The curriculum: which actions a learner's state permits, where they are aimed, what they change, and a policy.
+
+A state is a struct of mastery and misconception (one value a course), engagement, fatigue, position, profile, step and
+completed. Actions are numbers from 0 to 26: macro (advance, review, remedy) * 9 + difficulty * 3 + style.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp
+from ..shared import written
 
 # By profile, the learning rate and the style that fits; by macro action (advance, review, remedy), the
 # correction; by difficulty and by style, what they add to fatigue.
@@ -14,6 +19,10 @@ FITTING_STYLE = (1, 0, 2)
 CORRECTIONS = (0.04, 0.05, 0.14)
 TIRING_DIFFICULTY = (-0.04, 0.025, 0.065)
 TIRING_STYLE = (-0.025, 0.0, 0.025)
+# What each course needs before it, the most steps, when a course is mastered, its share of misconception.
+PREREQUISITES = ((), (0,), (1,), (1, 2), (2, 3), (4,))
+MAX_STEPS, MASTERED, MISTAKEN = 40, 0.70, 0.35
+ACTIONS = 27
 MISFIT, DIFFICULTY_STEP, DIFFICULTY_FLOOR, REMEDY, REWARD_SCALE = 0.82, 0.25, 0.45, 0.85, 5.0
 
 
@@ -33,9 +42,13 @@ def step(mastery: Column, misconception: Column, engagement: Column, fatigue: Co
     mood = F.when(fits == 1.0, 0.025).otherwise(-0.025) + F.when(apt == 1.0, 0.01).otherwise(-0.015)
     after["engagement"] = clamp(engagement + mood - 0.015 * after["fatigue"])
     after["assessment"] = clamp(after["mastery"] * (1 - 0.4 * after["misconception"]))
+    return after | {"reward": clamp(_raw(mastery, misconception, engagement, fatigue, macro, after) / REWARD_SCALE, -1.0, 1.0)}
+
+
+def _raw(mastery: Column, misconception: Column, engagement: Column, fatigue: Column, macro: Column, after: dict[str, Column]) -> Column:
+    """The reward before it is scaled."""
     raw = 8 * (after["mastery"] - mastery) + 2 * (misconception - after["misconception"]) + 0.5 * (after["engagement"] - engagement)
-    raw = raw - 0.5 * F.greatest(F.lit(0.0), after["fatigue"] - fatigue) - 0.08 + F.when(macro == 0, 0.8).otherwise(0.0)
-    return after | {"reward": clamp(raw / REWARD_SCALE, -1.0, 1.0)}
+    return raw - 0.5 * F.greatest(F.lit(0.0), after["fatigue"] - fatigue) - 0.08 + F.when(macro == 0, 0.8).otherwise(0.0)
 
 
 def allowed(macro: Column, difficulty: Column, style: Column, mastery: Column, misconception: Column, engagement: Column, fatigue: Column, profile: Column, may_advance: Column) -> Column:
@@ -47,3 +60,101 @@ def allowed(macro: Column, difficulty: Column, style: Column, mastery: Column, m
         & ((difficulty != 1) | (fatigue <= 0.85))
         & ((style != 2) | ((engagement >= 0.40) & (fatigue <= 0.65) & (profile != 1)))
     )
+
+
+def ready(state: Column, node: Column) -> Column:
+    """Whether a course is mastered, without too much misconception."""
+    return (F.get(state["mastery"], node) >= MASTERED) & (F.get(state["misconception"], node) <= MISTAKEN)
+
+
+def _needs(node: Column) -> Column:
+    """The courses that a course needs."""
+    return F.get(F.array(*[F.array(*map(F.lit, p)).cast("array<int>") for p in PREREQUISITES]), node)
+
+
+def target_node(state: Column, macro: Column) -> Column:
+    """The course an action is aimed at: the next one to advance, of a review the weakest one that the own one needs and
+    that isn't ready (of equals the first), else the own one."""
+    n, position = len(PREREQUISITES), state["position"]
+    weak = F.filter(_needs(position), lambda p: ~ready(state, p))
+    weakest = F.array_min(F.transform(weak, lambda p, i: F.struct(F.get(state["mastery"], p).alias("m"), i.alias("i"), p.alias("p"))))["p"]
+    return F.when(macro == 0, F.least(position + 1, F.lit(n - 1))).when(macro == 1, F.coalesce(weakest, position)).otherwise(position)
+
+
+def mask(state: Column) -> Column:
+    """The permitted actions, in order; none where the curriculum is completed or the steps are used up."""
+    after = F.least(state["position"] + 1, F.lit(len(PREREQUISITES) - 1))
+    advance = ready(state, state["position"]) & F.forall(_needs(after), lambda p: ready(state, p))
+    targets = F.array(*[target_node(state, F.lit(m)) for m in range(3)])
+
+    def permitted(a):
+        macro, difficulty, style = (F.floor(x).cast("int") for x in (a / 9, a % 9 / 3, a % 3))
+        mastery = F.get(state["mastery"], F.get(targets, macro))
+        own = F.get(state["misconception"], state["position"])
+        return allowed(macro, difficulty, style, mastery, own, state["engagement"], state["fatigue"], state["profile"], advance)
+
+    open_ = ~F.coalesce(state["completed"], F.lit(False)) & (state["step"] < MAX_STEPS)
+    return F.when(open_, F.filter(F.sequence(F.lit(0), F.lit(ACTIONS - 1)), permitted)).otherwise(F.array().cast("array<int>"))
+
+
+def policy(state: Column, valid: Column) -> Column:
+    """The heuristic's choice among valid actions: the macro, difficulty and style it wants count 5, 2 and 1; of equals
+    the first. Null where there is none."""
+    own = F.get(state["misconception"], state["position"])
+    macro = F.when(F.exists(valid, lambda a: a < 9), 0).when(own > 0.28, 2).otherwise(1)
+    mastery = F.get(state["mastery"], target_node(state, macro))
+    difficulty = F.when((mastery < 0.35) | (state["fatigue"] > 0.45), 0).otherwise(1)
+    style = _of(FITTING_STYLE, state["profile"])
+
+    def score(a):
+        return 5 * (F.floor(a / 9) == macro).cast("int") + 2 * (F.floor(a % 9 / 3) == difficulty).cast("int") + (a % 3 == style).cast("int")
+
+    return -F.array_max(F.transform(valid, lambda a: F.struct(score(a).alias("s"), (-a).alias("a"))))["a"]
+
+
+def taken(state: Column, action: Column) -> Column:
+    """What an action does without noise: next (a state), node, reward, terminated, truncated and successful.
+
+    To advance from the last course completes the curriculum, with the full reward. The last step that doesn't is
+    truncated, at a cost. Successful: a positive reward with 0.02 more mastery, 0.03 less misconception, or an advance.
+    """
+    macro, difficulty, style = (F.floor(x).cast("int") for x in (action / 9, action % 9 / 3, action % 3))
+    node = target_node(state, macro)
+    graduates = (macro == 0) & (state["position"] == len(PREREQUISITES) - 1)
+    mastery, misconception = F.get(state["mastery"], node), F.get(state["misconception"], node)
+    after = step(mastery, misconception, state["engagement"], state["fatigue"], state["profile"], macro, difficulty, style)
+    truncated = ~graduates & (state["step"] + 1 >= MAX_STEPS)
+    raw = _raw(mastery, misconception, state["engagement"], state["fatigue"], macro, after) - F.when(truncated, 1.0).otherwise(0.0)
+    reward = F.when(graduates, 1.0).otherwise(clamp(raw / REWARD_SCALE, -1.0, 1.0))
+    put = lambda values, new: F.transform(values, lambda v, i: F.when((i == node) & ~graduates, new).otherwise(v))
+    keep = lambda name: F.when(graduates, state[name]).otherwise(after[name])
+    following = F.struct(
+        put(state["mastery"], after["mastery"]).alias("mastery"),
+        put(state["misconception"], after["misconception"]).alias("misconception"),
+        keep("engagement").alias("engagement"),
+        keep("fatigue").alias("fatigue"),
+        F.when((macro == 0) & ~graduates, node).otherwise(state["position"]).alias("position"),
+        state["profile"].alias("profile"),
+        (state["step"] + 1).alias("step"),
+        graduates.alias("completed"),
+    )
+    gained = (~graduates & ((after["mastery"] - mastery >= 0.02) | (misconception - after["misconception"] >= 0.03))) | (macro == 0)
+    return F.struct(following.alias("next"), node.alias("node"), reward.alias("reward"), graduates.alias("terminated"), truncated.alias("truncated"), ((reward > 0) & gained).alias("successful"))
+
+
+def episodes(states: DataFrame, key: str, state: str, steps: int = MAX_STEPS) -> DataFrame:
+    """key, n, action and what taken gives of each step of the heuristic's noise-free episodes, until all have ended.
+
+    Each step is one map over the open episodes, written to the shared folder, so plans don't grow with the steps.
+    """
+    out, open_ = None, states.select(key, F.col(state).alias("s"))
+    for n in range(steps):
+        chosen = written(open_.withColumn("valid", mask(F.col("s"))), "episode-masks").where(F.size("valid") > 0)
+        chosen = written(chosen.select(key, "s", policy(F.col("s"), F.col("valid")).cast("int").alias("action")), "episode-actions")
+        rows = written(chosen.select(key, F.lit(n).alias("n"), "action", taken(F.col("s"), F.col("action")).alias("t")), "episodes")
+        step_ = rows.select(key, "n", "action", "t.node", "t.reward", "t.terminated", "t.truncated", "t.successful")
+        out = step_ if out is None else out.unionByName(step_)
+        open_ = rows.where("NOT t.terminated AND NOT t.truncated").select(key, F.col("t.next").alias("s"))
+        if open_.isEmpty():
+            break
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Sequence
 from typing import Any
@@ -190,3 +191,58 @@ def not_in(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
 def reparented(path: Column, old: str, new: str) -> Column:
     """path with its leading old replaced by new."""
     return F.when((path == old) | path.startswith(old + ","), F.concat(F.lit(new), F.right(path, F.length(path) - len(old)))).otherwise(path)
+
+
+def inserted(old: DataFrame, new: Sequence[DataFrame]) -> DataFrame:
+    """old with the rows of new after it, by column name; columns that new lacks are null, others are an error."""
+    for rows in new:
+        extra = set(rows.columns) - set(old.columns)
+        if extra:
+            raise ValueError(f"no such columns: {sorted(extra)}")
+        old = old.unionByName(rows, allowMissingColumns=True)
+    return old
+
+
+def replayed(rows: DataFrame, key: str, weight: str, offline: str, batch: int, beta: float, share: float, seed: int) -> DataFrame:
+    """place, key and importance weight of a batch drawn with replacement by weight.
+
+    Where both kinds (offline or not) are there, share of the batch is offline, at least one of each. A place's draw is
+    the row whose stretch of its kind's running sum holds the digest's unit. Sums run over blocks of rows first, so no
+    task holds a kind. weights are (N * p) ** -beta over their largest.
+    """
+    kinds = {r[0]: (r[1], r[2]) for r in rows.groupBy(offline).agg(F.sum(weight), F.count("*")).collect()}
+    old = batch if set(kinds) == {True} else 0 if set(kinds) == {False} else min(batch - 1, max(1, round(batch * share)))
+    units = [(i, i < old, (int(hashlib.md5(f"{seed}-{i}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32) for i in range(batch)]
+    draws = rows.sparkSession.createDataFrame([(i, o, u * kinds[o][0]) for i, o, u in units if o in kinds], "place int, o boolean, x double")
+    # The running sum in order of key: within key ranges, after the sums of the ranges before.
+    ranged = written(rows.select(key, weight, offline).repartitionByRange(key).withColumn("part", F.spark_partition_id()), "replay-rows")
+    own = F.sum(weight).over(Window.partitionBy("part", offline).orderBy(key))
+    sums = ranged.groupBy("part", offline).agg(F.sum(weight).alias("s"))
+    base = F.coalesce(F.sum("s").over(Window.partitionBy(offline).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.select(F.col("part"), F.col(offline).alias("o"), base.alias("base"))  # one row a task and kind
+    upto = ranged.withColumn("own", own).join(F.broadcast(sums), (ranged["part"] == sums["part"]) & (ranged[offline] == sums["o"])).select(key, weight, offline, (F.col("base") + F.col("own")).alias("upto"))
+    hits = upto.join(F.broadcast(draws), (F.col(offline) == F.col("o")) & (F.col("x") <= F.col("upto")) & (F.col("x") > F.col("upto") - F.col(weight)))
+    n = sum(c for _, c in kinds.values())
+    total = F.lit(None).cast("double")
+    for kind, (s, _) in kinds.items():
+        part = (old if kind else batch - old) / batch
+        total = F.when(F.col(offline) == kind, F.lit(part) * F.col(weight) / s).otherwise(total)
+    raw = hits.select("place", key, F.pow(n * total, F.lit(-beta)).alias("raw"))
+    return raw.select("place", key, F.round(F.col("raw") / F.max("raw").over(Window.partitionBy()), 6).alias("weight"))  # batch rows
+
+
+def advantages(steps: DataFrame, totals: DataFrame, group: str, record: str, place: str, credit: str, anchor: str, suffix: str, total: str, mix: float, eps: float = 1e-6) -> DataFrame:
+    """group, record, place and mixed: mix of the record's standard score in its group, the rest of the step's.
+
+    A step's own score is that of its suffix return among the group's steps of its anchor that own their credit; another
+    step has the score of the place that its credit names (0 where that owns none). Means and deviations are aggregates,
+    merged before their exchange.
+    """
+    score = lambda x, m, s: (F.col(x) - F.col(m)) / (F.col(s) + eps)
+    spread = totals.groupBy(group).agg(F.avg(total).alias("m"), F.stddev_pop(total).alias("s"))
+    seq = totals.join(spread, group).select(group, record, score(total, "m", "s").alias("seq"))
+    owners = steps.where(F.col(credit) == F.col(place)).select(group, record, F.col(place).alias(credit), anchor, suffix)
+    spread = owners.groupBy(group, anchor).agg(F.avg(suffix).alias("m"), F.stddev_pop(suffix).alias("s"))
+    act = owners.join(spread, [group, anchor]).select(group, record, credit, score(suffix, "m", "s").alias("act"))
+    rows = steps.select(group, record, place, credit).join(seq, [group, record]).join(act, [group, record, credit], "left")
+    return rows.select(group, record, place, (mix * F.col("seq") + (1 - mix) * F.coalesce("act", F.lit(0.0))).alias("mixed"))

@@ -192,12 +192,45 @@ def seq_codes(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", code.alias("action"), D.best_action(F.array(n % 5, n % 7, n % 4)).alias("best"), stop.alias("stop"))
 
 
-@query("""SELECT o_orderkey AS state, count(*) FILTER ((o_custkey + a) % 5 <> 0 AND (a // 9 <> 2 OR o_orderstatus = 'F')) AS valid, min(a) FILTER ((o_custkey + a) % 5 <> 0 AND (a // 9 <> 2 OR o_orderstatus = 'F')) AS first_valid
-FROM orders, range(27) r(a) GROUP BY ALL""")
+#: A learner's state from an order: mastery and misconception of six courses, and the rest.
+STATES = """WITH s AS (SELECT o_orderkey AS k, [least(1.0, (o_custkey * (i + 3) % 101) / 100.0 + CASE WHEN o_orderkey % 4 = 0 THEN 0.6 ELSE 0 END)::DOUBLE FOR i IN range(6)] AS m,
+[((o_orderkey * (i + 2) % 97) / CASE WHEN o_orderkey % 3 = 0 THEN 97.0 ELSE 300.0 END)::DOUBLE FOR i IN range(6)] AS c, (o_custkey % 90 / 90.0)::DOUBLE AS e, (o_orderkey % 70 / 75.0)::DOUBLE AS f, (o_orderkey % 6)::INTEGER AS p, (o_custkey % 3)::INTEGER AS r, (o_orderkey % 41)::INTEGER AS st FROM orders),
+q AS (SELECT *, [[]::INTEGER[], [0], [1], [1, 2], [2, 3], [4]] AS need, [m[i + 1] >= 0.7::DOUBLE AND c[i + 1] <= 0.35::DOUBLE FOR i IN range(6)] AS ok, least(p + 1, 5) AS nxt FROM s),
+w AS (SELECT *, ok[p + 1] AND len(list_filter(need[nxt + 1], lambda x: NOT ok[x + 1])) = 0 AS adv, list_sort(list_transform(list_filter(need[p + 1], lambda x: NOT ok[x + 1]), lambda x: {'m': m[x + 1], 'x': x})) AS weak FROM q),
+a AS (SELECT w.*, n.a::INTEGER AS a, (n.a // 9)::INTEGER AS ma, (n.a % 9 // 3)::INTEGER AS di, (n.a % 3)::INTEGER AS sy, CASE n.a // 9 WHEN 0 THEN nxt WHEN 1 THEN coalesce(weak[1].x, p) ELSE p END AS node FROM w, range(27) n(a)),
+v AS (SELECT *, st < 40 AND (ma <> 0 OR adv) AND (ma <> 2 OR c[p + 1] >= 0.12::DOUBLE) AND (di <> 2 OR (m[node + 1] >= 0.45::DOUBLE AND f <= 0.65::DOUBLE)) AND (di <> 1 OR f <= 0.85::DOUBLE) AND (sy <> 2 OR (e >= 0.4::DOUBLE AND f <= 0.65::DOUBLE AND r <> 1)) AS valid FROM a)"""
+
+
+def _states(t: Tables) -> DataFrame:
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    courses = F.sequence(F.lit(0), F.lit(5))
+    mastery = F.transform(courses, lambda i: F.least(F.lit(1.0), (u * (i + 3) % 101) / 100 + F.when(k % 4 == 0, 0.6).otherwise(0.0)))
+    misconception = F.transform(courses, lambda i: (k * (i + 2) % 97) / F.when(k % 3 == 0, 97.0).otherwise(300.0))
+    state = F.struct(mastery.alias("mastery"), misconception.alias("misconception"), (u % 90 / 90).alias("engagement"), (k % 70 / 75).alias("fatigue"), (k % 6).cast("int").alias("position"), (u % 3).cast("int").alias("profile"), (k % 41).cast("int").alias("step"), F.lit(False).alias("completed"))
+    return t.orders.select(k.alias("state"), state.alias("s"))
+
+
+@query(STATES + " SELECT k AS state, count(*) FILTER (valid) AS valid, min(a) FILTER (valid) AS first_valid, max(a) FILTER (valid) AS last_valid FROM v GROUP BY k")
 def sim_mask(t: Tables) -> DataFrame:
-    """Which of 27 actions a state allows, as a list of each row."""
-    allowed = F.filter(F.sequence(F.lit(0), F.lit(26)), lambda a: ((F.col("o_custkey") + a) % 5 != 0) & ((F.floor(a / 9) != 2) | (F.col("o_orderstatus") == "F")))
-    return t.orders.select(F.col("o_orderkey").alias("state"), F.size(allowed).cast("long").alias("valid"), F.array_min(allowed).cast("long").alias("first_valid"))
+    """Which of 27 actions a learner's state permits."""
+    rows = _states(t).select("state", C.mask(F.col("s")).alias("m"))
+    return rows.select("state", F.size("m").cast("long").alias("valid"), F.array_min("m").alias("first_valid"), F.array_max("m").alias("last_valid"))
+
+
+@query(STATES + """, h AS (SELECT *, CASE WHEN bool_or(valid AND ma = 0) OVER (PARTITION BY k) THEN 0 WHEN c[p + 1] > 0.28::DOUBLE THEN 2 ELSE 1 END AS wm FROM v),
+g AS (SELECT *, CASE wm WHEN 0 THEN nxt WHEN 1 THEN coalesce(weak[1].x, p) ELSE p END AS wn FROM h),
+j AS (SELECT *, 5 * (ma = wm)::INTEGER + 2 * (di = CASE WHEN m[wn + 1] < 0.35::DOUBLE OR f > 0.45::DOUBLE THEN 0 ELSE 1 END)::INTEGER + (sy = [1, 0, 2][r + 1])::INTEGER AS score FROM g)
+SELECT k AS state, arg_max(a, score * 100 - a) FILTER (valid) AS action FROM j GROUP BY k""")
+def sim_policy(t: Tables) -> DataFrame:
+    """The heuristic's action of each state; null where none is permitted."""
+    rows = _states(t).select("state", "s", C.mask(F.col("s")).alias("m"))
+    return rows.select("state", C.policy(F.col("s"), F.col("m")).cast("int").alias("action"))
+
+
+@query()
+def sim_rollout(t: Tables) -> DataFrame:
+    """The first six steps of the heuristic's episodes without noise."""
+    return C.episodes(_states(t), "state", "s", 6)
 
 
 @query("""SELECT l_partkey AS idx, max(abs(l_discount - l_tax)) + 1e-6 AS priority FROM lineitem GROUP BY l_partkey""")

@@ -29,6 +29,17 @@ def win_last_wins(t: Tables) -> DataFrame:
     return R.last_wins(rows, "k", "pos")
 
 
+@query("""WITH r AS (SELECT p_partkey AS pos, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN p_brand ELSE 'u' || (p_partkey % 700) END AS id, p_size AS value FROM part),
+n AS (SELECT *, id IS NULL OR row_number() OVER (PARTITION BY id ORDER BY pos) = 1 AS fresh FROM r),
+k AS (SELECT pos, value, coalesce(id, 'q-' || lpad(CAST(coalesce(sum(fresh::INTEGER) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS VARCHAR), 6, '0')) AS id FROM n)
+SELECT id, min(pos) AS pos, arg_max(value, pos) AS value FROM k GROUP BY id""")
+def win_numbered(t: Tables) -> DataFrame:
+    """The last row of an id in the place of its first, blank ids numbered."""
+    n, k = F.col("p_size") % 4, F.col("p_partkey")
+    rows = t.part.select(k.alias("pos"), F.when(n == 1, F.col("p_brand")).when(n > 1, F.concat(F.lit("u"), k % 700)).alias("id"), F.col("p_size").alias("value"))
+    return R.last_wins_numbered(rows, "id", "pos")
+
+
 @query("SELECT p_partkey, p_brand, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_size ORDER BY md5('42-' || p_partkey), p_partkey) <= 2")
 def win_capped(t: Tables) -> DataFrame:
     """At most two of each group, drawn by digest."""
@@ -81,6 +92,21 @@ def win_anchors(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.round(x, 4).alias("advantage"))
 
 
+@query("""WITH s AS (SELECT l_suppkey % 40 AS g, l_orderkey AS rec, l_linenumber AS n, l_partkey AS p, l_returnflag AS anchor, l_quantity AS suffix, l_linestatus = 'F' AS inherits, l_extendedprice AS price FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY g, rec ORDER BY n, p, suffix) AS i FROM s), c AS (SELECT *, CASE WHEN inherits AND i > 1 THEN i - 1 ELSE i END AS credit FROM o),
+t AS (SELECT g, rec, sum(price) AS total FROM s GROUP BY g, rec), q AS (SELECT g, rec, (total - avg(total) OVER (PARTITION BY g)) / (stddev_pop(total) OVER (PARTITION BY g) + 1e-6) AS seq FROM t),
+a AS (SELECT g, rec, i, (suffix - avg(suffix) OVER w) / (stddev_pop(suffix) OVER w + 1e-6) AS act FROM c WHERE credit = i WINDOW w AS (PARTITION BY g, anchor))
+SELECT c.g, c.rec, c.i, round(0.5 * seq + 0.5 * coalesce(act, 0), 4) AS mixed FROM c JOIN q USING (g, rec) LEFT JOIN a ON a.g = c.g AND a.rec = c.rec AND a.i = c.credit""")
+def win_advantages(t: Tables) -> DataFrame:
+    """Advantages of steps: half the sequence's within its group, half the step's among its anchor; some inherit it."""
+    rows = t.lineitem.select((F.col("l_suppkey") % 40).alias("g"), F.col("l_orderkey").alias("rec"), "l_linenumber", "l_partkey", F.col("l_returnflag").alias("anchor"), F.col("l_quantity").alias("suffix"), (F.col("l_linestatus") == "F").alias("inherits"), F.col("l_extendedprice").alias("price"))
+    i = F.row_number().over(Window.partitionBy("g", "rec").orderBy("l_linenumber", "l_partkey", "suffix"))
+    steps = rows.withColumn("i", i).withColumn("credit", F.when(F.col("inherits") & (F.col("i") > 1), F.col("i") - 1).otherwise(F.col("i")))
+    totals = steps.groupBy("g", "rec").agg(F.sum("price").alias("total"))
+    mixed = R.advantages(steps, totals, "g", "rec", "i", "credit", "anchor", "suffix", "total", 0.5)
+    return mixed.select("g", "rec", "i", F.round("mixed", 4).alias("mixed"))
+
+
 @query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
 SELECT day, CASE WHEN lag(month(day)) OVER (ORDER BY day) = month(day) THEN '' ELSE strftime(day, '%Y-%m') END AS label, CAST(isodow(day) AS INTEGER) AS weekday, CAST(date_trunc('week', day) AS DATE) AS week FROM d""")
 def win_calendar(t: Tables) -> DataFrame:
@@ -91,6 +117,15 @@ def win_calendar(t: Tables) -> DataFrame:
     return days.select("day", label.alias("label"), (F.weekday("day") + 1).alias("weekday"), F.trunc("day", "week").alias("week"))
 
 
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT CAST(date_trunc('week', day) AS DATE) AS week, concat_ws(' ', coalesce(CAST(max(day) FILTER (isodow(day) = 1) AS VARCHAR), '-'), coalesce(CAST(max(day) FILTER (isodow(day) = 2) AS VARCHAR), '-'), coalesce(CAST(max(day) FILTER (isodow(day) = 3) AS VARCHAR), '-'), coalesce(CAST(max(day) FILTER (isodow(day) = 4) AS VARCHAR), '-'), coalesce(CAST(max(day) FILTER (isodow(day) = 5) AS VARCHAR), '-'), coalesce(CAST(max(day) FILTER (isodow(day) = 6) AS VARCHAR), '-'), coalesce(CAST(max(day) FILTER (isodow(day) = 7) AS VARCHAR), '-')) AS days FROM d GROUP BY 1""")
+def win_weeks(t: Tables) -> DataFrame:
+    """Weeks of seven places, with a mark where a day is missing."""
+    days = t.orders.select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    places = [F.coalesce(F.max(F.when(F.weekday("day") == i, F.col("day"))).cast("string"), F.lit("-")) for i in range(7)]
+    return days.groupBy(F.trunc("day", "week").alias("week")).agg(F.concat_ws(" ", *places).alias("days"))
+
+
 @query("""WITH p AS (SELECT doc_id, i AS pos, string_split(text, chr(10))[i] AS para FROM documents, range(1, 100000) r(i) WHERE i <= len(string_split(text, chr(10)))),
 s AS (SELECT *, sum(length(para) + 2) OVER (PARTITION BY doc_id ORDER BY pos) AS total FROM p)
 SELECT doc_id, count(*) AS paragraphs, CAST(sum(length(para)) AS BIGINT) AS chars FROM s WHERE total <= 600 OR pos = 1 GROUP BY doc_id""")
@@ -151,6 +186,19 @@ def smp_weighted(t: Tables) -> DataFrame:
     return t.events.where("value IS NOT NULL").select("event_id", key.alias("k")).orderBy("k", "event_id").limit(100).select("event_id")
 
 
+#: The draw with replacement: for each place of a batch, the row whose share of the running sum holds its unit.
+REPLAY = """WITH e AS (SELECT event_id, event_type = 'purchase' AS offline, pow(abs(value) + 1, 0.6) AS w FROM events WHERE value IS NOT NULL), r AS (SELECT *, sum(w) OVER o AS upto, sum(w) OVER (PARTITION BY offline) AS total, count(*) OVER () AS n FROM e WINDOW o AS (PARTITION BY offline ORDER BY event_id)),
+d AS (SELECT i::INTEGER AS place, i < 16 AS offline, (CAST(('0x' || substr(md5('11-' || i), 1, 8)) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM range(32) x(i)),
+p AS (SELECT place, event_id, pow(n * 0.5 * w / total, -0.4) AS raw FROM d JOIN r ON d.offline = r.offline AND d.u * total <= upto AND d.u * total > upto - w)"""
+
+
+@query(REPLAY + " SELECT place, event_id, round(raw / max(raw) OVER (), 6) AS weight FROM p")
+def smp_replay(t: Tables) -> DataFrame:
+    """32 draws with replacement, half of each kind, by priority to the power 0.6, with importance weights."""
+    rows = t.events.where("value IS NOT NULL").select("event_id", (F.col("event_type") == "purchase").alias("offline"), F.pow(F.abs("value") + 1, F.lit(0.6)).alias("w"))
+    return R.replayed(rows, "event_id", "w", "offline", 32, 0.4, 0.5, 11)
+
+
 @query("SELECT user_id, arg_min(event_id, md5('3-' || event_id)) AS picked FROM events GROUP BY user_id")
 def smp_pick(t: Tables) -> DataFrame:
     """One random row of each key, the same in each run."""
@@ -232,6 +280,24 @@ def dml_grading(t: Tables) -> DataFrame:
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.when(right, 1).otherwise(0).alias("score"))
 
 
+@query("""WITH f AS (SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_partkey, l_quantity)) AS given, arg_min(l_partkey, (l_linenumber, l_partkey, l_quantity)) AS part, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, n, CASE WHEN given = CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END THEN 1 ELSE 0 END AS score FROM f JOIN part ON p_partkey = part""")
+def dml_first_grade(t: Tables) -> DataFrame:
+    """Of what is submitted together only the first item is graded into the record."""
+    order = F.struct("l_linenumber", "l_partkey", "l_quantity")
+    first = t.lineitem.groupBy("l_orderkey").agg(F.min_by(F.struct(F.col("l_returnflag").alias("given"), F.col("l_partkey").alias("part")), order).alias("f"), F.count("*").alias("n"))
+    n = F.col("p_size") % 3
+    right = F.col("f.given") == F.when(n == 0, "A").when(n == 1, "N").otherwise("R")
+    return first.join(t.part, F.col("f.part") == F.col("p_partkey")).select("l_orderkey", "n", F.when(right, 1).otherwise(0).alias("score"))
+
+
+@query("""SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region UNION ALL SELECT 200, 'none'""")
+def dml_insert_rows(t: Tables) -> DataFrame:
+    """Several rows appended in one go, from a table and from values, by column name."""
+    new = t.region.select(F.col("r_name").alias("name"), (F.lit(100) + F.col("r_regionkey")).alias("k"))
+    return R.inserted(t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), [new, t.spark.createDataFrame([(200, "none")], "k int, name string")])
+
+
 @query("""SELECT o_orderkey, o_orderstatus = 'P' OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < -500) AS deleted FROM orders""")
 def dml_logical_delete(t: Tables) -> DataFrame:
     """A delete flag that parents hand down to their children."""
