@@ -6,7 +6,7 @@ regions, to tasks, and a task sorts its own. There, neighbours in the order are
 common prefixes before others. What is then left in several components is compared over a prefix index of the region's
 sets (two sets that are alike enough share one of their rarest members), so that no pair of a region is left out.
 
-The depth is each region's own: one with too many or too large sets is split by one more value at a time, and the parts'
+The depth is each region's own: one with too many or too large sets is split by twice as many values, and so on, and the parts'
 first classes form a region of their own, which connects most of it; what its largest component then lacks is compared
 with all of the region, block against block. Trees come in rounds, and a region whose classes are connected by earlier
 rounds needs no work, so full sets are moved only where something may be new, and a region gives at most as many links
@@ -32,7 +32,7 @@ from .wordcache import Bounded
 WORDS, SIMILAR = 5, (75, 100)
 #: Trees of each round; depth of a region; values of a signature. A pair at similarity 0.75 shares no region of any
 #: tree with probability (1 - 0.75 ** 3) ** 24 = 2e-6.
-ROUNDS, DEPTH = (1, 3, 8, 12), 3
+ROUNDS, DEPTH = (3, 21), 3
 VALUES = sum(ROUNDS) * DEPTH
 #: Classes, and shingles of all of them together, of a region that one task takes.
 MOST, MOST_SHINGLES = 4000, 6_000_000
@@ -115,9 +115,8 @@ def regions(classes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame | No
 
     The second (tree, region, rep, n_shingles) has the dense regions before any split, or is None.
     """
-    out, whole, depth, rows = None, None, DEPTH, prefixes(classes, trees, DEPTH)
+    out, whole, depth, rows = None, None, DEPTH, written(prefixes(classes, trees, DEPTH), "forest")
     while True:
-        rows = written(rows, "forest")
         sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
         sizes = sizes.withColumn("dense", (F.col("n") > MOST) | (F.col("s") > MOST_SHINGLES) & (F.col("n") > 2))
         sizes = written(sizes.select("region", "dense"), "forest-sizes")
@@ -128,8 +127,8 @@ def regions(classes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame | No
         if whole is None:
             whole = rows.join(sizes.where("dense").select("region"), "region").select("tree", "region", "rep", "n_shingles")
         dense = rows.join(sizes.where("dense").select("region"), "region").select("rep", "n_shingles", "tree", F.col("region").alias("top"))
-        depth += 1
-        if depth <= VALUES:
+        split, depth = depth < VALUES, min(max(2 * depth, 1), VALUES) if depth < VALUES else depth + 1
+        if split:
             deeper = prefixes(classes.join(dense.select("rep").distinct(), "rep", "left_semi"), trees, depth).select("rep", "tree", F.col("region").alias("deep"))
             rows = dense.join(deeper, ["rep", "tree"])
         else:  # equal signatures: any parts will do

@@ -2,10 +2,10 @@
 
 Each table rounds a few Gaussian projections of a vector to cells of one width. A query visits a table's buckets in the
 order of the chance that a neighbour at the expected distance lies there (the product over projections of normal
-masses of cells), until these chances sum up to the table's share of the wanted recall. A bucket's vectors meet its
-probes in one task (a large bucket in several, each probe in all of them), where exact distances leave each query's
-best; the tables' bests are merged. Equal vectors are one vector with its smallest ids. The widths and the distance
-come from a bounded sample; every vector is indexed.
+masses of cells), until these chances sum up to the table's share of the wanted recall. Tables hold numbers of vectors
+only: visits meet a bucket's numbers (a large bucket in several tasks, each visit in all of them), the tables' candidates
+are merged, and pairs of numbers go once to where the vectors are, for exact distances. Equal vectors are one vector with
+its smallest ids. The widths and the distance come from a bounded sample; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from .common import prepare, table, written
 
 TABLES, WANTED, SEED = 12, 0.97, 4
 #: Vectors that fit the widths and the distance; vectors of a bucket that one task takes; queries of an exact block.
-SAMPLE, SPLIT, BLOCK = 4096, 4096, 2048
+SAMPLE, SPLIT, BLOCK = 4096, 65_536, 2048
+#: Vectors, and candidates, of a task that reranks; queries whose vectors are broadcast at most (512 bytes each, say).
+TOGETHER, PAIRS, BROADCAST_QUERIES = 16_384, 1_000_000, 50_000
 #: Cells to either side of a query's own that probes may reach, probes of a table at most (a query that hits this limit
 #: short of its share is searched exactly), and their mean at most.
 REACH, PROBES, USUAL = 3, 256, 48
@@ -140,35 +142,35 @@ def fit(vectors: DataFrame, n: int, k: int, seed: int = SEED) -> Index | None:
     return index
 
 
-def _nearest_ids(q: int, d: np.ndarray, vec_ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of q's k nearest but itself; d[j] is the distance of entries[j], whose ids are a slice of vec_ids."""
-    if len(d) > k + 1:
-        keep = np.flatnonzero(d <= np.partition(d, k)[k])
-        d, entries = d[keep], entries[keep]
+def _best(query_ids: np.ndarray, entries: np.ndarray, far: np.ndarray, ids: list[np.ndarray], k: int) -> pd.DataFrame:
+    """query_id, vec_id and score of each query's k nearest ids but its own, of pairs (query, entry, distance)."""
+    sizes = np.array([len(x) for x in ids])
+    order = np.lexsort((far, query_ids))
+    query_ids, entries, far = query_ids[order], entries[order], far[order]
+    new = np.concatenate([[True], query_ids[1:] != query_ids[:-1]]) if len(order) else np.zeros(0, bool)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int64)
+    # An entry has an id at least, and one id is left out at most; entries as far as the last of these may tie.
+    last = np.minimum(first + k, np.append(np.flatnonzero(new)[1:], len(order))[np.cumsum(new) - 1] - 1) if len(order) else first
+    keep = far <= far[last]
+    query_ids, entries, far = query_ids[keep], entries[keep], far[keep]
     n = sizes[entries]
-    ids = vec_ids[np.repeat(starts[entries] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    far = np.repeat(d, n)
-    good = ids != q
-    ids, far = ids[good], far[good]
-    order = np.lexsort((ids, far))[:k]
-    return ids[order], far[order]
-
-
-def search(queries: np.ndarray, x: np.ndarray, codes: np.ndarray, y: np.ndarray, own_codes: np.ndarray, ids: pd.Series, k: int) -> pd.DataFrame:
-    """query_id, vec_id and score of each query's k nearest among the entries that share its code."""
-    sizes = ids.map(len).to_numpy()
-    starts, vec_ids = np.cumsum(sizes) - sizes, np.concatenate([np.asarray(v, np.int64) for v in ids])
-    by_code = np.argsort(own_codes, kind="stable")
-    low, high = np.searchsorted(own_codes[by_code], codes), np.searchsorted(own_codes[by_code], codes, "right")
-    found: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for q, v, a, b in zip(queries.tolist(), x, low, high):
-        if a < b:
-            entries = by_code[a:b]
-            gap = y[entries] - v
-            found.append((q, *_nearest_ids(q, np.sqrt(np.einsum("nd,nd->n", gap, gap)), vec_ids, starts, sizes, entries, k)))
-    if not found:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([d for _, _, d in found])})
+    starts, flat = np.cumsum(sizes) - sizes, np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    own = flat[np.repeat(starts[entries] - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int64)
+    rows = pd.DataFrame({"query_id": np.repeat(query_ids, n), "vec_id": own, "score": np.repeat(far, n)})
+    rows = rows[rows["query_id"] != rows["vec_id"]].sort_values(["query_id", "score", "vec_id"])
+    return rows[rows.groupby("query_id").cumcount() < k]
+
+
+def search(query_ids: np.ndarray, x: np.ndarray, y: np.ndarray, ids: pd.Series, k: int) -> pd.DataFrame:
+    """query_id, vec_id and score of each query's k nearest among all entries y."""
+    lists = [np.asarray(v, np.int64) for v in ids]
+    out = []
+    for q, v in zip(query_ids.tolist(), x):
+        gap = y - v
+        far = np.sqrt(np.einsum("nd,nd->n", gap, gap))
+        near = np.flatnonzero(far <= np.partition(far, k)[k]) if len(far) > k + 1 else np.arange(len(far))
+        out.append((np.full(len(near), q), near, far[near]))
+    return _best(*(np.concatenate(c) for c in zip(*out)), lists, k) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -187,7 +189,7 @@ def exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         def one_block(batches: Iterable[pd.DataFrame], ids: np.ndarray = ids, x: np.ndarray = x) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    yield search(ids, x, np.zeros(len(ids), np.int64), _matrix(batch["vector"]), np.zeros(len(batch), np.int64), batch["ids"], k)
+                    yield search(ids, x, _matrix(batch["vector"]), batch["ids"], k)
 
         found = found.unionByName(vectors.mapInPandas(one_block, FOUND))
     return found
@@ -213,30 +215,31 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("embedding") == length[0])
-    vectors = written(distinct_vectors(rows, k), "ann-vectors")
+    vectors = written(distinct_vectors(rows, k).withColumn("v", F.monotonically_increasing_id()), "ann-vectors")
     n = vectors.count()
     index = fit(vectors, n, k)
     share = 1 - (1 - WANTED) ** (1 / TABLES)
 
-    def in_tables(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def in_tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                codes = index.codes(np.floor(index.places(_matrix(batch["vector"]))))
-                for t in range(TABLES):
-                    yield batch.assign(t=t, code=codes[:, t])
+            if batch.num_rows:
+                codes = index.codes(np.floor(index.places(_matrix(batch.column("vector").to_pylist()))))
+                t = np.tile(np.arange(TABLES, dtype=np.int32), len(codes))
+                v = np.repeat(batch.column("v").to_numpy(), TABLES)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(codes.ravel()), pa.array(v)], ["t", "code", "v"])
 
     def probing(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             places, out = index.places(_matrix(batch["vector"])), []
-            for i in range(len(batch)):
+            for i, q in enumerate(batch["q"].tolist()):
                 for t in range(TABLES):
                     cells, enough = index.probes(places[i, t], share)
-                    out += [(batch["query_id"].iat[i], batch["vector"].iat[i], t, code, enough) for code in set(index.codes(np.array(cells)).tolist())]
-            yield pd.DataFrame(out, columns=["query_id", "vector", "t", "code", "enough"])
+                    out += [(q, t, code, enough) for code in set(index.codes(np.array(cells)).tolist())]
+            yield pd.DataFrame(out, columns=["q", "t", "code", "enough"])
 
-    entries = vectors.mapInPandas(in_tables, "vector binary, ids array<long>, t int, code long")
+    entries = vectors.select("vector", "v").mapInArrow(in_tables, "t int, code long, v long")
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,30 +247,53 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             flat = [(np.array(x, "<f8") + 0.0).tobytes() for x in batch.column("embedding").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(flat, pa.binary())], ["query_id", "vector"])
 
-    queries = written(queries.mapInArrow(packed, "query_id long, vector binary"), "ann-queries")
-    probes = written(queries.mapInPandas(probing, "query_id long, vector binary, t int, code long, enough boolean"), "ann-probes")
-    # Large buckets are cut by a hash of the vector; their probes go to every cut.
+    queries = written(queries.mapInArrow(packed, "query_id long, vector binary").withColumn("q", F.monotonically_increasing_id()), "ann-queries")
+    probes = written(queries.select("q", "vector").mapInPandas(probing, "q long, t int, code long, enough boolean"), "ann-probes")
+    # Large buckets are cut by a hash of the number; their visits go to every cut.
+    entries = written(entries, "ann-tables")
     sizes = entries.groupBy("t", "code").agg(F.count("*").alias("n"))
-    cuts = sizes.where(F.col("n") > SPLIT).select("t", "code", F.ceil(F.col("n") / SPLIT).cast("int").alias("cuts"))
-    cuts = written(cuts, "ann-cuts")
-    cut = F.pmod(F.xxhash64("vector"), F.coalesce("cuts", F.lit(1))).cast("int")
-    entries = entries.join(cuts, ["t", "code"], "left").withColumn("cut", cut).select("t", "code", "cut", "vector", "ids")
-    spread = probes.join(cuts, ["t", "code"], "left").withColumn("cut", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)))
+    cuts = written(sizes.where(F.col("n") > SPLIT).select("t", "code", F.ceil(F.col("n") / SPLIT).cast("int").alias("cuts")), "ann-cuts")
+    entries = entries.join(cuts, ["t", "code"], "left").withColumn("cut", F.pmod(F.xxhash64("v"), F.coalesce("cuts", F.lit(1))).cast("int"))
+    visits = probes.join(cuts, ["t", "code"], "left").withColumn("cut", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)))
+    pairs = visits.select("t", "code", "cut", "q").join(entries.select("t", "code", "cut", "v"), ["t", "code", "cut"])
+    pairs = written(pairs.groupBy("q", "v").agg(F.lit(0).alias("none")).select("q", "v"), "ann-pairs")
+    n_queries = queries.count()
+    asked = None
+    if n_queries <= BROADCAST_QUERIES:
+        own = queries.toPandas()
+        order = np.argsort(own["q"].to_numpy())
+        asked = spark.sparkContext.broadcast((own["q"].to_numpy()[order], own["query_id"].to_numpy()[order], _matrix(own["vector"])[order]))
+        pairs = pairs.withColumn("query_id", F.lit(0).cast("long")).withColumn("vector", F.lit(b""))
+    else:
+        pairs = pairs.join(queries, "q")
 
     def rerank(own: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(group):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return search(own["query_id"].to_numpy(), _matrix(own["vector"]), own["code"].to_numpy(), _matrix(group["vector"]), group["code"].to_numpy(), group["ids"], k)
-
-    # Many small buckets share a task's group, some SPLIT vectors of one table together.
-    together = F.pmod(F.xxhash64("code"), F.lit(max(1, ceil(n / SPLIT)))).alias("together")
-    keys = ["t", "cut", "together"]
-    spread, entries = spread.select("t", "cut", together, "code", "query_id", "vector"), entries.select("t", "cut", together, "code", "vector", "ids")
-    found = spread.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(rerank, FOUND)
+        v = group["v"].to_numpy()
+        order = np.argsort(v)
+        entry = order[np.searchsorted(v[order], own["v"].to_numpy())]
+        y = _matrix(group["vector"])
+        if asked is None:
+            query_ids, x, row = own["query_id"].to_numpy(), _matrix(own["vector"]), np.arange(len(own))
+        else:
+            q, query_ids, x = asked.value
+            row = np.searchsorted(q, own["q"].to_numpy())
+            query_ids = query_ids[row]
+        far = np.empty(len(own))
+        for a in range(0, len(own), 16_384):
+            gap = y[entry[a : a + 16_384]] - x[row[a : a + 16_384]]
+            far[a : a + 16_384] = np.sqrt(np.einsum("nd,nd->n", gap, gap))
+        return _best(query_ids, entry, far, [np.asarray(i, np.int64) for i in group["ids"]], k)
+
+    parts = max(1, ceil(n / TOGETHER), ceil(pairs.count() / PAIRS))
+    part = F.pmod(F.xxhash64("v"), F.lit(parts)).alias("part")
+    pairs, entries = pairs.select(part, "q", "v", "query_id", "vector"), vectors.select(part, "v", "vector", "ids")
+    found = pairs.groupBy("part").cogroup(entries.groupBy("part")).applyInPandas(rerank, FOUND)
     found = written(ranked(found, k), "ann-found")
     # n counts distinct vectors; with few of them, equal ones may still make up k.
     short = queries.select("query_id").distinct().join(found.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti")
-    short = short.union(probes.where("not enough").select("query_id")).distinct()
+    short = short.union(probes.where("not enough").join(queries, "q").select("query_id")).distinct()
     left = written(queries.join(short, "query_id", "left_semi"), "ann-left")
     if left.isEmpty():
         return found
