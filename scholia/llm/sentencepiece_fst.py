@@ -1,13 +1,17 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-The model file gives three machines. The normaliser marks the start and each space with the word mark. The piece
-machine reads characters and writes pieces: its states are the piece last written, and its arc from piece a to piece b
-weighs 0 where merging a's and b's characters together, by the model's merge order, gives a and b again, and infinity
-otherwise. A path on which all neighbours agree is the merges' own outcome and the only one, so the tropical shortest
-path is what the merge procedure gives. (Weights of scores summed along a path would give a unigram segmentation, which
-a merge model doesn't use.) Characters without a piece pass through the byte machine. Arcs are compiled when an input
-first needs them and kept. No piece goes on after a word mark that follows other characters, so a text is the
-concatenation of its words' inputs, and words that were composed before are taken from a bounded cache.
+The model file gives three machines. The normaliser rewrites the longest match of its character map at each place (an
+identity where there is none), drops or folds spaces as the model says, and marks the start and each space with the word
+mark. The piece machine is a trie that reads characters and writes pieces. The byte machine reads a character that no
+piece covers and writes its bytes, or the unknown piece. Composed with an input, the two give a lattice of its places,
+whose tropical shortest path (the least sum of weights; of equals the one found first) is the outcome.
+
+Weights of a unigram model are the pieces' negative scores, with a penalty for unknown characters. A merge (BPE) model
+isn't a sum of scores: its outcome is decided by the order of merges. There the machine's states are the piece last
+written, and the arc from piece a to piece b weighs 0 where merging a's and b's characters together gives a and b again,
+and infinity otherwise; the only path of finite weight is the merges' own outcome, and it is searched depth first. Arcs
+are compiled when an input first needs them and kept. No piece goes on after a word mark that follows other characters,
+so a text is the concatenation of its words' inputs, and words that were composed before are taken from a bounded cache.
 """
 
 from __future__ import annotations
@@ -25,13 +29,59 @@ from .common import prepare, table, texts
 from .wordcache import Bounded
 
 MARK = "▁"
-NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNIGRAM, MERGES = 1, 2
+#: What an unknown character costs beyond the worst piece.
+PENALTY = 10.0
 _machines: dict[str, "Transducer"] = {}
 
 
+class Charsmap:
+    """The normaliser's character map: a double array trie of byte strings, and what they are rewritten to."""
+
+    def __init__(self, blob: bytes):
+        n = int.from_bytes(blob[:4], "little")
+        self.units = np.frombuffer(blob[4 : 4 + n], "<u4").tolist()
+        self.texts = blob[4 + n :]
+        self.known: dict[bytes, bytes | None] = {}
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """The longest match at a place: how many bytes it reads, and what it writes."""
+        found, node = None, self._offset(self.units[0])
+        for i in range(at, len(data)):
+            node ^= data[i]
+            unit = self.units[node] if node < len(self.units) else 0
+            if unit & 0x800000FF != data[i]:
+                break
+            node ^= self._offset(unit)
+            if unit >> 8 & 1:
+                found = (i + 1 - at, self.units[node] & 0x7FFFFFFF)
+        if found is None:
+            return None
+        return found[0], self.texts[found[1] : self.texts.index(b"\0", found[1])]
+
+    def rewritten(self, text: str) -> str:
+        """The text with the longest match at each place rewritten, characters without one as they are."""
+        data, out, at = text.encode(), [], 0
+        while at < len(data):
+            match = self.longest(data, at)
+            if match is None:
+                first = data[at]
+                size = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+                match = size, data[at : at + size]
+            out.append(match[1])
+            at += match[0]
+        return b"".join(out).decode("utf-8", "replace")
+
+
 class Transducer(Bounded):
     """Little-endian unsigned 32-bit ids of each word (a run of word marks and what follows up to the next)."""
 
+    bound, stay = 500_000, 100_000
     most_arcs = 1_000_000
 
     def __init__(self, path: str):
@@ -40,15 +90,20 @@ class Transducer(Bounded):
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as file:
             model.ParseFromString(file.read())
-        if model.trainer_spec.model_type != 2 or model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("a merge model with an identity normaliser is needed")
+        self.kind = model.trainer_spec.model_type
+        if self.kind not in (UNIGRAM, MERGES) or model.trainer_spec.treat_whitespace_as_suffix or not model.normalizer_spec.escape_whitespaces or any(p.type == DEFINED for p in model.pieces):
+            raise ValueError("a unigram or merge model with word marks before words and no pieces of the user's is needed")
         self.prefix = model.normalizer_spec.add_dummy_prefix
+        self.fold = model.normalizer_spec.remove_extra_whitespaces
+        self.charsmap = Charsmap(model.normalizer_spec.precompiled_charsmap) if model.normalizer_spec.precompiled_charsmap else None
         self.names = [p.piece for p in model.pieces]
         self.kinds = [p.type for p in model.pieces]
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.order = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         if any(MARK in name.lstrip(MARK) for name in self.ids):
             raise ValueError("a piece goes on after an inner word mark")
+        self.weights = {piece: np.float32(-score) for piece, score in self.order.items()}
+        self.unknown_weight = np.float32(-min(self.order.values(), default=0.0)) + np.float32(PENALTY)
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.byte_ids = frozenset(self.bytes.values())
@@ -64,7 +119,50 @@ class Transducer(Bounded):
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def normalise(self, text: str) -> str:
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+        """What the normaliser writes for a text."""
+        text = self.charsmap.rewritten(text) if self.charsmap else text
+        if self.fold:
+            text = re.sub(" +", " ", text).strip(" ")
+        text = (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+        return text.rstrip(MARK) if self.fold else text  # marks at the end count as spaces there
+
+    def lattice(self, text: str, i: int) -> Iterator[tuple[str, np.float32]]:
+        """The arcs that leave place i of the composition: what they read, shortest first, and their weights.
+
+        A character that is no piece has the arc of the byte machine, after the others.
+        """
+        j, whole = i, False
+        while j < len(text):
+            j += 1
+            piece = text[i:j]
+            kind = self.table.get(piece, 0)
+            if kind & 1:
+                whole |= j == i + 1
+                yield piece, self.weights[piece]
+            if kind < 2:
+                break
+        if not whole:
+            yield text[i], self.unknown_weight
+
+    def shortest(self, text: str) -> list[str]:
+        """The pieces of the tropical shortest path, in single precision as the model's own weights are.
+
+        Sums start anew with each word; paths that differ by rounding alone may be told apart otherwise than by the library.
+        """
+        best: list[np.float32 | None] = [np.float32(0)] + [None] * len(text)
+        back = [0] * (len(text) + 1)
+        for i in range(len(text)):
+            if best[i] is None:
+                continue
+            for piece, weight in self.lattice(text, i):
+                j, total = i + len(piece), best[i] + weight
+                if best[j] is None or total < best[j]:
+                    best[j], back[j] = total, i
+        out, j = [], len(text)
+        while j:
+            out.append(text[back[j] : j])
+            j = back[j]
+        return out[::-1]
 
     def merged(self, text: str) -> list[str]:
         """The pieces that the merge order makes of a short text: best score first, leftmost of equals."""
@@ -136,7 +234,7 @@ class Transducer(Bounded):
         if len(word) > 64:
             return self.composed(word)
         found = None
-        if len(word) > 2 and word[-1] in ".," and word[-2] != MARK:
+        if self.kind == MERGES and len(word) > 2 and word[-1] in ".," and word[-2] != MARK:
             # The path to the last character is the stem's own, and the mark as a rule agrees with its end.
             stem = self[word[:-1]]
             last = int.from_bytes(stem[-4:], "little")
@@ -146,13 +244,19 @@ class Transducer(Bounded):
         return found
 
     def composed(self, word: str) -> bytes:
-        pieces, raw = self.path(word), self.raw
+        """The ids that the composition of the machines with a word writes along its shortest path."""
+        pieces, raw = self.shortest(word) if self.kind == UNIGRAM else self.path(word), self.raw
         try:
             return b"".join([raw[piece] for piece in pieces])
         except KeyError:  # characters without a piece
             own: list[int] = []
             for piece in pieces:
-                own += [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
+                if piece in self.ids:
+                    own.append(self.ids[piece])
+                elif self.bytes:
+                    own += [self.bytes[b] for b in piece.encode()]
+                elif not own or own[-1] != self.unknown:  # a run of unknown characters is one piece
+                    own.append(self.unknown)
             return np.array(own, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -188,7 +292,10 @@ def _machine(path: str) -> Transducer:
 
 
 def encoded(docs: DataFrame, model: str, *keep: str) -> DataFrame:
-    """doc_id, the columns keep and piece_ids (array of int) of every whole text (null: empty, no pieces), in one map."""
+    """doc_id, the columns keep and piece_ids (array of int) of every whole text (null: empty, no pieces), in one map.
+
+    Null and repeated ids and repeated rows stay as they are; no rows give no rows.
+    """
     prepare(docs.sparkSession)
     rows = texts(docs, *keep).select("doc_id", *keep, "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -205,7 +312,7 @@ def encoded(docs: DataFrame, model: str, *keep: str) -> DataFrame:
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
-    """doc_id and text of rows with piece_ids (null: null)."""
+    """doc_id and text of rows with piece_ids (null: null); null and repeated ids stay, no rows give no rows."""
     prepare(rows.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,59 @@ def test_caches_are_exact(libraries, text):
     assert own_piece.decode(ids) == piece.decode(ids)
 
 
+def made_model(path, kind, bytes_, charsmap, fold, prefix=True):
+    """A small model made by hand: no training, just pieces and scores."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if bytes_ else [])
+    names = ["▁", "a", "b", "e", "t", "h", "▁t", "th", "he", "the", "▁the", "ab", "ba", "aba", "▁a", "▁ab", "É", "é", "1", "fi", "bab"]
+    pieces += [(x, -1.0 - 0.37 * i % 3 - len(names) / (10 + len(x)), 1) for i, x in enumerate(names)]
+    for name, score, type_ in pieces:
+        model.pieces.add(piece=name, score=score, type=type_)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.vocab_size = kind, bytes_, len(pieces)
+    spec = model.normalizer_spec
+    spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, spec.name = prefix, fold, True, "own"
+    if charsmap:
+        rules = sentencepiece_model_pb2.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf").serialized_model_proto())
+        spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+ODD = st.lists(st.sampled_from(list("abthe 1ÉéßΣ中▁ﬁＡ①\t\n　") + ["́", "\U0001f600", "the ", "  "]), max_size=25).map("".join)
+
+
+@pytest.mark.parametrize(("kind", "bytes_", "charsmap", "fold"), [(1, True, True, True), (1, False, False, False), (1, False, True, False), (1, True, False, True), (2, True, True, True)])
+def test_machines_of_other_models(tmp_path, kind, bytes_, charsmap, fold):
+    """Unigram weights, character maps, folded spaces and unknown characters, against the library."""
+    path = made_model(tmp_path / "m.model", kind, bytes_, charsmap, fold)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_fst.Transducer(path)
+
+    @settings(max_examples=300, deadline=None)
+    @given(text=ODD)
+    def same(text):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text)
+
+    same()
+
+
+def test_shortest_path_is_the_least_sum(tmp_path):
+    """Against all segmentations of short inputs."""
+    own = sentencepiece_fst.Transducer(made_model(tmp_path / "m.model", 1, False, False, False))
+
+    def all_ways(text):
+        if not text:
+            yield []
+        for k in range(1, len(text) + 1):
+            if text[:k] in own.weights or k == 1:
+                yield from ([text[:k], *rest] for rest in all_ways(text[k:]))
+
+    for text in ("▁thetheab", "babaabab", "▁▁ab中aba", "hehethe"):
+        cost = lambda way: sum(float(own.weights.get(x, own.unknown_weight)) for x in way)
+        assert cost(own.shortest(text)) == pytest.approx(min(map(cost, all_ways(text))), abs=1e-4)
+
+
 def test_cache_forgets(libraries):
     small = WordEncoder(WORD, most_bytes=150_000)
     texts = [f"w{i} x{i * 7} the Stem{'abcdefghij'[i % 10] * (i % 7)}. stem, ." for i in range(2000)]
