@@ -33,18 +33,24 @@ def once_within(events: DataFrame, keys: list[str], interval: str = "5 seconds")
 def rate_limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
     """user_id, event_id and allowed: most events in a window that opens with a user's first event after the last one.
 
-    A fold over each user's own events in order.
+    A pass over each user's events in order, batch by batch, that holds two numbers; no list of a user is built.
     """
     width = seconds * 1_000_000
-    rows = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("u")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("u", "event_id"))).alias("e"))
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
+    rows = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("u"))
 
-    def step(s, e):
-        fresh = s["start"].isNull() | (e["u"] - s["start"] >= width)
-        n = F.when(fresh, 1).otherwise(s["n"] + 1)
-        return F.struct(F.when(fresh, e["u"]).otherwise(s["start"]).alias("start"), n.alias("n"), F.array_append(s["out"], F.struct(e["event_id"].alias("event_id"), (n <= most).alias("allowed"))).alias("out"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, start, n = None, 0, 0
+        for batch in batches:
+            out = []
+            for own, at in zip(batch["user_id"].tolist(), batch["u"].tolist()):
+                if own != user or at - start >= width:
+                    user, start, n = own, at, 0
+                n += 1
+                out.append(n <= most)
+            yield pd.DataFrame({"user_id": batch["user_id"], "event_id": batch["event_id"], "allowed": out})
 
-    return rows.select("user_id", F.explode(F.aggregate("e", zero, step)["out"]).alias("o")).select("user_id", "o.event_id", "o.allowed")
+    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "u", "event_id")
+    return ordered.mapInPandas(run, "user_id long, event_id long, allowed boolean")
 
 
 def rate_limited_stream(events: DataFrame, most: int, seconds: int) -> DataFrame:
@@ -70,6 +76,31 @@ def rate_limited_stream(events: DataFrame, most: int, seconds: int) -> DataFrame
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean", "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def locked_out(attempts: DataFrame, most: int, seconds: int) -> DataFrame:
+    """user_id, event_id and locked of attempts (user_id, event_id, ts, failed): refused after most failures in a row.
+
+    A failure starts its count's time anew, a success ends it, and after so many seconds it is forgotten; attempts that
+    are refused change nothing. State goes over each user's attempts in order, batch by batch, and holds two numbers.
+    """
+    rows = attempts.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("u"), "failed")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, n, until = None, 0, 0
+        for batch in batches:
+            out = []
+            for own, at, failed in zip(batch["user_id"].tolist(), batch["u"].tolist(), batch["failed"].tolist()):
+                if own != user:
+                    user, n, until = own, 0, 0
+                n = 0 if at >= until else n
+                out.append(n >= most)
+                if n < most:
+                    n, until = (n + 1, at + seconds * 1_000_000) if failed else (0, until)
+            yield pd.DataFrame({"user_id": batch["user_id"], "event_id": batch["event_id"], "locked": out})
+
+    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "u", "event_id")
+    return ordered.mapInPandas(run, "user_id long, event_id long, locked boolean")
+
+
 def rounds_stream(messages: DataFrame, most: int = 5) -> DataFrame:
     """user_id and rounds of a stream of (user_id, understood): one up with each message, back to 0 on a sign of
     understanding or at most rounds."""
