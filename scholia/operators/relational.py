@@ -98,6 +98,25 @@ def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int | No
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with each row's place in its group, from 1, by a total order; a group may hold any share of the rows.
+
+    Rows are dealt by ranges of group and order, so a large group lies in many tasks; counts of its ranges, one row a
+    task and group, give where each starts.
+    """
+    part, n, base = fresh(df, "range_part"), fresh(df, "range_rows"), fresh(df, "range_base")
+    keys = [F.col(c) for c in (*group, *order)]
+    ranged = written(df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*group, part).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn(base, before).drop(n).withColumnsRenamed({g: g + "_of" for g in group}).withColumnRenamed(part, part + "_of")
+    same = ranged[part] == counts[part + "_of"]
+    for g in group:
+        same = same & ranged[g].eqNullSafe(counts[g + "_of"])
+    place = F.row_number().over(Window.partitionBy(*group, part).orderBy(*order))
+    return ranged.withColumn(name, place).join(counts, same).select(*df.columns, (F.col(base) + F.col(name)).alias(name))
+
+
 def keep_first(df: DataFrame, key: Sequence[Column], order: Sequence[Column]) -> DataFrame:
     """The first row of each key: one exchange by the key, no row sent twice."""
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))

@@ -9,16 +9,18 @@ from ..operators import activity
 from .registry import Tables, query
 
 TYPES = ["signup", "error", "click", "view", "purchase"]
-#: The first thirty days of the events.
+#: The days of the events, 366 at most from the first one.
 FIRST = "(SELECT CAST(min(ts) AS DATE) FROM events)"
+DAYS = f"SELECT CAST({FIRST} + CAST(i AS INTEGER) AS DATE) AS day FROM range(366) r(i) WHERE {FIRST} + CAST(i AS INTEGER) <= (SELECT CAST(max(ts) AS DATE) FROM events)"
 
 
 def _days(t: Tables) -> DataFrame:
-    first = t.events.agg(F.min("ts").cast("date").alias("f"))
-    return first.select(F.explode(F.sequence("f", F.date_add("f", 29))).alias("day"))
+    ends = t.events.agg(F.min("ts").cast("date").alias("f"), F.max("ts").cast("date").alias("l")).where("f IS NOT NULL")
+    n = activity.clamp_days(F.date_diff("l", "f") + 1)
+    return ends.select(F.explode(F.sequence("f", F.date_add("f", n - 1))).alias("day"))
 
 
-@query(f"""WITH d AS (SELECT CAST({FIRST} + CAST(i AS INTEGER) AS DATE) AS day FROM range(30) r(i)), u AS (SELECT DISTINCT user_id FROM events),
+@query(f"""WITH d AS ({DAYS}), u AS (SELECT DISTINCT user_id FROM events),
 c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'click') AS click,
 count(*) FILTER (event_type = 'view') AS "view", count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY ALL),
 j AS (SELECT u.user_id, d.day, coalesce(signup, 0) AS signup, coalesce(error, 0) AS error, coalesce(click, 0) AS click, coalesce("view", 0) AS "view", coalesce(purchase, 0) AS purchase
@@ -27,7 +29,7 @@ k AS (SELECT *, CAST((signup > 0)::INT + (error > 0)::INT + (click > 0)::INT + (
 s AS (SELECT *, 0.72::DOUBLE * type_count / 5 + 0.28::DOUBLE * least(session_count / 12, 1) AS x FROM k)
 SELECT * EXCLUDE x, round(x, 6) AS score, CASE WHEN session_count = 0 THEN 0 WHEN type_count = 5 THEN 4 WHEN x < 0.3 THEN 1 WHEN x < 0.6 THEN 2 WHEN x < 0.85 THEN 3 ELSE 4 END AS level FROM s""")
 def activity_heatmap(t: Tables) -> DataFrame:
-    """Activity of every user over thirty days, zero-filled."""
+    """Activity of every user on every day, zero-filled."""
     sessions = t.events.select("user_id", F.col("ts").cast("date").alias("day"), F.col("event_type").alias("type"))
     return activity.heatmap(sessions, t.events.select("user_id").distinct(), _days(t), TYPES)
 
@@ -97,9 +99,9 @@ FROM d GROUP BY GROUPING SETS ((lang), (source), ())""")
 def agg_dataset_stats(t: Tables) -> DataFrame:
     """Counts and ratios of a dataset by each of its columns and in all, in one pass."""
     d = t.documents.select("lang", "source", F.col("text").contains("|").cast("int").alias("bar"))
-    d.createOrReplaceTempView("__stats")
-    return t.spark.sql("""SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS part, coalesce(lang, source, '') AS value,
-        count(*) AS n, round(avg(bar), 4) AS bar_ratio FROM __stats GROUP BY GROUPING SETS ((lang), (source), ())""")
+    sets = d.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.grouping("lang").alias("no_lang"), F.grouping("source").alias("no_source"), F.count("*").alias("n"), F.round(F.avg("bar"), 4).alias("bar_ratio"))
+    part = F.when(F.col("no_lang") == 0, "lang").when(F.col("no_source") == 0, "source").otherwise("all")
+    return sets.select(part.alias("part"), F.coalesce("lang", "source", F.lit("")).alias("value"), "n", "bar_ratio")
 
 
 @query("SELECT p_type, count(*) AS n, min(p_partkey) AS first_at FROM part GROUP BY p_type")

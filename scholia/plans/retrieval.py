@@ -97,3 +97,15 @@ def ret_parents(t: Tables) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * 1080 + 1, F.lit(1080)).contains("the"))
     hit = t.documents.where("text <> ''").select("doc_id", F.posexplode(parts).alias("child", "hit")).where("hit")
     return hit.select("doc_id", F.floor(F.col("child") / 2).cast("int").alias("parent")).distinct()
+
+
+@query()
+def txt_sections(t: Tables) -> DataFrame:
+    """Documents as articles of sections, paragraphs, subtitles and lists, and their chunks."""
+    from ..operators.sections import section_chunks
+
+    safe = lambda c: F.replace(F.replace(F.regexp_replace(c, r"[^\P{Cc}]", " "), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    body = F.transform(lines, lambda x, i: F.when(i % 5 == 3, F.concat(F.lit("<p><bold>"), safe(F.left(x, F.lit(40))), F.lit("</bold></p>"))).when(i % 5 == 4, F.concat(F.lit("<list><item>"), F.regexp_replace(safe(x), r"\. ", ".</item><item>"), F.lit("</item></list>"))).otherwise(F.concat(F.lit("<p>"), safe(x), F.lit("</p>"))))
+    xml = F.concat(F.lit("<article><title>T "), F.col("doc_id"), F.lit("</title><sec><title>S</title>"), F.array_join(body, ""), F.lit("</sec></article>"))
+    return section_chunks(t.documents.select(F.col("doc_id").cast("string").alias("name"), xml.alias("xml")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import curriculum as C
 from ..operators import dialogue as D
 from ..operators import rewards as R
+from ..operators.relational import numbered
 from ..streaming import stateful as S
 from .registry import Tables, query
 
@@ -265,8 +266,8 @@ def stm_counters(t: Tables) -> DataFrame:
 SELECT user_id, event_id, CAST((i - 1) // 400 AS BIGINT) AS file FROM o""")
 def stm_history(t: Tables) -> DataFrame:
     """A new history file after every 400 messages."""
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t.events.select("user_id", "event_id", F.floor((n - 1) / 400).alias("file"))
+    rows = numbered(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], "n")
+    return rows.select("user_id", "event_id", F.floor((F.col("n") - 1) / 400).alias("file"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

@@ -13,7 +13,8 @@ from .registry import Tables, query
 @query("SELECT doc_id, source || '-' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR), 6, '0') AS qid FROM documents")
 def win_sequence_ids(t: Tables) -> DataFrame:
     """Numbers within a source."""
-    return t.documents.select("doc_id", sequence_id(F.col("source"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).alias("qid"))
+    rows = R.numbered(t.documents.select("doc_id", "source"), ["source"], ["doc_id"], "n")
+    return rows.select("doc_id", sequence_id(F.col("source"), F.col("n")).alias("qid"))
 
 
 @query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) = 1")
@@ -86,10 +87,10 @@ def win_dialogue(t: Tables) -> DataFrame:
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, avg(l_quantity) OVER w AS m, stddev_pop(l_quantity) OVER w AS s FROM lineitem WINDOW w AS (PARTITION BY l_suppkey, l_returnflag))
 SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, round((l_quantity - m) / (s + 1e-6), 4) AS advantage FROM a""")
 def win_anchors(t: Tables) -> DataFrame:
-    """Values by the mean and deviation of those that share an anchor."""
-    w = Window.partitionBy("l_suppkey", "l_returnflag")
-    x = (F.col("l_quantity") - F.avg("l_quantity").over(w)) / (F.stddev_pop("l_quantity").over(w) + 1e-6)
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.round(x, 4).alias("advantage"))
+    """Values by the mean and deviation of those that share an anchor: an aggregate, merged before its exchange."""
+    spread = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s"))
+    x = (F.col("l_quantity") - F.col("m")) / (F.col("s") + 1e-6)
+    return t.lineitem.join(spread, ["l_suppkey", "l_returnflag"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.round(x, 4).alias("advantage"))
 
 
 @query("""WITH s AS (SELECT l_suppkey % 40 AS g, l_orderkey AS rec, l_linenumber AS n, l_partkey AS p, l_returnflag AS anchor, l_quantity AS suffix, l_linestatus = 'F' AS inherits, l_extendedprice AS price FROM lineitem),
