@@ -35,7 +35,9 @@ def _record(rows: DataFrame, keep: Sequence[str], **given: Column | str) -> Data
     for name in ("label_extra", "meta"):
         values.setdefault(name, F.map_from_arrays(F.array(), F.array()).cast(_MAP))
     values.setdefault("image", F.lit(None).cast("string"))
-    return rows.select(*keep, *[values[name].alias(name) for name in RECORD])
+    # Under names of their own first: a source's column may have the name of a field that is made of others.
+    own = {name: f"record {name}" for name in RECORD}
+    return rows.select(*keep, *[values[name].alias(own[name]) for name in RECORD]).withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def exam_records(rows: DataFrame, source: str, columns: Mapping[str, str], names: Mapping[str, str] | None = None, options: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:

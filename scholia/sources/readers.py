@@ -52,21 +52,19 @@ def read_json_any(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 def read_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
     """A table with a header; the first encoding in which no field holds a replacement character.
 
-    A file that fits none gives no rows, under the columns of the last one tried.
+    A file that fits none gives no rows, under the columns of the last one tried. Encodings beyond Spark's own need the
+    session's spark.sql.legacy.javaCharsets, which is set when one is tried and stays, as rows are read later.
     """
-    before = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # for encodings beyond Unicode and Latin ones
-    try:
-        for encoding in encodings:
-            df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
-            broken = F.lit(False)
-            for name in df.columns:
-                broken = broken | F.coalesce(F.col(f"`{name}`").contains("�"), F.lit(False)) | F.lit("�" in name)
-            if df.where(broken).isEmpty():
-                return df.withColumnsRenamed({name: name.lstrip("\ufeff") for name in df.columns})
-        return df.limit(0)
-    finally:
-        spark.conf.set("spark.sql.legacy.javaCharsets", before)
+    for encoding in encodings:
+        if not encoding.upper().startswith(("UTF", "ISO", "US-")):
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+        broken = F.lit(False)
+        for name in df.columns:
+            broken = broken | F.coalesce(F.col(f"`{name}`").contains("�"), F.lit(False)) | F.lit("�" in name)
+        if df.where(broken).isEmpty():
+            return df.withColumnsRenamed({name: name.lstrip("\ufeff") for name in df.columns})
+    return df.limit(0)
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:

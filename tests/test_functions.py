@@ -7,9 +7,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scholia.functions import numbers as N
-from scholia.functions import rowwise
+from scholia.functions import questions, rowwise
 from scholia.functions import text as T
-from scholia.operators import activity, dialogue, relational, retrieval
+from scholia.operators import activity, curriculum, dialogue, relational, retrieval, rewards, sections
 
 
 def value(spark, column, **given):
@@ -193,3 +193,111 @@ def test_recursive_chunks():
     chunks = rowwise.recursive_chunks(text, 500, 100)
     assert all(0 < len(c) <= 500 for c in chunks) and all(w in " ".join(chunks) for w in text.split())
     assert rowwise.recursive_chunks("", 10, 2) == [] and rowwise.recursive_chunks("x" * 25, 10, 2) == ["x" * 10, "x" * 10, "x" * 9]
+
+
+def steps(spark, *texts, reading=False):
+    return value(spark, dialogue.global_defects(F.array(*[F.lit(t).cast("string") for t in texts]), F.lit(reading)))
+
+
+def test_rules_across_turns(spark):
+    assert steps(spark, "<recall>a</recall><check>b</check>", "<correct>c</correct><end/>") == []
+    assert steps(spark, "<correct>c</correct>") == ["G2 1 no_scaffold", "G2 1 no_check"]
+    assert steps(spark, "<hint level=2>a</hint>", "<hint>b</hint>") == ["G3 2 level 2 1"]
+    assert steps(spark, "<probe>a</probe><probe>b</probe><probe>c</probe>") == ["G3 1 often probe"]
+    assert steps(spark, "<end/><check>a</check>") == ["G4 1 after_end check"]
+    assert steps(spark, "<check>a</check><end/>", "<check>b</check>") == ["G4 1 early_end"]
+    assert steps(spark, "<explain>a</explain>", reading=True) == ["G5 1 explain"] and steps(spark, "<explain>a</explain>") == []
+    assert steps(spark, "<probe>a</probe><explain>a</explain>", reading=True) == []
+    assert steps(spark, None, " ") == ["1 no_text", "2 empty"]
+    assert value(spark, dialogue.global_defects(F.array().cast("array<string>"), F.lit(False))) == ["empty_trajectory"]
+
+
+@pytest.mark.parametrize(("node", "difficulty", "first"), [(None, None, True), (" ", "x", True), ("ophthalmology/retina/x", "difficult_diagnostic", True), ("ophthalmology/retina/x", "routine_clarification", False), ("ophthalmology/glaucoma/x", None, False), ("ophthalmology/fundus/x", None, True)])
+def test_reading_first(spark, node, difficulty, first):
+    assert value(spark, dialogue.reading_first(F.lit(node).cast("string"), F.lit(difficulty).cast("string"))) is first
+
+
+@pytest.mark.parametrize(("label", "text", "hit"), [("", "x", True), ("Yes", "", True), ("glaucoma", "", False), ("Glaucoma stage 2", "x <correct>视杯 large</correct>", True), ("glaucoma", "青光眼 <explain>none</explain>", False), ("glaucoma", "the 青光眼", True), ("abcdefghij", "<explain>abcdef</explain>", True), ("abcdefghij", "<explain>abcde</explain>", False)])
+def test_medical_point(spark, label, text, hit):
+    words = {"glaucoma": ["青光眼", "视杯"], "dr": ["糖网"]}
+    assert value(spark, dialogue.medical_point(F.lit(label), F.lit(text), words)) is hit
+
+
+def test_states_and_rewards(spark):
+    deltas = F.array(F.struct(F.lit(0.9).alias("mastery"), F.lit(None).cast("double").alias("engagement"), F.lit(0.1).alias("fatigue"), F.lit(True).alias("resolved"), F.lit(True).alias("shown")))
+    assert {k: round(v, 6) for k, v in value(spark, dialogue.final_state(deltas)).asDict().items()} == {"mastery": 1.0, "engagement": 0.7, "fatigue": 0.2, "misconception_severity": 0.4}
+    texts = F.array(F.lit("<recall>a</recall><hint>b</hint>"), F.lit("<correct>c</correct><hint>b</hint><end/>"))
+    found = rewards.sequence_reward(texts, F.lit(0), F.lit(0.2), F.lit(0.1), F.lit(0.5), F.lit(True), F.lit(False))
+    assert value(spark, found["pairs"]) == 4.0 and value(spark, found["loops"]) == 1
+    assert value(spark, found["total"]) == pytest.approx(0.2 * 1 + 0.3 * 3.9 + 0.4 * (0.12 + 0.02 - 0.1))
+    nothing = rewards.sequence_reward(F.array(F.lit("<end/>")), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(True), F.lit(False))
+    assert value(spark, nothing["format"]) == -0.1
+    assert value(spark, rewards.anchor_key(F.lit(""), F.lit(None).cast("string"), F.lit(float("nan")), F.lit(0.9), F.lit("x <hint level=1>"))) == '["na","L","none","H","hint"]'
+    assert value(spark, rewards.step_reward(F.lit(0.1), F.lit(0.0), F.lit(0.7), F.lit("<hint><hint><hint>"))) == pytest.approx(0.06 + 0.1 - 0.01 - 0.05)
+    last = F.array(F.struct(F.lit(0.5).alias("mastery"), F.lit(None).cast("double").alias("engagement"), F.lit(0.1).alias("misconception_severity")), F.lit(None))
+    assert tuple(value(spark, rewards.final_evaluation(last))) == (0.5, 0.7, 0.1)
+
+
+def learner(**given):
+    base = {"mastery": [0.9] * 6, "misconception": [0.1] * 6, "engagement": 0.5, "fatigue": 0.1, "position": 5, "profile": 0, "step": 3, "completed": False} | given
+    return F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(k) for k, v in base.items()])
+
+
+def test_curriculum_ends(spark):
+    done = value(spark, curriculum.taken(learner(), F.lit(0)))
+    assert done.terminated and not done.truncated and done.reward == 1.0 and done.next.completed and done.next.position == 5
+    late = value(spark, curriculum.taken(learner(step=39, position=1, mastery=[0.2] * 6), F.lit(9)))
+    assert late.truncated and not late.terminated and late.node == 0 and late.next.step == 40
+    assert value(spark, curriculum.mask(learner(step=40))) == [] and value(spark, curriculum.mask(learner(completed=True))) == []
+    valid = value(spark, curriculum.mask(learner(fatigue=0.9)))
+    assert valid and all(a % 9 // 3 == 0 and a % 3 != 2 for a in valid)
+    assert value(spark, curriculum.policy(learner(), curriculum.mask(learner()))) == 4
+
+
+def test_section_chunks():
+    pair = "".join(f"<i>{'y' * 600}</i>" for _ in range(2))
+    xml = f"<a><title>T</title><sec><title>S</title><p>{'x' * 300}</p><p>short</p><p><bold>Sub</bold></p><list><i>a</i><i>b <b>c</b> d</i></list><p>after</p><list>{pair}</list><p>end?</p></sec></a>"
+    found = sections.chunks("f", xml)
+    assert [(i, t, c) for i, t, c, _ in found] == [("f_0", "T -- S", "x" * 300 + " short"), ("f_1", "T -- S -- Sub", "a b c d after"), ("f_2", "T -- S", "y" * 600), ("f_3", "T -- S", "y" * 600), ("f_4", "T -- S", "end?")]
+    assert found[1][3] == "T -- S -- Sub. a b c d after" and sections.chunks("f", "not xml") == []
+
+
+def test_deep_and_rootless_trees(spark):
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 61)], "node long, parent long")
+    rows = {r.node: r.depth for r in relational.depths(chain, "node", "parent").collect()}
+    assert len(rows) == 60 and rows[60] == 59
+    circle = spark.createDataFrame([(1, 2), (2, 1)], "node long, parent long")
+    assert sorted(r.node for r in relational.depths(circle, "node", "parent").collect()) == [1, 2]
+    path = "1," + ",".join(map(str, range(5000)))
+    assert value(spark, relational.reparented(F.lit(path), "1", "7,1")) == "7,1" + path[1:]
+
+
+def test_not_in(spark):
+    keys = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    values = lambda *xs: spark.createDataFrame([(x,) for x in xs], "v int")
+    assert [r.k for r in relational.not_in(keys, "k", values(1)).collect()] == [2]
+    assert relational.not_in(keys, "k", values(1, None)).count() == 0 and relational.not_in(keys, "k", values()).count() == 3
+
+
+def test_names_that_clash(spark):
+    rows = spark.createDataFrame([(1, "a", 5), (2, "a", 6)], "place int, key string, first_place int")
+    assert [r.place for r in relational.keep_first(rows, [F.col("key")], [F.col("place")]).collect()] == [1]
+    assert relational.last_wins(rows, "key", "place").collect()[0].first_place == 6
+    assert sorted(r.n for r in relational.numbered(rows, ["key"], ["place"], "n").collect()) == [1, 2]
+
+
+def test_questions(spark):
+    options = F.create_map(F.lit("A"), F.lit("one (x)"), F.lit("B"), F.lit("two"))
+    given = {
+        "Which?": "Which?\nA. one (x)\nB. two",
+        "Which? A. one (x) B) two": "Which?\nA. one (x)\nB. two",
+        "Which?\nA. one (x)\nB: two": "Which?\nA. one (x)\nB: two",
+        "Which?\nA. one": "Which?\nne\nA. one (x)\nB. two",
+    }
+    for question, whole in given.items():
+        assert value(spark, questions.with_options(F.lit(question), options)) == whole
+    assert value(spark, questions.with_options(F.lit("q"), F.map_from_arrays(F.array(), F.array()).cast("map<string,string>"))) == "q"
+    assert value(spark, questions.one_line(F.lit(" a\u2028b\u2029"))) == "a b"
+    assert value(spark, questions.flat_context(F.array(F.lit("x"), F.lit(None), F.lit("y")), F.array(F.lit("L"), F.lit(" ")))) == "L: x\n\nCONTEXT: y"
+    assert value(spark, questions.cut_context(F.lit("aaaa\n\nbb\n\ncc"), 9)) == "aaaa [...]" and value(spark, questions.cut_context(F.lit("a" * 20), 9)) == "a" * 9 + " [...]"
+    assert value(spark, questions.misconception(F.array(F.lit(" ")), F.lit("t"), F.lit("en"))) == ""

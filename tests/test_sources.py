@@ -3,8 +3,11 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.functions import text as T_
+from scholia.sources import adapters as A
 from scholia.sources import readers as R
 
 SCHEMA = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
@@ -55,3 +58,28 @@ def test_daily_log(spark, tmp_path):
 def test_unknown_kind(spark):
     with pytest.raises(ValueError):
         R.load(spark, "xls", "x")
+
+
+def test_csv_of_no_encoding(spark, tmp_path):
+    (tmp_path / "b.csv").write_bytes(b"a,b\n\xff\xff,\x81\n")
+    assert R.read_csv(spark, str(tmp_path / "b.csv")).count() == 0
+    (tmp_path / "u.csv").write_bytes(b"\xef\xbb\xbfa,b\n1,2\n")
+    assert R.read_csv(spark, str(tmp_path / "u.csv")).columns == ["a", "b"]
+
+
+def test_image_extensions(spark, tmp_path):
+    for name in ("a.tif", "b.TIFF", "c.txt", "d.jpg"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r.name for r in R.list_files(spark, str(tmp_path)).collect()] == ["a.tif", "b.TIFF", "d.jpg"]
+
+
+def test_records(spark):
+    rows = spark.createDataFrame([("q", "A. x\nB. y", "ba", ""), (" ", "A. x", "A", "")], "Question string, Options string, Answer string, Explanation string")
+    (r,) = A.exam_records(rows, "exam", {}).collect()
+    assert (r.answer_letter, r.answer, r.gt_label, r.options, r.meta) == ("AB", "x; y", "x; y", {"A": "x", "B": "y"}, {})
+    rows = spark.createDataFrame([("q", ["x", "y"], "y"), ("r", ["x"], "z")], "question string, options array<string>, answer string")
+    found = A.generic_records(rows, {}, T_.listed_options(F.col("options"))).orderBy("stem").collect()
+    assert [(r.answer_letter, r.answer) for r in found] == [("B", "y"), ("", "z")]
+    rows = spark.createDataFrame([("i1", "3", "1"), ("i2", "", "0"), ("i3", "9", None)], "`Image Name` string, `Retinopathy grade` string, `Risk of macular edema` string")
+    found = A.graded_images(rows, {}, "/img/").orderBy("image").collect()
+    assert [r.image for r in found] == ["/img/i1.jpg", "/img/i3.jpg"] and found[0].gt_label.endswith("(Severe NPDR)") and found[1].gt_label == A.OTHER_GRADE + "9"
