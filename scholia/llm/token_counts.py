@@ -47,7 +47,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     """doc_id, n_bytes, n_tokens and over_limit of every whole text (null: empty, which has no tokens).
 
     The tokenizers library's counts, without added special tokens; its special strings inside a text count as it
-    takes them. Rows keep their partitions: the pass is one map over the table.
+    takes them. Rows keep their partitions: the pass is one map over the table. Null and repeated ids and repeated rows
+    stay as they are; no rows give no rows.
     """
     prepare(docs.sparkSession)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer))
