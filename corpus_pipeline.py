@@ -33,7 +33,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix of sources takes them; a null source is one, repeated rows count each, rows without words stay once or not at all."""
+    """Rows as often as the mix of sources takes them; a null source is one, repeated rows count each, rows without words stay as often as the whole part of their rate says."""
     return mixing.mix_documents(docs)
 
 
