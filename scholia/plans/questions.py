@@ -126,3 +126,18 @@ def src_exam(t: Tables) -> DataFrame:
     rows = t.part.select("p_partkey", F.col("p_name").alias("Question"), F.concat(F.lit("A "), "p_brand", F.lit("\nB、"), "p_type").alias("Options"), F.when(n % 2 == 0, "a").otherwise(" b").alias("Answer"), F.lit("").alias("Explanation"))
     found = exam_records(rows, "exam", {}, keep=["p_partkey"])
     return found.select("p_partkey", F.col("answer_letter").alias("letter"), "answer", T.options_block(F.col("options")).alias("block"))
+
+
+@query(f"""WITH r AS (SELECT concat('u', p_partkey % 1900) AS uid, {ASKS} AS content, CASE p_size % 5 WHEN 0 THEN 'AB' WHEN 1 THEN 'B' WHEN 2 THEN 'E' ELSE 'A' END AS label, CASE WHEN p_size % 5 = 1 THEN p_type WHEN p_size % 11 = 0 THEN ' ' ELSE p_brand END AS answer FROM part),
+l AS (SELECT *, list_distinct(list_transform(regexp_extract_all(content, '(?m)^\\s*([A-Ja-j])\\s*[.、:：)）]\\s*\\S', 1), lambda x: upper(x))) AS letters,
+list_transform(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\\s*[A-Ja-j]\\s*[.、:：)）]\\s*\\S')), lambda x: upper(substr(trim(x), 1, 1)) || trim(regexp_replace(x, '^\\s*[A-Ja-j]\\s*[.、:：)）]\\s*', ''))) AS lines FROM r)
+SELECT 'rows' AS name, CASE WHEN count(*) <> 1900 THEN abs(count(*) - 1900) ELSE 0 END AS failures FROM l UNION ALL SELECT 'repeated', count(*) - count(DISTINCT uid) FROM l UNION ALL SELECT 'label', count(*) FILTER (label = 'AB') FROM l
+UNION ALL SELECT 'answer', count(*) FILTER (trim(answer) = '') FROM l UNION ALL SELECT 'explanation', count(*) FROM l UNION ALL SELECT 'letters', count(*) FILTER (len(letters) < 2) FROM l
+UNION ALL SELECT 'label_in_letters', count(*) FILTER (len(letters) >= 2 AND NOT list_contains(letters, label[1])) FROM l UNION ALL SELECT 'answer_text', count(*) FILTER (NOT list_contains(lines, label[1] || trim(answer))) FROM l""")
+def qst_verified(t: Tables) -> DataFrame:
+    """A dataset's checks and how many rows fail each."""
+    from ..operators.verification import verified
+
+    n = F.col("p_size")
+    rows = t.part.select(F.concat(F.lit("u"), F.col("p_partkey") % 1900).alias("uid"), F.expr(ASKS).alias("content"), F.when(n % 5 == 0, "AB").when(n % 5 == 1, "B").when(n % 5 == 2, "E").otherwise("A").alias("gt_label"), F.when(n % 5 == 1, F.col("p_type")).when(n % 11 == 0, " ").otherwise(F.col("p_brand")).alias("gt_answer"), F.lit(None).cast("string").alias("gt_explanation"))
+    return verified(rows, "en", 1900)
