@@ -2,10 +2,11 @@
 
 Each table rounds a few Gaussian projections of a vector to cells of one width. A query visits a table's buckets in the
 order of the chance that a neighbour at the expected distance lies there (the product over projections of normal
-masses of cells), until these chances sum up to the table's share of the wanted recall. Tables hold numbers of vectors
-only: visits meet a bucket's numbers (a large bucket in several tasks, each visit in all of them), the tables' candidates
-are merged, and pairs of numbers go once to where the vectors are, for exact distances. Equal vectors are one vector with
-its smallest ids. The widths and the distance come from a bounded sample; every vector is indexed.
+masses of cells), until these chances sum up to the table's share of the wanted recall. Queries come in blocks: a block's
+visits (bucket numbers and queries) are broadcast, and each task looks its vectors' buckets up in them, merges the
+tables' candidates in one bit for each query and vector, and reranks these by exact distances, so that vectors are never
+moved and a task gives k rows a query. Equal vectors are one vector with its smallest ids. The widths and the distance
+come from a bounded sample; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -23,14 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table, written
 
-TABLES, WANTED, SEED = 12, 0.97, 4
-#: Vectors that fit the widths and the distance; vectors of a bucket that one task takes; queries of an exact block.
-SAMPLE, SPLIT, BLOCK = 4096, 65_536, 2048
-#: Vectors, and candidates, of a task that reranks; queries whose vectors are broadcast at most (512 bytes each, say).
-TOGETHER, PAIRS, BROADCAST_QUERIES = 16_384, 1_000_000, 50_000
+TABLES, WANTED, SEED = 12, 0.95, 4
+#: Vectors that fit the widths and the distance; queries of a block (some 8 KB of visits each); vectors compared at a time.
+SAMPLE, BLOCK, BATCH = 4096, 1024, 2048
 #: Cells to either side of a query's own that probes may reach, probes of a table at most (a query that hits this limit
 #: short of its share is searched exactly), and their mean at most.
-REACH, PROBES, USUAL = 3, 256, 48
+REACH, PROBES, USUAL = 3, 256, 64
 
 
 @dataclass
@@ -129,8 +128,9 @@ def fit(vectors: DataFrame, n: int, k: int, seed: int = SEED) -> Index | None:
         return None
     x = _matrix(r[0] for r in rows)
     some = distances(x[:64], x)
-    # In a sample the k-th neighbour is farther than among all rows, so probes reach rather too far.
-    distance = float(np.median(np.partition(some, min(k, len(x) - 1), axis=1)[:, min(k, len(x) - 1)])) or 1e-9
+    # The k-th neighbour among all rows is about as far as the one of that share in the sample, the first one at least.
+    at = min(len(x) - 1, max(1, round(k * len(x) / max(n, 1))))
+    distance = float(np.median(np.partition(some, at, axis=1)[:, at])) or 1e-9
     rng = np.random.default_rng(seed)
     share = 1 - (1 - WANTED) ** (1 / TABLES)
     # Finer buckets where there are more vectors, but no finer than what some dozen probes of a table can cover.
@@ -142,56 +142,113 @@ def fit(vectors: DataFrame, n: int, k: int, seed: int = SEED) -> Index | None:
     return index
 
 
-def _best(query_ids: np.ndarray, entries: np.ndarray, far: np.ndarray, ids: list[np.ndarray], k: int) -> pd.DataFrame:
-    """query_id, vec_id and score of each query's k nearest ids but its own, of pairs (query, entry, distance)."""
-    sizes = np.array([len(x) for x in ids])
-    order = np.lexsort((far, query_ids))
-    query_ids, entries, far = query_ids[order], entries[order], far[order]
-    new = np.concatenate([[True], query_ids[1:] != query_ids[:-1]]) if len(order) else np.zeros(0, bool)
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int64)
-    # An entry has an id at least, and one id is left out at most; entries as far as the last of these may tie.
-    last = np.minimum(first + k, np.append(np.flatnonzero(new)[1:], len(order))[np.cumsum(new) - 1] - 1) if len(order) else first
-    keep = far <= far[last]
-    query_ids, entries, far = query_ids[keep], entries[keep], far[keep]
-    n = sizes[entries]
-    starts, flat = np.cumsum(sizes) - sizes, np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    own = flat[np.repeat(starts[entries] - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int64)
-    rows = pd.DataFrame({"query_id": np.repeat(query_ids, n), "vec_id": own, "score": np.repeat(far, n)})
-    rows = rows[rows["query_id"] != rows["vec_id"]].sort_values(["query_id", "score", "vec_id"])
-    return rows[rows.groupby("query_id").cumcount() < k]
-
-
-def search(query_ids: np.ndarray, x: np.ndarray, y: np.ndarray, ids: pd.Series, k: int) -> pd.DataFrame:
-    """query_id, vec_id and score of each query's k nearest among all entries y."""
-    lists = [np.asarray(v, np.int64) for v in ids]
-    out = []
-    for q, v in zip(query_ids.tolist(), x):
-        gap = y - v
+FOUND = "query_id long, vec_id long, score double"
+
+
+@dataclass
+class Visits:
+    """A block of queries and, of each table, the buckets they visit, sorted, with the queries that do; none: all."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    tables: list[tuple[np.ndarray, np.ndarray]] | None
+
+    def candidates(self, codes: np.ndarray) -> np.ndarray:
+        """rows of codes x queries: whether a table has the row's bucket among the query's visits."""
+        found = np.zeros((len(codes), len(self.ids)), bool)
+        for t, (buckets, queries) in enumerate(self.tables):
+            low, high = np.searchsorted(buckets, codes[:, t]), np.searchsorted(buckets, codes[:, t], "right")
+            n = high - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found[np.repeat(np.arange(len(codes)), n), queries[at]] = True
+        return found
+
+
+class Best:
+    """Each query's k nearest ids so far."""
+
+    def __init__(self, visits: Visits, k: int):
+        self.visits, self.k, self.rows = visits, k, []
+        self.limit = np.full(len(visits.ids), np.inf)  # no id farther than this is among the k
+
+    def add(self, y: np.ndarray, ids: list[np.ndarray], codes: np.ndarray | None) -> None:
+        x, k = self.visits.x, self.k
+        mask = self.visits.candidates(codes) if codes is not None and self.visits.tables is not None else np.ones((len(y), len(x)), bool)
+        # By inner products first, with more room than their rounding needs; what may be among the k is measured exactly.
+        scale = (y * y).sum(1)[:, None] + (x * x).sum(1)[None]
+        rough = np.where(mask, np.maximum(scale - 2 * (y @ x.T), 0) - 1e-9 * scale, np.inf)
+        few = min(k, len(y) - 1)  # the own vector may be one of them
+        bound = np.minimum(np.partition(rough, few, axis=0)[few] + 3e-9 * scale.max(0), self.limit**2)
+        row, query = np.nonzero((rough <= bound) & mask)
+        if not len(row):
+            return
+        gap = y[row] - x[query]
         far = np.sqrt(np.einsum("nd,nd->n", gap, gap))
-        near = np.flatnonzero(far <= np.partition(far, k)[k]) if len(far) > k + 1 else np.arange(len(far))
-        out.append((np.full(len(near), q), near, far[near]))
-    return _best(*(np.concatenate(c) for c in zip(*out)), lists, k) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        n = np.array([len(ids[i]) for i in row])
+        own = pd.DataFrame({"query": np.repeat(query, n), "vec_id": np.concatenate([ids[i] for i in row]), "score": np.repeat(far, n)})
+        self.rows.append(own[own["vec_id"] != self.visits.ids[own["query"]]])
+        if sum(map(len, self.rows)) > 8 * k * len(x):
+            self.settle()
+
+    def settle(self) -> pd.DataFrame:
+        """Keep the k nearest; of equal distances the smaller ids."""
+        rows = pd.concat(self.rows) if self.rows else pd.DataFrame({"query": [], "vec_id": [], "score": []})
+        rows = rows.drop_duplicates(["query", "vec_id", "score"]).sort_values(["query", "score", "vec_id"])
+        rows = rows[rows.groupby("query").cumcount() < self.k]
+        last = rows.groupby("query")["score"].agg(["size", "max"])
+        full = last[last["size"] >= self.k]
+        self.limit[full.index.to_numpy(int)] = full["max"] * (1 + 1e-9) + 1e-12
+        self.rows = [rows]
+        return rows
+
+
+def scanned(vectors: DataFrame, visits: Visits, k: int) -> DataFrame:
+    """FOUND rows: each task's k nearest of each query among what it visits of vectors (vector, ids, codes)."""
+    shared = vectors.sparkSession.sparkContext.broadcast(visits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held, size = Best(shared.value, k), [], 0
+
+        def compare() -> None:
+            rows = pa.Table.from_batches(held)
+            codes = np.array(rows.column("codes").to_pylist(), np.int64).reshape(-1, TABLES)
+            best.add(_matrix(rows.column("vector").to_pylist()), [np.array(i, np.int64) for i in rows.column("ids").to_pylist()], codes)
 
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= BATCH:
+                compare()
+                held, size = [], 0
+        if held:
+            compare()
+        rows = best.settle()
+        ids = shared.value.ids[rows["query"].to_numpy(int)] if len(rows) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows["vec_id"].to_numpy(np.int64)), pa.array(rows["score"].to_numpy(float))], ["query_id", "vec_id", "score"])
 
-FOUND = "query_id long, vec_id long, score double"
+    return vectors.select("vector", "ids", "codes").mapInArrow(run, FOUND)
 
 
-def exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Each query's k nearest by brute force: blocks of queries against all vectors, block after block."""
+def in_blocks(queries: DataFrame, vectors: DataFrame, k: int, probes: DataFrame | None = None) -> DataFrame:
+    """The k nearest found to each query (q, query_id, vector), block after block, each one pass over vectors.
+
+    probes (q, t, code) has the visits; without it every vector is compared.
+    """
     n = queries.count()
-    found = queries.sparkSession.createDataFrame([], FOUND)
+    found = queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for block in range(ceil(n / BLOCK)):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(ceil(n / BLOCK))) == block).toPandas()
+        own = queries.where(F.pmod(F.xxhash64("q"), F.lit(ceil(n / BLOCK))) == block).orderBy("q").toPandas()  # some BLOCK rows
         if not len(own):
             continue
-        ids, x = own["query_id"].to_numpy(), _matrix(own["vector"])
-
-        def one_block(batches: Iterable[pd.DataFrame], ids: np.ndarray = ids, x: np.ndarray = x) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield search(ids, x, _matrix(batch["vector"]), batch["ids"], k)
-
-        found = found.unionByName(vectors.mapInPandas(one_block, FOUND))
+        tables = None
+        if probes is not None:
+            asked = probes.where(F.pmod(F.xxhash64("q"), F.lit(ceil(n / BLOCK))) == block).select("q", "t", "code").toPandas()
+            asked["at"] = np.searchsorted(own["q"].to_numpy(), asked["q"].to_numpy())
+            asked = asked.sort_values("code", kind="stable")
+            tables = [(part["code"].to_numpy(), part["at"].to_numpy()) for part in (asked[asked["t"] == t] for t in range(TABLES))]
+        visits = Visits(own["query_id"].to_numpy(), _matrix(own["vector"]), tables)
+        found = found.unionByName(written(ranked(scanned(vectors, visits, k), k), "ann-block"))
     return found
 
 
@@ -215,18 +272,17 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("embedding") == length[0])
-    vectors = written(distinct_vectors(rows, k).withColumn("v", F.monotonically_increasing_id()), "ann-vectors")
-    n = vectors.count()
-    index = fit(vectors, n, k)
+    distinct = written(distinct_vectors(rows, k), "ann-vectors")
+    n = distinct.count()
+    index = fit(distinct, n, k)
     share = 1 - (1 - WANTED) ** (1 / TABLES)
 
     def in_tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 codes = index.codes(np.floor(index.places(_matrix(batch.column("vector").to_pylist()))))
-                t = np.tile(np.arange(TABLES, dtype=np.int32), len(codes))
-                v = np.repeat(batch.column("v").to_numpy(), TABLES)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(codes.ravel()), pa.array(v)], ["t", "code", "v"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, TABLES, dtype=np.int32)), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "codes"])
 
     def probing(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -239,7 +295,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                     out += [(q, t, code, enough) for code in set(index.codes(np.array(cells)).tolist())]
             yield pd.DataFrame(out, columns=["q", "t", "code", "enough"])
 
-    entries = vectors.select("vector", "v").mapInArrow(in_tables, "t int, code long, v long")
+    vectors = written(distinct.mapInArrow(in_tables, "vector binary, ids array<long>, codes array<long>"), "ann-tables")
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,55 +305,14 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     queries = written(queries.mapInArrow(packed, "query_id long, vector binary").withColumn("q", F.monotonically_increasing_id()), "ann-queries")
     probes = written(queries.select("q", "vector").mapInPandas(probing, "q long, t int, code long, enough boolean"), "ann-probes")
-    # Large buckets are cut by a hash of the number; their visits go to every cut.
-    entries = written(entries, "ann-tables")
-    sizes = entries.groupBy("t", "code").agg(F.count("*").alias("n"))
-    cuts = written(sizes.where(F.col("n") > SPLIT).select("t", "code", F.ceil(F.col("n") / SPLIT).cast("int").alias("cuts")), "ann-cuts")
-    entries = entries.join(cuts, ["t", "code"], "left").withColumn("cut", F.pmod(F.xxhash64("v"), F.coalesce("cuts", F.lit(1))).cast("int"))
-    visits = probes.join(cuts, ["t", "code"], "left").withColumn("cut", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)))
-    pairs = visits.select("t", "code", "cut", "q").join(entries.select("t", "code", "cut", "v"), ["t", "code", "cut"])
-    pairs = written(pairs.groupBy("q", "v").agg(F.lit(0).alias("none")).select("q", "v"), "ann-pairs")
-    n_queries = queries.count()
-    asked = None
-    if n_queries <= BROADCAST_QUERIES:
-        own = queries.toPandas()
-        order = np.argsort(own["q"].to_numpy())
-        asked = spark.sparkContext.broadcast((own["q"].to_numpy()[order], own["query_id"].to_numpy()[order], _matrix(own["vector"])[order]))
-        pairs = pairs.withColumn("query_id", F.lit(0).cast("long")).withColumn("vector", F.lit(b""))
-    else:
-        pairs = pairs.join(queries, "q")
-
-    def rerank(own: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(group):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        v = group["v"].to_numpy()
-        order = np.argsort(v)
-        entry = order[np.searchsorted(v[order], own["v"].to_numpy())]
-        y = _matrix(group["vector"])
-        if asked is None:
-            query_ids, x, row = own["query_id"].to_numpy(), _matrix(own["vector"]), np.arange(len(own))
-        else:
-            q, query_ids, x = asked.value
-            row = np.searchsorted(q, own["q"].to_numpy())
-            query_ids = query_ids[row]
-        far = np.empty(len(own))
-        for a in range(0, len(own), 16_384):
-            gap = y[entry[a : a + 16_384]] - x[row[a : a + 16_384]]
-            far[a : a + 16_384] = np.sqrt(np.einsum("nd,nd->n", gap, gap))
-        return _best(query_ids, entry, far, [np.asarray(i, np.int64) for i in group["ids"]], k)
-
-    parts = max(1, ceil(n / TOGETHER), ceil(pairs.count() / PAIRS))
-    part = F.pmod(F.xxhash64("v"), F.lit(parts)).alias("part")
-    pairs, entries = pairs.select(part, "q", "v", "query_id", "vector"), vectors.select(part, "v", "vector", "ids")
-    found = pairs.groupBy("part").cogroup(entries.groupBy("part")).applyInPandas(rerank, FOUND)
-    found = written(ranked(found, k), "ann-found")
+    found = written(in_blocks(queries, vectors, k, probes), "ann-found")
     # n counts distinct vectors; with few of them, equal ones may still make up k.
     short = queries.select("query_id").distinct().join(found.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti")
     short = short.union(probes.where("not enough").join(queries, "q").select("query_id")).distinct()
     left = written(queries.join(short, "query_id", "left_semi"), "ann-left")
     if left.isEmpty():
-        return found
-    return found.join(left.select("query_id"), "query_id", "left_anti").unionByName(ranked(exact(left, vectors, k), k))
+        return ranked(found, k)
+    return ranked(found.join(left.select("query_id").distinct(), "query_id", "left_anti"), k).unionByName(ranked(in_blocks(left, vectors, k), k))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,14 +101,18 @@ def test_neighbours_recall(spark):
     assert hits / (10 * len(want)) >= 0.9
 
 
-def test_exact_search(spark):
+def test_exact_search(spark, monkeypatch):
+    """Without probes every vector is compared: blocks of queries, batches of vectors."""
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
-    vectors = spark.createDataFrame([(np.array(v, "<f8").tobytes(), [i]) for i, v in rows], "vector binary, ids array<long>")
-    queries = vectors.select(F.col("ids")[0].alias("query_id"), "vector").where("query_id % 100 = 0")
-    found = neighbours.ranked(neighbours.exact(queries, vectors, 10), 10).toPandas()
-    for q, near in brute_nearest(rows, 10).items():
-        own = found[found["query_id"] == q].sort_values("rank")
-        assert own["vec_id"].tolist() == [i for _, i in near]
+    vectors = spark.createDataFrame([(np.array(v, "<f8").tobytes(), [i], [0] * 12) for i, v in rows], "vector binary, ids array<long>, codes array<long>")
+    queries = vectors.select(F.col("ids")[0].alias("q"), F.col("ids")[0].alias("query_id"), "vector").where("query_id % 100 = 0")
+    for block, batch in ((1024, 2048), (2, 7)):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        monkeypatch.setattr(neighbours, "BATCH", batch)
+        found = neighbours.in_blocks(queries, vectors, 10).toPandas()
+        for q, near in brute_nearest(rows, 10).items():
+            own = found[found["query_id"] == q].sort_values("rank")
+            assert own["vec_id"].tolist() == [i for _, i in near] and own["score"].tolist() == pytest.approx([d for d, _ in near], abs=1e-12)
 
 
 @pytest.mark.parametrize(("sizes", "weights", "out"), [([10, 10], [1, 1], [10, 10]), ([10, 90], [1, 1], [30, 70]), ([1, 1, 98], [1, 1, 1], [3, 3, 94]), ([0, 10], [1, 1], [0, 10]), ([], [], [])])
