@@ -253,6 +253,16 @@ def true_word(text: Column) -> Column:
     return F.when(low.isin("true", "yes", "ok", "1"), True).when(low.isin("false", "no", "0"), False)
 
 
+def converted(text: Column, kind: str, default: object) -> Column:
+    """A trimmed text as a value of kind; what isn't one, null or blank, is the default."""
+    return F.coalesce(F.nullif(F.trim(text.cast("string")), F.lit("")).try_cast(kind), F.lit(default).cast(kind))
+
+
+def converted_list(text: Column, kind: str, mark: str = ",") -> Column:
+    """The parts of a separated text as values of kind; parts that aren't one are null."""
+    return F.transform(split_list(text, mark), lambda x: x.try_cast(kind))
+
+
 def sequence_id(prefix: Column, n: Column) -> Column:
     """`source-000001`."""
     return F.concat(prefix, F.lit("-"), F.lpad(n.cast("string"), 6, "0"))

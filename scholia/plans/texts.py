@@ -90,12 +90,16 @@ def str_names(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.camel_to_snake(name).alias("snake"), T.padded_left(F.col("p_partkey").cast("string"), 4, "0").alias("padded"), T.section_numbers(title).alias("section"))
 
 
-@query("""SELECT p_partkey, p_name AS back, length(p_name) AS chars, CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 3 = 1 THEN false END AS flag FROM part""")
+@query("""SELECT p_partkey, p_name AS back, length(p_name) AS chars, CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 3 = 1 THEN false END AS flag,
+CASE WHEN p_size % 4 = 0 THEN p_size ELSE -1 END AS number, CASE WHEN p_size % 4 = 1 THEN [p_size, NULL, 7] ELSE [p_size] END AS numbers FROM part""")
 def str_widths(t: Tables) -> DataFrame:
-    """To full width and back; words to booleans."""
+    """To full width and back; words to booleans and texts to numbers."""
+    n = F.col("p_size")
+    number = F.when(n % 4 == 0, F.concat(F.lit(" "), n)).when(n % 4 == 1, F.concat(n, F.lit("x"))).when(n % 4 == 2, " ")
+    numbers = F.when(n % 4 == 1, F.concat(n, F.lit(", x, ,7"))).otherwise(n.cast("string"))
     wide = T.full_width(F.col("p_name"))
     word = F.when(F.col("p_size") % 3 == 0, " Yes").when(F.col("p_size") % 3 == 1, "NO").otherwise("maybe")
-    return t.part.select("p_partkey", T.half_width(wide).alias("back"), F.length(wide).cast("long").alias("chars"), T.true_word(word).alias("flag"))
+    return t.part.select("p_partkey", T.half_width(wide).alias("back"), F.length(wide).cast("long").alias("chars"), T.true_word(word).alias("flag"), T.converted(number, "int", -1).alias("number"), T.converted_list(numbers, "int").alias("numbers"))
 
 
 @query("""WITH e AS (SELECT o_orderkey, o_orderdate, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d %H:%M') WHEN 2 THEN strftime(o_orderdate, '%Y.%m') ELSE 'n/a' END AS s FROM orders)
