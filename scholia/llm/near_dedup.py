@@ -32,7 +32,7 @@ from .wordcache import Bounded
 WORDS, SIMILAR = 5, (75, 100)
 #: Trees of each round; depth of a region; values of a signature. A pair at similarity 0.75 shares no region of any
 #: tree with probability (1 - 0.75 ** 3) ** 24 = 2e-6.
-ROUNDS, DEPTH = (3, 21), 3
+ROUNDS, DEPTH = (3, 9, 12), 3
 VALUES = sum(ROUNDS) * DEPTH
 #: Classes, and shingles of all of them together, of a region that one task takes.
 MOST, MOST_SHINGLES = 4000, 6_000_000
