@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.graph_index import build_graph, graph_nearest
 from .registry import Tables, query
 
 
@@ -109,3 +110,10 @@ def txt_sections(t: Tables) -> DataFrame:
     body = F.transform(lines, lambda x, i: F.when(i % 5 == 3, F.concat(F.lit("<p><bold>"), safe(F.left(x, F.lit(40))), F.lit("</bold></p>"))).when(i % 5 == 4, F.concat(F.lit("<list><item>"), F.regexp_replace(safe(x), r"\. ", ".</item><item>"), F.lit("</item></list>"))).otherwise(F.concat(F.lit("<p>"), safe(x), F.lit("</p>"))))
     xml = F.concat(F.lit("<article><title>T "), F.col("doc_id"), F.lit("</title><sec><title>S</title>"), F.array_join(body, ""), F.lit("</sec></article>"))
     return section_chunks(t.documents.select(F.col("doc_id").cast("string").alias("name"), xml.alias("xml")))
+
+
+@query()
+def ret_graph(t: Tables) -> DataFrame:
+    """The 32 vectors of largest inner product with every fiftieth one, as a graph index finds them, and how many it measured."""
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return graph_nearest(build_graph(t.embeddings, "vec_id", "embedding"), queries, "query_id", "embedding", "vec_id", 32)
