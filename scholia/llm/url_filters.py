@@ -67,9 +67,10 @@ def templates(urls: DataFrame, host: str, path: str, name: str) -> DataFrame:
     for level in range(min(DEPTH, deepest)):
         own = F.get(segs, F.lit(level))
         inside = F.size(segs) > level
-        kids = rows.where(inside).groupBy(host, at, own.alias(seg)).agg(F.count("*").alias(n))
-        nodes = kids.groupBy(host, at).agg(F.count("*").alias(fan), F.sum(n).alias(total))
-        literal = kids.join(nodes, [host, at]).where((F.col(seg) != WILD) & ((F.col(fan) <= FANOUT) | (F.col(n) * FANOUT >= F.col(total))))
+        # Tables of their own, so that a node with very many children is split between tasks in the join.
+        kids = written(rows.where(inside).groupBy(host, at, own.alias(seg)).agg(F.count("*").alias(n)), "url-children")
+        nodes = written(kids.groupBy(host, at).agg(F.count("*").alias(fan), F.sum(n).alias(total)), "url-nodes")
+        literal = kids.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, [host, at]).where((F.col(seg) != WILD) & ((F.col(fan) <= FANOUT) | (F.col(n) * FANOUT >= F.col(total))))
         literal = written(literal.select(F.col(host).alias(host + "_of"), F.col(at).alias(at + "_of"), seg), "url-literals")
         few = literal.count() <= BROADCAST_NODES
         same = inside & (F.col(host) == F.col(host + "_of")) & (F.col(at) == F.col(at + "_of")) & (own == F.col(seg))
