@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import detect_lang, mapped, norm_lang, options_block
+from .text import detect_lang, mapped, norm_lang, options_block, quoted
 
 # Keywords of curriculum nodes, the first node with a hit wins; the node without a hit, and of other fields.
 NODE_RULES = [
@@ -32,7 +32,14 @@ MID_WORDS = ["手术", "术前", "计算", "鉴别", "分期", "剂量", "儿童
 NORMAL_LABELS = ["正常", "无糖尿病视网膜病变", "normal", "no dr"]
 # Tiers of difficulty, and those of hints.
 TIERS = ["routine_clarification", "misconception_triggering", "difficult_diagnostic"]
-HINT_TIERS = {"low": "routine_clarification", "mid": "misconception_triggering", "high": "difficult_diagnostic"}
+HINT_TIERS = {"low": "routine_clarification", "mid": "misconception_triggering", "high": "difficult_diagnostic", "低": "routine_clarification", "中": "misconception_triggering", "高": "difficult_diagnostic"}
+# learners' profiles by language and generality, then tier.
+PROFILES = {
+    ("zh", False): {"routine_clarification": "眼科规培一年级，基础概念尚不牢固，常混淆相近名词，目标是通过日常答疑补齐概念边界。", "misconception_triggering": "眼科规培一年级，能复述结论但概念边界模糊，容易把单一征象当成充分条件，目标是建立规范判读顺序。", "difficult_diagnostic": "眼科规培二年级，有一定阅片量，正在建立系统的鉴别诊断与急症处置思路，目标是独立完成病例分析。"},
+    ("en", False): {"routine_clarification": "First-year ophthalmology resident; basic concepts still shaky, often confuses neighboring terms, aiming to firm up concept boundaries through daily Q&A.", "misconception_triggering": "First-year ophthalmology resident; can recite conclusions but the boundaries are blurry, tends to treat a single sign as sufficient, aiming to build a standard reading order.", "difficult_diagnostic": "Second-year ophthalmology resident with moderate reading volume, building systematic differential-diagnosis and emergency-management thinking, aiming to work up cases independently."},
+    ("zh", True): {"routine_clarification": "临床规培一年级，正在内科/外科等科室轮转，基础概念尚不牢固，常混淆相近名词，目标是通过日常答疑补齐概念边界。", "misconception_triggering": "临床规培一年级，能复述结论但概念边界模糊，容易把单一征象或单一检查当成充分条件，目标是建立规范的鉴别思路。", "difficult_diagnostic": "临床规培二年级，有一定病例量，正在建立系统的鉴别诊断与急症处置思路，目标是独立完成病例分析。"},
+    ("en", True): {"routine_clarification": "First-year clinical resident on rotation; basic concepts still shaky, often confuses neighboring terms, aiming to firm up concept boundaries through daily Q&A.", "misconception_triggering": "First-year clinical resident; can recite conclusions but the boundaries are blurry, tends to treat a single sign or single test as sufficient, aiming to build a standard diagnostic approach.", "difficult_diagnostic": "Second-year clinical resident with moderate case volume, building systematic differential-diagnosis and emergency-management thinking, aiming to work up cases independently."},
+}
 # How a student asks, by language, for an open question and for one with options.
 ASKED = {
     "en": ("Dr., while reviewing my %s I got stuck on this: %s. I keep second-guessing myself when I try to judge it on my own — could you walk me through it step by step?", "reading of this image", "notes", "this question"),
@@ -159,7 +166,7 @@ def asked(stem: Column, label: Column, options: Column, lang: Column, image: Col
     return F.concat(F.when(image, "<image>").otherwise(""), by_lang(lang, make))
 
 
-def by_profile(difficulty: Column, lang: Column, general: Column, tables: Mapping[tuple[str, bool], Mapping[str, str]]) -> Column:
+def by_profile(difficulty: Column, lang: Column, general: Column, tables: Mapping[tuple[str, bool], Mapping[str, str]] = PROFILES) -> Column:
     """The learner's profile of a difficulty (the middle one's for others) from tables by language and generality."""
 
     def of(code: str, wide: bool) -> Column:
@@ -245,7 +252,7 @@ def with_options(question: Column, options: Column) -> Column:
     letters = F.array_distinct(F.transform(own, lambda e: F.upper(F.substring(e["key"], 1, 1))))
     there = F.transform(F.regexp_extract_all(text, F.lit(rf"(?m)^\s*([A-Ja-j])\s*{MARKS}\s*\S"), 1), lambda x: F.upper(x))
     block = F.array_join(F.transform(own, lambda e: F.concat(e["key"], F.lit(". "), F.trim(e["value"]))), "\n")
-    pattern = lambda e: F.concat(F.lit("(?s)"), F.upper(F.substring(e["key"], 1, 1)), F.lit(rf"\s*{MARKS}\s*\Q"), F.trim(e["value"]), F.lit(r"\E"))
+    pattern = lambda e: F.concat(F.lit("(?s)"), F.upper(F.substring(e["key"], 1, 1)), F.lit(rf"\s*{MARKS}\s*"), quoted(F.trim(e["value"])))
     # Where an option starts, from 1; patterns differ by row.
     places = F.filter(F.transform(own, lambda e: F.regexp_instr(text, pattern(e))), lambda i: i > 0)
     bare = F.when(F.size(there) > 0, F.rtrim(F.regexp_replace(text, rf"(?m)^\s*([A-Ja-j])\s*{MARKS}\s*\S", ""))).otherwise(text)

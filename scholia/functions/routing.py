@@ -28,6 +28,15 @@ STYLES = {"简约": ["简约", "minimal", "minimalist", "minimalis", "न्य
 COLOURS = {"蓝色": ["蓝色", "blue", "biru", "नीला"], "红色": ["红色", "red", "merah", "लाल"], "绿色": ["绿色", "green", "hijau", "हरा"], "橙色": ["橙色", "orange", "jingga", "नारंगी"], "紫色": ["紫色", "purple", "ungu", "बैंगनी"]}
 
 
+# Names of styles and colours by locale.
+STYLE_LABELS = {
+    "简约": {"zhcn": "简约", "enus": "Minimal", "malay": "Minimalis", "hindi": "न्यूनतम"}, "商务": {"zhcn": "商务", "enus": "Business", "malay": "Perniagaan", "hindi": "व्यावसायिक"},
+    "清新": {"zhcn": "清新", "enus": "Fresh", "malay": "Segar", "hindi": "ताज़ा"}, "活泼": {"zhcn": "活泼", "enus": "Vibrant", "malay": "Ceria", "hindi": "जीवंत"},
+    "蓝色": {"zhcn": "蓝色", "enus": "Blue", "malay": "Biru", "hindi": "नीला"}, "红色": {"zhcn": "红色", "enus": "Red", "malay": "Merah", "hindi": "लाल"}, "绿色": {"zhcn": "绿色", "enus": "Green", "malay": "Hijau", "hindi": "हरा"},
+    "橙色": {"zhcn": "橙色", "enus": "Orange", "malay": "Jingga", "hindi": "नारंगी"}, "紫色": {"zhcn": "紫色", "enus": "Purple", "malay": "Ungu", "hindi": "बैंगनी"},
+}
+
+
 def _any(text: Column, words: Sequence[str]) -> Column:
     found = F.lit(False)
     for word in dict.fromkeys(words):
@@ -89,14 +98,21 @@ def locale(code: Column) -> Column:
 
 
 def message(code: Column, key: Column, messages: Mapping[str, Mapping[str, str]], params: Mapping[str, Column], default: str = "zhcn") -> Column:
-    """The message of a key in a locale, else in the default one, else the key; `{name}` stands for a parameter."""
+    """The message of a key in a locale, else in the default one, else the key; `{name}` stands for a parameter.
+
+    Parameters style and color are put into the locale first, where they are names of STYLE_LABELS.
+    """
     text = F.coalesce(F.create_map(*[c for k, v in messages[default].items() for c in (F.lit(k), F.lit(v))])[key], key)
     own = locale(code)
     for name, table in messages.items():
         table = F.create_map(*[c for k, v in table.items() for c in (F.lit(k), F.lit(v))])
         text = F.when((own == name) & table[key].isNotNull(), table[key]).otherwise(text)
     for name, value in params.items():
-        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
+        value = value.cast("string")
+        if name in ("style", "color"):
+            labels = F.create_map(*[F.lit(x) for k, of in STYLE_LABELS.items() for c, label in of.items() for x in (f"{k} {c}", label)])
+            value = F.coalesce(labels[F.concat(value, F.lit(" "), own)], value)
+        text = F.replace(text, F.lit("{" + name + "}"), value)
     return text
 
 

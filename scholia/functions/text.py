@@ -190,9 +190,14 @@ def contains_any(parts: Column, words: Sequence[str], fold: bool = False) -> Col
     return F.arrays_overlap(parts, F.array(*[F.lit(w) for w in words]))
 
 
+def quoted(text: Column) -> Column:
+    """A pattern of the text itself, whatever marks it holds."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def split_list(text: Column, mark: str = ",", trim: bool = True, drop_blank: bool = True) -> Column:
     """The parts of a separated text, trimmed and without blank ones if asked; null and empty texts give no parts."""
-    parts = F.split(F.coalesce(text, F.lit("")), f"\\Q{mark}\\E")
+    parts = F.split(F.coalesce(text, F.lit("")), quoted(F.lit(mark)))
     if drop_blank:
         parts = F.filter(parts, lambda x: F.trim(x) != "")
     return F.transform(parts, lambda x: F.trim(x)) if trim else parts

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mapped, trajectory_key
 from ..shared import written
+from .relational import fresh
 
 #: A text of so many characters may be found by its end.
 SUFFIX = 32
@@ -54,12 +55,13 @@ def exported(rows: DataFrame, order: str, size: int, label: str, totals: Sequenc
 
     Places come from counts of ranges of order. Values that aren't numbers count as nothing. No rows: a total of zeros.
     """
-    ranged = written(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sheet-rows")
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    placed = ranged.withColumn("place", place).join(F.broadcast(counts.select("part", base.alias("base"))), "part")  # one row a task
-    out = placed.select(F.floor((F.col("base") + F.col("place")) / size).alias("sheet"), label, *totals)
+    part, at, n = (fresh(rows, c) for c in ("range_part", "range_place", "range_rows"))
+    ranged = written(rows.repartitionByRange(order).withColumn(part, F.spark_partition_id()), "sheet-rows")
+    counts = ranged.groupBy(part).agg(F.count("*").alias(n))
+    base = F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
+    placed = ranged.withColumn(at, place).join(F.broadcast(counts.select(part, base.alias(n))), part)  # one row a task
+    out = placed.select(F.floor((F.col(n) + F.col(at)) / size).alias("sheet"), label, *totals)
     number = lambda c: F.coalesce(F.round(F.sum(F.col(c).try_cast("double")), 2), F.lit(0.0)).alias(c)
     total = ranged.agg(F.greatest(F.ceil(F.count("*") / size) - 1, F.lit(0)).alias("sheet"), F.lit("total").alias(label), *[number(c) for c in totals])
     return out.unionByName(total)

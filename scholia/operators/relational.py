@@ -109,12 +109,14 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: st
     ranged = written(df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()), "ranges")
     counts = ranged.groupBy(*group, part).agg(F.count("*").alias(n))
     before = F.coalesce(F.sum(n).over(Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn(base, before).drop(n).withColumnsRenamed({g: g + "_of" for g in group}).withColumnRenamed(part, part + "_of")
-    same = ranged[part] == counts[part + "_of"]
+    sides = {c: fresh(ranged, f"range_{i}_of") for i, c in enumerate((*group, part))}
+    counts = counts.withColumn(base, before).drop(n).withColumnsRenamed(sides)
+    same = F.col(part) == F.col(sides[part])
     for g in group:
-        same = same & ranged[g].eqNullSafe(counts[g + "_of"])
+        same = same & F.col(g).eqNullSafe(F.col(sides[g]))
+    at = fresh(ranged, "range_place")
     place = F.row_number().over(Window.partitionBy(*group, part).orderBy(*order))
-    return ranged.withColumn(name, place).join(counts, same).select(*df.columns, (F.col(base) + F.col(name)).alias(name))
+    return ranged.withColumn(at, place).join(counts, same).select(*df.columns, (F.col(base) + F.col(at)).alias(name))
 
 
 def keep_first(df: DataFrame, key: Sequence[Column], order: Sequence[Column]) -> DataFrame:
@@ -136,19 +138,23 @@ def last_wins_numbered(df: DataFrame, key: str, pos: str) -> DataFrame:
     """last_wins of rows in order of pos (a number from 0 on without gaps), blank keys first numbered `q-000001`.
 
     A blank key's number is one more than the keys that are there before it; where that is another row's own key, the
-    later one wins. Numbers are given along the order, in one task: it is the size of a list of questions, not a corpus.
+    later one wins. First rows of keys are found by aggregates; numbers are running sums within ranges of pos, after
+    the sums of the ranges before, so no task holds more than a range.
     """
     given = F.trim(F.coalesce(F.col(key), F.lit("")))
-    order = Window.orderBy(pos)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    own = fresh(df, "given_key")
+    own, first, count, part, base, side = (fresh(df, c) for c in ("given_key", "first_of_key", "new_key", "range_part", "range_base", "range_of"))
     rows = df.withColumn(own, F.when(given != "", given))
+    firsts = rows.where(F.col(own).isNotNull()).groupBy(F.col(own).alias(side)).agg(F.min(pos).alias(first))
     # A row adds a key if it is blank or the first of its key.
-    new = F.when(F.col(own).isNull() | (F.row_number().over(Window.partitionBy(own).orderBy(pos)) == 1), 1).otherwise(0)
-    count = fresh(df, "new_key")
-    rows = rows.withColumn(count, new)
-    number = F.coalesce(F.sum(count).over(before), F.lit(0)) + 1
-    rows = rows.withColumn(key, F.coalesce(own, F.concat(F.lit("q-"), F.lpad(number.cast("string"), 6, "0")))).drop(own, count)
+    rows = rows.join(firsts, F.col(own) == F.col(side), "left").withColumn(count, (F.col(own).isNull() | (F.col(pos) == F.col(first))).cast("int")).drop(side, first)
+    rows = written(rows.repartitionByRange(pos).withColumn(part, F.spark_partition_id()), "numbered-keys")
+    sums = rows.groupBy(part).agg(F.sum(count).alias(base))
+    earlier = F.coalesce(F.sum(base).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col(part).alias(side), earlier.alias(base))  # one row a task
+    inside = F.coalesce(F.sum(count).over(Window.partitionBy(part).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn(first, inside).join(F.broadcast(sums), F.col(part) == F.col(side))
+    number = F.col(base) + F.col(first) + 1
+    rows = rows.withColumn(key, F.coalesce(own, F.concat(F.lit("q-"), F.lpad(number.cast("string"), 6, "0")))).select(*df.columns)
     return last_wins(rows, key, pos)
 
 
@@ -233,6 +239,8 @@ def replayed(rows: DataFrame, key: str, weight: str, offline: str, batch: int, b
     old = batch if set(kinds) == {True} else 0 if set(kinds) == {False} else min(batch - 1, max(1, round(batch * share)))
     units = [(i, i < old, (int(hashlib.md5(f"{seed}-{i}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32) for i in range(batch)]
     draws = rows.sparkSession.createDataFrame([(i, o, u * kinds[o][0]) for i, o, u in units if o in kinds], "place int, o boolean, x double")
+    rows = rows.select(F.col(key).alias("own_key"), F.col(weight).alias("own_weight"), F.col(offline).alias("own_kind"))  # no column's name matters from here on
+    name, key, weight, offline = key, "own_key", "own_weight", "own_kind"
     # The running sum in order of key: within key ranges, after the sums of the ranges before.
     ranged = written(rows.select(key, weight, offline).repartitionByRange(key).withColumn("part", F.spark_partition_id()), "replay-rows")
     own = F.sum(weight).over(Window.partitionBy("part", offline).orderBy(key))
@@ -246,8 +254,8 @@ def replayed(rows: DataFrame, key: str, weight: str, offline: str, batch: int, b
     for kind, (s, _) in kinds.items():
         part = (old if kind else batch - old) / batch
         total = F.when(F.col(offline) == kind, F.lit(part) * F.col(weight) / s).otherwise(total)
-    raw = hits.select("place", key, F.pow(n * total, F.lit(-beta)).alias("raw"))
-    return raw.select("place", key, F.round(F.col("raw") / F.max("raw").over(Window.partitionBy()), 6).alias("weight"))  # batch rows
+    raw = hits.select("place", F.col(key).alias(name), F.pow(n * total, F.lit(-beta)).alias("raw"))
+    return raw.select("place", name, F.round(F.col("raw") / F.max("raw").over(Window.partitionBy()), 6).alias("weight"))  # batch rows
 
 
 def advantages(steps: DataFrame, totals: DataFrame, group: str, record: str, place: str, credit: str, anchor: str, suffix: str, total: str, mix: float, eps: float = 1e-6) -> DataFrame:

@@ -57,7 +57,7 @@ BOTH = "concat(stem, ' ', label)"
 HINT = f"CASE WHEN kind = 'image' THEN CASE WHEN {_words('label', Q.NORMAL_LABELS)} THEN 'mid' ELSE 'high' END WHEN {_words(BOTH, Q.HIGH_WORDS)} THEN 'high' WHEN p_size % 5 > 2 OR {_words(BOTH, Q.MID_WORDS)} THEN 'mid' ELSE 'low' END"
 
 
-@query(f"""{ROWS}, h AS (SELECT *, {HINT} AS hint FROM r) SELECT p_partkey, hint, CASE WHEN p_size % 7 = 0 THEN 'difficult_diagnostic' ELSE {_of('hint', Q.HINT_TIERS, '')} END AS tier,
+@query(f"""{ROWS}, h AS (SELECT *, {HINT} AS hint FROM r) SELECT p_partkey, hint, CASE WHEN p_size % 7 = 0 THEN 'difficult_diagnostic' ELSE CASE hint WHEN 'low' THEN 'routine_clarification' WHEN 'high' THEN 'difficult_diagnostic' ELSE 'misconception_triggering' END END AS tier,
 CASE WHEN p_size % 9 = 0 THEN 'zh' WHEN kind = 'text' THEN {_lang('stem')} WHEN lower(coalesce(source, '')) IN ('idrid', 'odir', 'palm') THEN 'en' ELSE {_lang('label')} END AS lang, p_size % 3 = 1 AS general FROM h""")
 def qst_difficulty(t: Tables) -> DataFrame:
     """Hint and tier of difficulty, a row's language, and whether its node is of another field."""

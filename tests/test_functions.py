@@ -7,9 +7,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scholia.functions import numbers as N
-from scholia.functions import questions, rowwise
+from scholia.functions import questions, routing, rowwise
 from scholia.functions import text as T
-from scholia.operators import activity, curriculum, dialogue, relational, retrieval, rewards, sections
+from scholia.operators import activity, curriculum, dialogue, lookups, relational, retrieval, rewards, sections
 
 
 def value(spark, column, **given):
@@ -284,6 +284,37 @@ def test_names_that_clash(spark):
     assert [r.place for r in relational.keep_first(rows, [F.col("key")], [F.col("place")]).collect()] == [1]
     assert relational.last_wins(rows, "key", "place").collect()[0].first_place == 6
     assert sorted(r.n for r in relational.numbered(rows, ["key"], ["place"], "n").collect()) == [1, 2]
+    odd = spark.createDataFrame([(1, 2, 2.0), (2, 2, 3.0)], "source int, source_of int, range_part double")
+    assert sorted(r.n for r in relational.numbered(odd, ["source"], ["range_part"], "n").collect()) == [1, 1]
+    assert [(r.part, r.place) for r in lookups.exported(spark.createDataFrame([(1, "2.0", "x"), (2, "3.0", "y")], "base int, part string, place string"), "base", 1, "place", ["part"]).orderBy("sheet", "part").collect()] == [(2.0, "x"), (3.0, "y"), (5.0, "total")]
+    drawn = lambda key: [r[1] for r in relational.replayed(spark.createDataFrame([(i, 1.0, i % 2 == 0) for i in range(40)], f"{key} int, part double, o boolean"), key, "part", "o", 8, 0.4, 0.5, 1).orderBy("place").collect()]
+    assert drawn("own") == drawn("x") == drawn("n") and all(0 <= i < 40 for i in drawn("own"))
+
+
+def test_blank_keys_are_numbered_over_ranges(spark):
+    given = [(i, None if i % 3 == 0 else f"k{i % 50}", i) for i in range(600)]
+    rows = relational.last_wins_numbered(spark.createDataFrame([(p, k, p, 1) for p, k, _ in given], "pos int, key string, v int, range_of int").repartition(7), "key", "pos")
+    plain = {}
+    for pos, key, v in given:
+        key = key or f"q-{len(plain) + 1:06d}"
+        plain[key] = (plain[key][0] if key in plain else pos, v)
+    assert {r.key: (r.pos, r.v) for r in rows.collect()} == plain
+
+
+def test_tiers_profiles_and_labels(spark):
+    for hint, tier in {"低": 0, "中": 1, " 高 ": 2, "low": 0, "?": 1, None: 1}.items():
+        assert value(spark, questions.difficulty_tier(F.lit(hint).cast("string"), F.lit("other"))) == questions.TIERS[tier]
+    assert value(spark, questions.by_profile(F.lit("?"), F.lit("EN "), F.lit(True))).startswith("First-year clinical resident; can recite")
+    assert value(spark, questions.by_profile(F.lit("difficult_diagnostic"), F.lit("zh"), F.lit(False))).startswith("眼科规培二年级")
+    messages = {"zhcn": {"p": "风格「{style}」、配色「{color}」{n}"}, "enus": {"p": 'style "{style}", color "{color}"{n}'}}
+    said = lambda code: value(spark, routing.message(F.lit(code), F.lit("p"), messages, {"style": F.lit("简约"), "color": F.lit("蓝色"), "n": F.lit("红色")}))
+    assert said("zhcn") == "风格「简约」、配色「蓝色」红色" and said("en-US") == 'style "Minimal", color "Blue"红色'
+
+
+def test_texts_with_pattern_marks(spark):
+    options = F.create_map(F.lit("A"), F.lit(r"x\Ey\Q("), F.lit("B"), F.lit(r"\E"))
+    assert value(spark, questions.with_options(F.lit("Q A. x\\Ey\\Q( B. \\E"), options)) == "Q\nA. x\\Ey\\Q(\nB. \\E"
+    assert value(spark, T.split_list(F.lit("a\\Eb"), "\\E")) == ["a", "b"]
 
 
 def test_questions(spark):
