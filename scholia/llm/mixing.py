@@ -3,9 +3,10 @@
 Each document of a source starts with the same expected number of copies, target over size of its source. The whole
 part is certain; the fractions are rounded in duels of two documents: a duel moves mass, counted in words, from one
 fraction to the other until one is 0 or 1, and the direction is random with the odds that leave both expectations as
-they were. The words of a source are kept exactly until one open fraction is left, so what it takes is within one
-document (as a rule a small one) of its target. Duels run in blocks of some thousand documents, the largest first, then
-among the blocks' open ends, and so on up a tree.
+they were. Large documents go first, each in one series of duels with all smaller ones of its block, whose direction is drawn
+once; so small ones are left for the end. The words of a source are kept exactly until one open fraction is left, so what
+it takes is within one document of its target: a small one, unless a document is larger than the rest of its source can
+make good. Duels run in blocks of some thousand documents, then among the blocks' open ends, and so on up a tree.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -58,14 +60,43 @@ def open_(f: float) -> bool:
     return EDGE < f < 1 - EDGE
 
 
+def _against_smaller(f: np.ndarray, w: np.ndarray, chances: np.ndarray) -> None:
+    """Round documents, largest first, each by a series of duels with all open smaller ones, whose direction is drawn once.
+
+    Up has the chance f. A smaller one gives (1 - f) of its stake in up, or gets f of it in down, so its expectation
+    stays; a stake is what neither breaks, and all are scaled to the words of the large one. One whose smaller ones
+    haven't stakes enough stays open.
+    """
+    for i in range(len(f) - 1):
+        own = f[i]
+        if not open_(own):
+            continue
+        g, v = f[i + 1 :], w[i + 1 :]
+        stakes = np.where((g > EDGE) & (g < 1 - EDGE), np.minimum(g * v / (1 - own), (1 - g) * v / own), 0.0)
+        total = stakes.sum()
+        if total < w[i]:
+            continue
+        stakes *= w[i] / total
+        up = chances[i] < own
+        g += (-(1 - own) * stakes if up else own * stakes) / v
+        g[g < EDGE], g[g > 1 - EDGE] = 0.0, 1.0
+        f[i] = float(up)
+
+
 def duels(keys: Sequence[int], words: Sequence[int], fractions: Sequence[float], seed: int) -> list[float]:
-    """Round open fractions pair by pair, largest document first; at most one is left open.
+    """Round open fractions; at most one is left open, the smallest unless larger ones found no stakes enough.
 
-    What a duel leaves open meets the next document, so what is open at the end is as a rule among the smallest.
-    Documents without words give and take nothing; their fractions are 0.
+    Large documents go first, each against the smaller ones together; what is open then is rounded pair by pair, the largest
+    first, and what a duel leaves open meets the next document. Documents without words give and take nothing; their
+    fractions are 0.
     """
     found, at = [f if w else 0.0 for f, w in zip(fractions, words)], None
-    for i in sorted((i for i, f in enumerate(found) if open_(f)), key=lambda i: (-words[i], keys[i])):
+    order = sorted((i for i, f in enumerate(found) if open_(f)), key=lambda i: (-words[i], keys[i]))
+    f = np.array([found[i] for i in order])
+    _against_smaller(f, np.array([words[i] for i in order], float), np.array([_chance(seed, keys[i], -1) for i in order]))
+    for i, x in zip(order, f.tolist()):
+        found[i] = x
+    for i in (i for i in order if open_(found[i])):
         if at is not None:
             found[i], found[at] = _moved(found[i], words[i], found[at], words[at], _chance(seed, keys[i], keys[at]))
         at = i if open_(found[i]) else at if at is not None and open_(found[at]) else None

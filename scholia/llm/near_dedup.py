@@ -168,6 +168,19 @@ def blocks(whole: DataFrame, labels: DataFrame) -> DataFrame:
     return a.union(b).groupBy("tree", "region", "i", "j", "rep", "component").agg(F.max("asked").alias("asked"))
 
 
+def _sets_by_key(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """As _sets, where an id has several texts: reps has rep and set_key, and each set is taken from a text of that key."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["set_key", "set"])
+
+    # A key's sets are equal; one for each is kept by an aggregate, before and after the exchange.
+    found = texts(docs).mapInArrow(run, "set_key binary, set binary").join(reps, "set_key").select("rep", "set")
+    return found.groupBy("rep").agg(F.any_value("set").alias("set"))
+
+
 def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """rep and its set (sorted little-endian 64-bit hashes), from the texts of reps only."""
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
@@ -284,13 +297,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Links join documents with 100 * intersection >= 75 * union of their sets of distinct 5-word shingles; a component
     is named by its smallest doc_id, which is kept. Empty sets are linked with nothing. A null doc_id is alone, with a
-    null component, and kept. Rows that share a doc_id count as one document with all their sets. No rows give no rows.
+    null component, and kept. Rows that share a doc_id count as one document with all their sets: each is a class of its
+    own, and the classes of one doc_id are linked. No rows give no rows.
     """
     spark = docs.sparkSession
     marks = written(signatures(docs), "minhash")
     known = marks.where("doc_id is not null and set_key is not null")
     classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "minhash-classes")
     links = spark.createDataFrame([], "a long, b long")
+    repeated = _repeated(marks)
+    if repeated:  # an id may have several sets, so classes go by numbers of their own
+        classes = written(classes.withColumnRenamed("rep", "low").withColumn("rep", F.monotonically_increasing_id()), "numbered-classes")
+        links = written(_own_links(known, classes), "own-links")
     labels, first, sets = None, 0, None
     forest, dense = [], []
     for trees in ROUNDS:
@@ -304,8 +322,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for whole in dense:
         wanted = wanted.union(whole.select("rep"))
     wanted = written(wanted.distinct(), "region-reps")
-    sets = written(_sets(docs, wanted).dropDuplicates(["rep"]) if _repeated(marks) else _sets(docs, wanted), "region-sets")
-    sigs = classes.select("rep", "sig").dropDuplicates(["rep"])
+    sets = written(_sets_by_key(docs, classes.join(wanted, "rep").select("rep", "set_key")) if repeated else _sets(docs, wanted), "region-sets")
+    sigs = classes.select("rep", "sig")
+    if repeated:
+        labels = written(components(links), "near-labels")
     for found in forest:
         if labels is None:
             placed = found.withColumn("component", F.col("rep"))
@@ -322,6 +342,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if dense:
         links = written(links.union(dense_links(reduce(DataFrame.union, dense), labels, sigs, sets)), "near-links")
         labels = written(components(links), "near-labels")
+    if repeated:
+        lows = labels.join(classes.select("rep", "low"), labels.node == F.col("rep")).groupBy("component").agg(F.min("low").alias("low_of"))
+        labels = labels.join(lows, "component").select("node", F.col("low_of").alias("component"))
+        classes = classes.select("set_key", "n", "rep", "low").join(labels, F.col("rep") == F.col("node"), "left").select("set_key", "n", "rep", F.coalesce("component", "low").alias("low"))
+        labels = classes.select(F.col("rep").alias("node"), F.col("low").alias("component"))
+        classes = classes.drop("low")
     # Classes of one document that is linked with nothing need no join.
     by_class = classes.join(labels, classes.rep == labels.node, "left").where("n > 1 or component is not null")
     by_class = by_class.select("set_key", F.coalesce("component", "rep").alias("component_id"))
@@ -334,6 +360,13 @@ def _repeated(marks: DataFrame) -> bool:
     return not marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
+def _own_links(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between all classes of one doc_id and the first of them."""
+    of = written(known.select("doc_id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep"), "classes-of-ids")
+    first = of.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return of.join(first, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one for each doc_id, with the same columns.
 

@@ -309,3 +309,17 @@ def test_groups_of_equal_texts(spark, odd_docs, no_docs):
         rows = fingerprints.equal_groups(docs).collect()
         assert len(rows) == docs.count()
         assert all(r.group_id in canon[r.doc_id] if r.doc_id is not None else r.group_id is None for r in rows)
+
+
+def test_several_texts_under_one_id(spark):
+    """All sets of an id count as one document's: what is near to any of them is in its component."""
+    rng = random.Random(6)
+    words = lambda: [f"w{rng.randint(0, 10**6)}" for _ in range(80)]
+    near = lambda own: [*own[:-2], "x", "y"]
+    a, b, c, d = words(), words(), words(), words()
+    rows = [(5, a), (5, b), (7, near(a)), (8, near(b)), (9, c), (9, d), (3, near(d)), (11, words()), (-4, near(c)), (None, near(a)), (12, []), (12, words())]
+    docs = spark.createDataFrame([(i, " ".join(t), 1, 2) for i, t in rows], "doc_id long, text string, rep long, low long").repartition(3)
+    found = {(r.doc_id, r.n_shingles): r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert {i: {c for (j, _), c in found.items() if j == i} for i in (5, 7, 8, 9, 3, -4, 11, 12, None)} == {5: {5}, 7: {5}, 8: {5}, 9: {-4}, 3: {-4}, -4: {-4}, 11: {11}, 12: {12}, None: {None}}
+    kept = near_dedup.one_of_each(docs).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["5", "-4", "11", "12", "None"])

@@ -193,6 +193,59 @@ def test_mix(spark, odd_docs, no_docs, monkeypatch):
     assert taken.columns == odd_docs.columns and taken.count() == rows["copies"].sum()
 
 
+def test_mix_meets_targets_and_keeps_means():
+    """Over seeds: each source's words come within 3 % of its target in the mean (12 % at worst: a document's chance stays its
+    rate, so one larger than all that its source takes besides can't be made good), and mean copies are the rate."""
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    docs["size"] = [size_of(x) for x in docs["text"]]
+    sources = sorted(docs["source"].unique())
+    shares = mixing.targets_of([int(docs.loc[docs["source"] == x, "size"].sum()) for x in sources], [i % 3 + 1 for i in range(len(sources))], 3)
+    for source, share in zip(sources, shares):
+        words = docs.loc[docs["source"] == source, "size"].tolist()
+        rate = share / sum(words)
+        f, sums, misses = rate - int(rate), np.zeros(len(words)), []
+        for seed in range(200):
+            found = mixing.duels(range(len(words)), words, [f] * len(words), seed)
+            ends = [i for i, x in enumerate(found) if mixing.open_(x)]
+            assert len(ends) <= 1 and abs(sum(x * w for x, w in zip(found, words)) - f * sum(words)) < 1e-6
+            if seed < 20:
+                taken = sum((int(rate) + round(0 if i in ends else x)) * w for i, (x, w) in enumerate(zip(found, words)))
+                misses.append(abs(taken - share) / share)
+            sums += np.array(found)
+        assert np.mean(misses) <= 0.03 and max(misses) <= 0.12, (source, misses)
+        held = np.array(words) > 0
+        assert (abs(sums[held] / 200 - f) < 0.2).all() and abs((sums[held] / 200).mean() - f) < 0.02
+
+
+def plain_duels(keys, words, fractions, seed):
+    """The same rounding with plain loops over a list, one large document after another."""
+    f = [x if w else 0.0 for x, w in zip(fractions, words)]
+    order = sorted((i for i in range(len(f)) if 1e-12 < f[i] < 1 - 1e-12), key=lambda i: (-words[i], keys[i]))
+    for at, i in enumerate(order[:-1]):
+        if not 1e-12 < f[i] < 1 - 1e-12:
+            continue
+        stakes = {j: min(f[j] * words[j] / (1 - f[i]), (1 - f[j]) * words[j] / f[i]) for j in order[at + 1 :] if 1e-12 < f[j] < 1 - 1e-12}
+        if sum(stakes.values()) < words[i]:
+            continue
+        up = mixing._chance(seed, keys[i], -1) < f[i]
+        for j, stake in stakes.items():
+            share = stake * words[i] / sum(stakes.values())
+            f[j] += (-(1 - f[i]) if up else f[i]) * share / words[j]
+            f[j] = 0.0 if f[j] < 1e-12 else 1.0 if f[j] > 1 - 1e-12 else f[j]
+        f[i] = float(up)
+    return f
+
+
+def test_duels_against_plain_loops():
+    rng = random.Random(8)
+    for seed in range(60):
+        n = rng.randint(1, 30)
+        words, f = [rng.choice([0, 1, 2, 5, 40]) for _ in range(n)], [rng.random() for _ in range(n)]
+        found, plain = mixing.duels(range(n), words, f, seed), plain_duels(range(n), words, f, seed)
+        assert all(x == pytest.approx(y) for x, y in zip(found, plain) if not mixing.open_(y))
+        assert sum(map(mixing.open_, found)) <= 1 and sum(x * w for x, w in zip(found, words)) == pytest.approx(sum(x * w for x, w in zip(f, words)))
+
+
 def test_mix_query(spark):
     rows = QUERIES["op5_mixing"](spark, SF).collect()
     texts = dict(texts_of(spark.read.parquet(f"{SF}/documents.parquet")))
