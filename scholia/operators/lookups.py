@@ -50,18 +50,19 @@ def imported(sheet: DataFrame, fields: Mapping[str, tuple[str, str, Mapping[str,
     return sheet.where(~blank).select(*out)
 
 
-def exported(rows: DataFrame, order: str, size: int, label: str, totals: Sequence[str]) -> DataFrame:
+def exported(rows: DataFrame, order: str, size: int, label: str, totals: Sequence[str], place: str | None = None) -> DataFrame:
     """sheet (from 0), label and totals of the rows in order, size to a sheet, and at the end a row of totals.
 
-    Places come from counts of ranges of order. Values that aren't numbers count as nothing. No rows: a total of zeros.
+    Places come from counts of ranges of order; place names a column for them, null for the totals. Values that aren't
+    numbers count as nothing. No rows: a total of zeros.
     """
     part, at, n = (fresh(rows, c) for c in ("range_part", "range_place", "range_rows"))
     ranged = written(rows.repartitionByRange(order).withColumn(part, F.spark_partition_id()), "sheet-rows")
     counts = ranged.groupBy(part).agg(F.count("*").alias(n))
     base = F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
-    placed = ranged.withColumn(at, place).join(F.broadcast(counts.select(part, base.alias(n))), part)  # one row a task
-    out = placed.select(F.floor((F.col(n) + F.col(at)) / size).alias("sheet"), label, *totals)
+    own = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
+    placed = ranged.withColumn(at, own).join(F.broadcast(counts.select(part, base.alias(n))), part)  # one row a task
+    out = placed.select(F.floor((F.col(n) + F.col(at)) / size).alias("sheet"), label, *totals, *([(F.col(n) + F.col(at)).alias(place)] if place else []))
     number = lambda c: F.coalesce(F.round(F.sum(F.col(c).try_cast("double")), 2), F.lit(0.0)).alias(c)
-    total = ranged.agg(F.greatest(F.ceil(F.count("*") / size) - 1, F.lit(0)).alias("sheet"), F.lit("total").alias(label), *[number(c) for c in totals])
+    total = ranged.agg(F.greatest(F.ceil(F.count("*") / size) - 1, F.lit(0)).alias("sheet"), F.lit("total").alias(label), *[number(c) for c in totals], *([F.lit(None).cast("long").alias(place)] if place else []))
     return out.unionByName(total)
