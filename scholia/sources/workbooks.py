@@ -257,11 +257,5 @@ def read_workbooks(spark: SparkSession, path: str, headers: Sequence[str]) -> Da
                 yield full(held)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content").repartition("path")
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
-    try:
-        out = files.mapInArrow(parse, f"path_ string, sheet_ string, row_ long{', ' * bool(headers)}{quoted}")
-        out._jdf.queryExecution().executedPlan()  # takes the setting
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    return out
+    # Batches of files are bounded in bytes by spark.sql.execution.arrow.maxBytesPerBatch.
+    return files.mapInArrow(parse, f"path_ string, sheet_ string, row_ long{', ' * bool(headers)}{quoted}")
