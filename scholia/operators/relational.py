@@ -186,20 +186,26 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def depths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """node, depth and path of a forest of any depth; roots are nodes whose parent isn't a node, all if there is none.
 
-    One join a level, each a table in the shared folder. Nodes that hang on a circle have no root and are left out,
-    unless all do.
+    Each node points at an ancestor, its parent at first, and then at that one's: pointers double, so rounds (a join and
+    a table in the shared folder each) grow with the logarithm of the depth. Every round brings some node to its root,
+    as long as there is one that has a root; nodes that hang on a circle have none and are left out, unless all do.
     """
     nodes = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    roots = nodes.join(nodes.select(F.col("node").alias("p")), F.col("parent") == F.col("p"), "left_anti")
-    top = written(roots.select("node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path")), "tree")
-    if top.isEmpty():
-        return nodes.select("node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"))
-    level, out = top, top
-    while not level.isEmpty():
-        below = nodes.join(level.select(F.col("node").alias("parent"), F.col("depth").alias("d"), F.col("path").alias("up")), "parent")
-        level = written(below.select("node", (F.col("d") + 1).alias("depth"), F.concat_ws(",", "up", F.col("node").cast("string")).alias("path")), "tree")
-        out = out.unionByName(level)
-    return out
+    known = nodes.select(F.col("node").alias("p")).distinct()
+    root = F.col("node").cast("string").alias("path")
+    closed = written(nodes.join(known, F.col("parent") == F.col("p"), "left_anti").select("node", F.lit(0).alias("depth"), root), "tree")
+    if closed.isEmpty():
+        return nodes.select("node", F.lit(0).alias("depth"), root)
+    open_ = written(nodes.join(known, F.col("parent") == F.col("p"), "left_semi").select("node", F.col("parent").alias("up"), F.lit(1).alias("depth"), root), "tree")
+    while not open_.isEmpty():
+        ahead = open_.unionByName(closed, allowMissingColumns=True).select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("path").alias("head"))
+        moved = open_.join(ahead, F.col("up") == F.col("at")).select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat_ws(",", "head", "path").alias("path"))
+        moved = written(moved, "tree")
+        done = moved.where("up is null").drop("up")
+        if done.isEmpty():
+            break
+        closed, open_ = closed.unionByName(done), moved.where("up is not null")
+    return closed
 
 
 def not_in(df: DataFrame, key: str, values: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from scholia.functions import numbers as N
 from scholia.functions import questions, routing, rowwise
 from scholia.functions import text as T
 from scholia.operators import activity, curriculum, dialogue, lookups, relational, retrieval, rewards, sections
+from scholia.shared import written
 
 
 def value(spark, column, **given):
@@ -279,6 +280,14 @@ def test_not_in(spark):
     assert relational.not_in(keys, "k", values(1, None)).count() == 0 and relational.not_in(keys, "k", values()).count() == 3
 
 
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(relational, "written", lambda df, name: tables.append(name) or written(df, name))
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(5000)] + [(6000, 6001), (6001, 6000), (6002, 6000)], "node int, parent int")
+    rows = {r.node: (r.depth, r.n) for r in relational.depths(chain, "node", "parent").select("node", "depth", F.size(F.split("path", ",")).alias("n")).collect()}
+    assert rows == {i: (i, i + 1) for i in range(5000)} and len(tables) < 20
+
+
 def test_names_that_clash(spark):
     rows = spark.createDataFrame([(1, "a", 5), (2, "a", 6)], "place int, key string, first_place int")
     assert [r.place for r in relational.keep_first(rows, [F.col("key")], [F.col("place")]).collect()] == [1]
