@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dialogue import actions
@@ -89,3 +89,13 @@ def sequence_reward(texts: Column, n_defects: Column, mastery_gain: Column, enga
     learn = c["mu1"] * mastery_gain + c["mu2"] * engagement_gain - c["mu3"] * severity
     total = c["alpha"] * fmt + c["beta"] * rule + c["gamma"] * learn - c["risk_weight"] * risky.cast("double") - F.when(ended, 0.0).otherwise(c["end_penalty"])
     return {"format": fmt, "rule": rule, "learn": learn, "pairs": worth, "loops": loops, "total": total}
+
+
+def rollout_groups(rows: DataFrame, group: str, context: list[str], size: int) -> DataFrame:
+    """group, rollouts, contexts and complete: whether a group has a whole number of `size` rollouts, all of one prompt.
+
+    A rollout's context is the digest of its columns as JSON, nulls included. A null group is a group; no rows give none.
+    """
+    digest = F.sha2(F.to_json(F.struct(*context), {"ignoreNullFields": "false"}), 256)
+    found = rows.select(group, digest.alias("digest")).groupBy(group).agg(F.count("*").alias("rollouts"), F.count_distinct("digest").alias("contexts"))
+    return found.withColumn("complete", (F.col("rollouts") % size == 0) & (F.col("contexts") == 1))

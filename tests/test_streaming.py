@@ -34,3 +34,22 @@ def test_rate_limit(spark, tmp_path):
     found = streamed(spark, tmp_path, lambda s: S.rate_limited_stream(s, 3, 86_400)).where("user_id >= 0")
     batch = S.rate_limited(spark.read.parquet(SF), 3, 86_400)
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_repeats_within_an_interval(spark, tmp_path):
+    """Repeats of one key in the interval go; a later one, beyond the watermark, counts anew."""
+    found = streamed(spark, tmp_path, lambda s: S.once_within(s.union(s), ["event_id"], "1 hour")).where("user_id >= 0")
+    assert sorted(r.event_id for r in found.collect()) == sorted(r.event_id for r in spark.read.parquet(SF).collect())
+
+
+def test_rounds(spark, tmp_path):
+    """One up with each message of a batch, back to 0 on understanding or at the most."""
+    rows = [(1, False), (1, False), (2, True), (3, False)]
+    for i, part in enumerate((rows, [(1, False), (2, False)], [(1, True)])):
+        spark.createDataFrame(part, "user_id long, understood boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("user_id long, understood boolean").parquet(str(tmp_path / "in"))
+        query = S.rounds_stream(stream, 3).writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+    found = sorted((r.user_id, r.rounds) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == [(1, 0), (1, 0), (1, 2), (2, 0), (2, 1), (3, 1)]
