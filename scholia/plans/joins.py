@@ -126,10 +126,10 @@ def jn_latest_open(t: Tables) -> DataFrame:
     return rows.where("event_type = 'purchase'").select("event_id", "opened")
 
 
-@query("SELECT o_custkey, string_agg(p_name, ';' ORDER BY ord, l_partkey, p_name) AS names FROM (SELECT o_custkey, o_orderkey AS ord, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1) JOIN part ON p_partkey = l_partkey GROUP BY o_custkey")
+@query("SELECT o_custkey, string_agg(p_name, ';' ORDER BY ord, l_partkey, p_name) AS names FROM (SELECT o_custkey, o_orderkey AS ord, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) JOIN part ON p_partkey = l_partkey GROUP BY o_custkey")
 def jn_id_list(t: Tables) -> DataFrame:
     """A stored list of ids, looked up one by one and joined again in its order."""
-    lists = t.orders.join(t.lineitem.where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(
+    lists = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), " ").alias("ids"))
     ids = lists.select("o_custkey", F.posexplode(F.split("ids", " ")).alias("pos", "id")).withColumn("p_partkey", F.col("id").cast("long"))
     named = ids.join(t.part.select("p_partkey", "p_name"), "p_partkey")
