@@ -108,7 +108,7 @@ def src_daily(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "daily")
     for part in ("event_type = 'click'", "event_type <> 'click' OR event_type IS NULL"):
         R.append_daily(rows.where(part), path)
-    days = t.spark.read.parquet(path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    days = t.spark.read.schema(rows.schema).parquet(path).groupBy("day")
     return days.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.min("event_id").alias("first"))
 
 

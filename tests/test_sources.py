@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholia.functions import text as T_
+from scholia.plans import registry
 from scholia.sources import adapters as A
 from scholia.sources import readers as R
 
@@ -16,6 +17,7 @@ SCHEMA = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.St
 def test_jsonl(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1, "b": "é"}\n\nnot json\n{"a": 2}\n')
     assert sorted(R.read_jsonl(spark, str(tmp_path / "x.jsonl"), SCHEMA).collect()) == [(1, "é"), (2, None)]
+    assert R.read_jsonl(spark, str(tmp_path / "x.jsonl"), SCHEMA).count() == 2
     assert R.read_jsonl(spark, str(tmp_path / "none.jsonl"), SCHEMA).count() == 0
     R.write_jsonl(spark.createDataFrame([(3, None)], SCHEMA), str(tmp_path / "out"))
     assert R.read_jsonl(spark, str(tmp_path / "out"), SCHEMA).collect() == [(3, None)]
@@ -83,3 +85,10 @@ def test_records(spark):
     rows = spark.createDataFrame([("i1", "3", "1"), ("i2", "", "0"), ("i3", "9", None)], "`Image Name` string, `Retinopathy grade` string, `Risk of macular edema` string")
     found = A.graded_images(rows, {}, "/img/").orderBy("image").collect()
     assert [r.image for r in found] == ["/img/i1.jpg", "/img/i3.jpg"] and found[0].gt_label.endswith("(Severe NPDR)") and found[1].gt_label == A.OTHER_GRADE + "9"
+
+
+@pytest.mark.parametrize("name", ["src_jsonl", "src_json_shapes", "src_exam_csv", "src_articles", "src_daily"])
+def test_formats_of_empty_tables(spark, tmp_path, name):
+    for table in ("documents", "customer", "part", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
