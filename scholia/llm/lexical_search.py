@@ -32,6 +32,9 @@ SEGMENT_POSTINGS, SEGMENT_DOCS = 400_000, 60_000
 BLOCK_TERMS = 200_000
 #: Segments handed to Python at once, and bytes of a row group of the index.
 SEGMENT_ROWS, GROUP_BYTES = 8, 16 << 20
+#: How Parquet keeps GROUP_BYTES: it looks at the size of a group after each row, where it would after a hundred; readers
+#: hold a whole group, and a segment is megabytes.
+GROUPS = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: Characters of terms; the contract's.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEGMENT = "doc_ids array<bigint>, norms array<bigint>, n_docs int, terms array<string>, sizes array<int>, ordinals binary, impacts binary, tfs binary"
@@ -154,7 +157,7 @@ def build_index(docs: DataFrame) -> Index:
             yield segment.row()
 
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, SEGMENT)
-    return Index(written(rows, "lexical-index", compression="zstd", **{"parquet.block.size": str(GROUP_BYTES)}), n_docs, n_terms)
+    return Index(written(rows, "lexical-index", compression="zstd", **GROUPS), n_docs, n_terms)
 
 
 def item_terms(items: DataFrame) -> DataFrame:

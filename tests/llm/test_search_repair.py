@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
 from scholia.llm import conversation_repair, lexical_search, url_filters
@@ -295,3 +296,12 @@ def test_a_conversation_in_many_pieces(spark):
         faulty.append((role[0], conversation_repair.DUPLICATE if (role, text) in seen else 0 if text[-1] == "." else conversation_repair.CUT))
         seen.add((role, text))
     assert found[6] == conversation_repair.walk(faulty, 0, conversation_repair.AT_END, True)[0]
+
+
+def test_row_groups_of_the_index_are_bounded(spark, monkeypatch):
+    """A task that writes many segments closes a row group by bytes after any segment, not after a hundred."""
+    monkeypatch.setitem(lexical_search.GROUPS, "parquet.block.size", "4096")
+    index = lexical_search.build_index(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in index.segments.inputFiles()]
+    sizes = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(sizes) > 4 and max(sizes) <= 2
