@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
+from .exact_search import Block
 
 
 def fixed_chunks(docs: DataFrame, key: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -39,7 +43,7 @@ def terms(text: Column) -> Column:
 
 
 #: Terms of all queries that are broadcast at most; queries of one block of an exact search.
-BROADCAST_TERMS, BLOCK = 500_000, 1024
+BROADCAST_TERMS, BLOCK = 500_000, 4096
 
 
 def asked_terms(queries: DataFrame, query_key: str) -> DataFrame:
@@ -101,26 +105,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, co
     """query_key, key, score and rank of each query's k best vectors but the one of its own key, by exact search.
 
     metric: inner (largest inner product first) or l2 (smallest distance first); unit: queries are normalised first.
-    Queries come in blocks of BLOCK, each one broadcast row that every vector meets; each task keeps its k best of a
-    query before the exchange.
+    Queries come in blocks of BLOCK, which every vector meets as a matrix; each task keeps what may be among the k best of
+    a query. Lists that are null, hold nulls or differ in length have a null score, which comes last.
     """
     if metric not in ("inner", "l2"):
         raise ValueError(f"no such metric: {metric}")
     own = normalised(F.col(column)) if unit else F.col(column)
-    asked = written(queries.select(F.col(query_key), own.alias("v"), F.pmod(F.xxhash64(query_key), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("block")), "asked")
-    score = similarity if metric == "inner" else distance
-    order = F.desc("score") if metric == "inner" else F.asc("score")
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(order, key))
+    n_blocks = max(1, -(-queries.count() // BLOCK))
+    asked = written(queries.where(F.col(query_key).isNotNull()).select(F.col(query_key), own.alias("v"), F.pmod(F.xxhash64(query_key), F.lit(n_blocks)).alias("block")), "asked")
+    others = vectors.where(F.col(key).isNotNull()).select(key, F.col(column).alias("v"))
+    kinds = dict(vectors.dtypes)[key], dict(queries.dtypes)[query_key]
     out = None
-    for block in sorted(r[0] for r in asked.select("block").distinct().collect()):  # one number for each BLOCK queries
-        one = asked.where(F.col("block") == block).agg(F.collect_list(F.struct(F.col(query_key), "v")).alias("qs"))
-        rows = vectors.join(F.broadcast(one)).select(key, F.col(column).alias("v"), F.explode("qs").alias("q"))
-        rows = rows.select(F.col(f"q.{query_key}").alias(query_key), key, F.round(score(F.col("v"), F.col("q.v")), 6).alias("score")).where(F.col(key) != F.col(query_key))
-        rows = rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    for block in range(n_blocks):
+        one = asked.where(F.col("block") == block).select(query_key, "v").toArrow().combine_chunks()  # BLOCK rows
+        if not one.num_rows:
+            continue
+        rows = others.mapInArrow(_searcher(one, k, metric, key, query_key), f"`{query_key}` {kinds[1]}, `{key}` {kinds[0]}, score double")
+        rows = rows if n_blocks == 1 else written(rows, "nearest")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         return vectors.limit(0).select(F.col(key).alias(query_key), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    return out
+    order = F.desc_nulls_last("score") if metric == "inner" else F.asc_nulls_last("score")
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(order, key))
+    return out.withColumn("score", F.round("score", 6)).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _searcher(asked: pa.Table, k: int, metric: str, key: str, query_key: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does with its vectors and one block of queries."""
+    keys, lists = (x.combine_chunks() for x in asked.columns)
+    block, kind = Block(keys.to_numpy(zero_copy_only=False), lists, k, metric), keys.type
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for query, found, score in block.search(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(query, kind), pa.array(found), score], [query_key, key, "score"])
+
+    return run
 
 
 def over_fetched(k: int) -> int:
