@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +34,11 @@ def answer_numbers(answer: Column) -> Column:
     return F.translate(F.regexp_replace(answer, "[^A-F]", ""), "ABCDEF", "123456")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of value, which is worked out once however often then names it, in lambdas too."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def options_block(options: Column) -> Column:
     """`X. text` lines of a letter-to-text map, by letter, without blank ones."""
     entries = F.filter(F.array_sort(F.map_entries(options)), lambda e: F.trim(e["value"]) != "")
@@ -47,10 +52,9 @@ def parsed_options(block: Column) -> Column:
     A to J in either case, and blank ones go.
     """
     line, inline = r"(?m)^[ \t]*([A-Ja-j])(?:[ \t]*[.、:：)）][ \t]*|[ \t]+)(\S[^\n]*?)[ \t\r]*$", r"([A-Ja-j])\s*[.、:：)）]\s*([^A-Ja-j]*)"
-    found = lambda pattern: F.arrays_zip(F.regexp_extract_all(block, F.lit(pattern), 1).alias("k"), F.regexp_extract_all(block, F.lit(pattern), 2).alias("v"))
-    lines, places = found(line), found(inline)
-    places = F.when(F.size(places) >= 2, F.filter(places, lambda p: F.trim(p["v"]) != "")).otherwise(F.filter(places, lambda p: F.lit(False)))
-    return last_of_each(F.when(F.size(lines) > 0, lines).otherwise(places))
+    found = lambda own, pattern: F.arrays_zip(F.regexp_extract_all(own, F.lit(pattern), 1).alias("k"), F.regexp_extract_all(own, F.lit(pattern), 2).alias("v"))
+    several = lambda places: F.when(F.size(places) >= 2, F.filter(places, lambda p: F.trim(p["v"]) != "")).otherwise(F.filter(places, lambda p: F.lit(False)))
+    return once(block, lambda own: last_of_each(once(found(own, line), lambda lines: F.when(F.size(lines) > 0, lines).otherwise(once(found(own, inline), several)))))
 
 
 def listed_options(values: Column) -> Column:
@@ -76,7 +80,7 @@ def named_options(values: Column) -> Column:
 def last_of_each(pairs: Column) -> Column:
     """Map of an array of struct(k, v), keys in upper case and texts trimmed; of equal keys the last."""
     upper = F.transform(pairs, lambda p, i: F.struct(F.upper(p["k"]).alias("k"), F.trim(p["v"]).alias("v"), i.alias("i")))
-    last = F.filter(upper, lambda p: ~F.exists(upper, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
+    last = once(upper, lambda own: F.filter(own, lambda p: ~F.exists(own, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"]))))
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value"))))
 
 

@@ -48,14 +48,18 @@ def exam_records(rows: DataFrame, source: str, columns: Mapping[str, str], names
     """
     names = names or {"question": "Question", "options": "Options", "answer": "Answer", "explanation": "Explanation", "subject": "Subject"}
     field = lambda key: picked(rows, columns, key, names[key])
-    own = parsed_options(field("options")) if options is None else options
-    letters = answer_letters(field("answer"))
+    subject = columns.get("subject", names.get("subject", "")) in rows.columns
+    # Columns of their own, so that options, letters and answer are worked out once.
+    parsed = parsed_options(field("options")) if options is None else options
+    rows = rows.where(field("question") != "").select("*", parsed.alias("own options"), answer_letters(field("answer")).alias("own letters"))
+    own, letters = F.col("own options"), F.col("own letters")
     # Letters are distinct and in order, as the sorted entries are.
     texts = F.array_join(F.transform(F.filter(F.array_sort(F.map_entries(own)), lambda e: letters.contains(e["key"])), lambda e: e["value"]), "; ")
-    answer = F.when(texts != "", texts).otherwise(field("answer"))
-    subject = columns.get("subject", names.get("subject", "")) in rows.columns
+    rows = rows.withColumn("own texts", texts)
+    rows = rows.withColumn("own answer", F.when(F.col("own texts") != "", F.col("own texts")).otherwise(field("answer")))
+    answer = F.col("own answer")
     more = {"meta": F.create_map(F.lit("exam_subject"), field("subject"))} if subject else {}
-    return _record(rows.where(field("question") != ""), keep, source=source, stem=field("question"), options=own, answer_letter=letters, answer=answer, explanation=field("explanation"), gt_label=answer, **more)
+    return _record(rows, keep, source=source, stem=field("question"), options=own, answer_letter=letters, answer=answer, explanation=field("explanation"), gt_label=answer, **more)
 
 
 #: Names of exam questions in JSON.
@@ -65,10 +69,11 @@ JSON_NAMES = {"question": "question", "options": "option", "answer": "answer", "
 def generic_records(rows: DataFrame, columns: Mapping[str, str], options: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Records whose answer is a text: its letter is that of the first option with this text, or empty."""
     field = lambda key: picked(rows, columns, key, key)
-    own = parsed_options(field("options")) if options is None else options
+    rows = rows.where(field("question") != "").withColumn("own options", parsed_options(field("options")) if options is None else options)
+    own = F.col("own options")
     hit = F.filter(F.map_entries(own), lambda e: e["value"] == field("answer"))
     letter = F.coalesce(F.get(hit, F.lit(0))["key"], F.lit(""))
-    return _record(rows.where(field("question") != ""), keep, source="generic_jsonl", stem=field("question"), options=own, answer_letter=letter, answer=field("answer"), explanation=field("explanation"), gt_label=field("answer"))
+    return _record(rows, keep, source="generic_jsonl", stem=field("question"), options=own, answer_letter=letter, answer=field("answer"), explanation=field("explanation"), gt_label=field("answer"))
 
 
 def graded_images(rows: DataFrame, columns: Mapping[str, str], folder: str = "", keep: Sequence[str] = ()) -> DataFrame:
