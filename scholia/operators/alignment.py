@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 
 #: The label of a token that nobody is taught.
 UNLABELLED = -100
+#: Examples that a task has as Python lists at a time.
+PART = 32
+
+
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of PART at most: numbers take many times more room as Python lists than in Arrow."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART)
 
 
 def action_owners(ids: Sequence[int], labels: Sequence[int], bodies: Sequence[Sequence[int]], credits: Sequence[int | None], harmless: Collection[int]) -> tuple[list[int] | None, str | None]:
@@ -58,7 +67,7 @@ def aligned(rows: DataFrame, key: str, harmless: Collection[int]) -> DataFrame:
     kept = frozenset(harmless)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [action_owners(ids or [], labels or [], bodies or [], credits or [None] * len(bodies or []), kept) for ids, labels, bodies, credits in zip(*(batch.column(c).to_pylist() for c in ("ids", "labels", "bodies", "credits")))]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.string())], [key, "owners", "problem"])
 

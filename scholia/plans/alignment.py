@@ -31,7 +31,7 @@ def examples(turns: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
-        for batch in batches:
+        for batch in A.parts(batches):
             out = []
             for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist()):
                 ids, labels, bodies = [], [], []

@@ -97,7 +97,7 @@ def test_formats_of_empty_tables(spark, tmp_path, name):
 def test_options_are_parsed_once(spark):
     """A plan names each of the four extractions of a block once, whatever is made of the options."""
     rows = spark.createDataFrame([("q", "A. x\nB. y", "B", "e")], "Question string, Options string, Answer string, Explanation string")
-    block = rows.select(T_.options_block(T.parsed_options(T.options_block(T.parsed_options(F.col("Options"))))).alias("b"))
+    block = rows.select(T_.options_block(T_.parsed_options(T_.options_block(T_.parsed_options(F.col("Options"))))).alias("b"))
     exam = A.exam_records(rows, "exam", {})
     named = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
     assert named(block) == 8 and named(exam.select("options", "answer", "gt_label", "answer_letter")) <= 5
