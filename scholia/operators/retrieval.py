@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..shared import written
 from .exact_search import Block
+from .term_search import blocks
 
 
 def fixed_chunks(docs: DataFrame, key: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -84,6 +85,21 @@ def bm25_of(hits: DataFrame, docs: int, mean: float, asked: DataFrame, key: str,
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def bm25_and_counts(docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, k1: float = 0.9, b: float = 0.4) -> list[DataFrame]:
+    """As bm25, and the same with the occurrences of a query's terms as score, from one pass over the texts."""
+    found = blocks(docs, queries, key, query_key)
+    return [first_ranked(lists, docs, queries, key, query_key, k) for lists in ([x.bm25(k, k1, b) for x in found], [x.counts(k) for x in found])]
+
+
+def first_ranked(lists: list[DataFrame], docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int) -> DataFrame:
+    """query_key, key, score and rank of the k highest scores of a query, of lists with query_key, key and score."""
+    rows = queries.limit(0).select(query_key, F.lit(None).cast(docs.schema[key].dataType).alias(key), F.lit(0.0).alias("score"))
+    for own in lists:
+        rows = rows.unionByName(own)
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc_nulls_last(key)))
+    return rows.withColumn("score", F.round("score", 6)).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Inner product of two lists, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
@@ -73,13 +73,7 @@ f2 AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (100 + rank)), 9) AS scor
 SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f2 QUALIFY rank <= 32""")
 def ret_fusion(t: Tables) -> DataFrame:
     """Two rankings fused by reciprocal ranks."""
-    most = R.over_fetched(32)
-    asked = R.asked_terms(t.benchmark, "item_id")
-    hits, docs, mean = R.term_hits(t.documents, asked, "doc_id")
-    best = R.bm25_of(hits, docs, mean, asked, "doc_id", "item_id", most)
-    few = F.broadcast(asked) if asked.count() <= R.BROADCAST_TERMS else asked
-    counts = hits.join(few, "term").groupBy("item_id", "doc_id").agg(F.sum("tf").alias("tf"))
-    overlap = counts.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("tf"), "doc_id"))).where(F.col("rank") <= most)
+    best, overlap = R.bm25_and_counts(t.documents, t.benchmark, "doc_id", "item_id", R.over_fetched(32))
     return R.fused([best, overlap], "item_id", "doc_id", 32)
 
 
