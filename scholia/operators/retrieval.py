@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
@@ -38,51 +38,13 @@ def sharded_names(docs: DataFrame, key: str, size: int = 10_000) -> DataFrame:
     return rows.select(key, F.lpad(F.floor((F.col("base") + F.col("place")) / size).cast("string"), 6, "0").alias("shard"))
 
 
-def terms(text: Column) -> Column:
-    """Words of letters and digits, folded."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-#: Terms of all queries that are broadcast at most; queries of one block of an exact search.
-BROADCAST_TERMS, BLOCK = 500_000, 4096
-
-
-def asked_terms(queries: DataFrame, query_key: str) -> DataFrame:
-    """query_key and each distinct term of a query's text."""
-    return queries.select(query_key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-
-
-def term_hits(docs: DataFrame, asked: DataFrame, key: str) -> tuple[DataFrame, int, float]:
-    """key, length, term and tf of asked terms in documents, the number of documents and their mean length.
-
-    One pass splits the texts; what isn't asked for goes before any exchange, and counts are merged before theirs.
-    """
-    seen = Observation("corpus")
-    words = asked.select("term").distinct()
-    words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
-    rows = docs.select(key, terms(F.col("text")).alias("w")).withColumn("length", F.size("w"))
-    rows = rows.observe(seen, F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
-    found = rows.select(key, "length", F.explode("w").alias("term")).join(words, "term", "left_semi")
-    found = written(found.groupBy(key, "length", "term").agg(F.count("*").alias("tf")), "term-hits")
-    return found, seen.get["docs"], seen.get["mean"]
+#: Queries of one block of an exact search.
+BLOCK = 4096
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """query_key, key, score and rank of the k best documents of each query (query_key, text)."""
-    asked = asked_terms(queries, query_key)
-    return bm25_of(*term_hits(docs, asked, key), asked, key, query_key, k, k1, b)
-
-
-def bm25_of(hits: DataFrame, docs: int, mean: float, asked: DataFrame, key: str, query_key: str, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """As bm25, of term_hits: hits meet the queries' terms and weights without an exchange by term where these are few."""
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "term").select(query_key, "term", idf.alias("idf"))
-    weights = F.broadcast(weights) if asked.count() <= BROADCAST_TERMS else weights
-    weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean or 1.0)))
-    scores = hits.join(weights, "term").groupBy(query_key, key).agg(F.round(F.sum(weight), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    return first_ranked([x.bm25(k, k1, b) for x in blocks(docs, queries, key, query_key)], docs, queries, key, query_key, k)
 
 
 def bm25_and_counts(docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, k1: float = 0.9, b: float = 0.4) -> list[DataFrame]:

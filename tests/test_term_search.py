@@ -23,7 +23,7 @@ def odd(seed=5):
     return docs, [(r.choice([None, *range(12)]), r.choice([None, "", text(3), text(6)])) for _ in range(30)]
 
 
-@pytest.mark.parametrize("name", ["ret_fusion"])
+@pytest.mark.parametrize("name", ["ret_bm25", "ret_fusion"])
 def test_odd_rows(spark, tmp_path, name):
     docs, items = odd()
     spark.createDataFrame(docs, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
