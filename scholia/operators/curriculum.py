@@ -6,6 +6,9 @@ completed. Actions are numbers from 0 to 26: macro (advance, review, remedy) * 9
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ TIRING_STYLE = (-0.025, 0.0, 0.025)
 PREREQUISITES = ((), (0,), (1,), (1, 2), (2, 3), (4,))
 MAX_STEPS, MASTERED, MISTAKEN = 40, 0.70, 0.35
 ACTIONS = 27
+#: Bytes of a method that the JVM compiles at most.
+HUGE_METHOD = 8000
 MISFIT, DIFFICULTY_STEP, DIFFICULTY_FLOOR, REMEDY, REWARD_SCALE = 0.82, 0.25, 0.45, 0.85, 5.0
 
 
@@ -67,24 +72,46 @@ def ready(state: Column, node: Column) -> Column:
     return (F.get(state["mastery"], node) >= MASTERED) & (F.get(state["misconception"], node) <= MISTAKEN)
 
 
-def _needs(node: Column) -> Column:
-    """The courses that a course needs."""
-    return F.get(F.array(*[F.array(*map(F.lit, p)).cast("array<int>") for p in PREREQUISITES]), node)
+def _by_course(node: Column, values: list[Column]) -> Column:
+    """The value of a course; null for what is none."""
+    out = F.when(node == 0, values[0])
+    for i, value in enumerate(values[1:], 1):
+        out = out.when(node == i, value)
+    return out
+
+
+def _weakest(state: Column) -> Column:
+    """Of the courses that the own one needs and that aren't ready, the weakest (of equals the first); null if there is none."""
+
+    def of(needs: tuple[int, ...]) -> Column:
+        weak = [F.when(~ready(state, F.lit(p)), F.struct(F.get(state["mastery"], F.lit(p)).alias("m"), F.lit(i).alias("i"), F.lit(p).alias("p"))) for i, p in enumerate(needs)]
+        return (F.least(*weak) if len(weak) > 1 else weak[0])["p"] if weak else F.lit(None).cast("int")
+
+    return _by_course(state["position"], [of(p) for p in PREREQUISITES])
+
+
+def may_advance(state: Column) -> Column:
+    """Whether the own course is ready, and all that the next one needs."""
+    after = F.least(state["position"] + 1, F.lit(len(PREREQUISITES) - 1))
+    needed = [reduce(and_, [ready(state, F.lit(p)) for p in needs], F.lit(True)) for needs in PREREQUISITES]
+    return ready(state, state["position"]) & _by_course(after, needed)
 
 
 def target_node(state: Column, macro: Column) -> Column:
     """The course an action is aimed at: the next one to advance, of a review the weakest one that the own one needs and
     that isn't ready (of equals the first), else the own one."""
     n, position = len(PREREQUISITES), state["position"]
-    weak = F.filter(_needs(position), lambda p: ~ready(state, p))
-    weakest = F.array_min(F.transform(weak, lambda p, i: F.struct(F.get(state["mastery"], p).alias("m"), i.alias("i"), p.alias("p"))))["p"]
-    return F.when(macro == 0, F.least(position + 1, F.lit(n - 1))).when(macro == 1, F.coalesce(weakest, position)).otherwise(position)
+    return F.when(macro == 0, F.least(position + 1, F.lit(n - 1))).when(macro == 1, F.coalesce(_weakest(state), position)).otherwise(position)
+
+
+def is_open(state: Column) -> Column:
+    """Whether the curriculum is neither completed nor its steps used up."""
+    return ~F.coalesce(state["completed"], F.lit(False)) & (state["step"] < MAX_STEPS)
 
 
 def mask(state: Column) -> Column:
     """The permitted actions, in order; none where the curriculum is completed or the steps are used up."""
-    after = F.least(state["position"] + 1, F.lit(len(PREREQUISITES) - 1))
-    advance = ready(state, state["position"]) & F.forall(_needs(after), lambda p: ready(state, p))
+    advance = may_advance(state)
     targets = F.array(*[target_node(state, F.lit(m)) for m in range(3)])
 
     def permitted(a):
@@ -93,8 +120,7 @@ def mask(state: Column) -> Column:
         own = F.get(state["misconception"], state["position"])
         return allowed(macro, difficulty, style, mastery, own, state["engagement"], state["fatigue"], state["profile"], advance)
 
-    open_ = ~F.coalesce(state["completed"], F.lit(False)) & (state["step"] < MAX_STEPS)
-    return F.when(open_, F.filter(F.sequence(F.lit(0), F.lit(ACTIONS - 1)), permitted)).otherwise(F.array().cast("array<int>"))
+    return F.when(is_open(state), F.filter(F.sequence(F.lit(0), F.lit(ACTIONS - 1)), permitted)).otherwise(F.array().cast("array<int>"))
 
 
 def policy(state: Column, valid: Column) -> Column:
@@ -112,21 +138,50 @@ def policy(state: Column, valid: Column) -> Column:
     return -F.array_max(F.transform(valid, lambda a: F.struct(score(a).alias("s"), (-a).alias("a"))))["a"]
 
 
+def heuristic(state: Column, advance: Column, macro: Column, node: Column) -> Column:
+    """What policy chooses of the mask of a state that is open: advance is may_advance, macro and node what it wants.
+
+    The mask is a product: macro, difficulty and style each permit their values by themselves, 0 of the last two always,
+    and the macro that is wanted too. So each is the wanted value, if permitted, else the first. Without a profile no
+    action is preferred, and the first permitted one is chosen.
+    """
+    fatigue, mastery = state["fatigue"], F.get(state["mastery"], node)
+    difficulty = F.when((mastery < 0.35) | (fatigue > 0.45), 0).when(fatigue <= 0.85, 1).otherwise(0)
+    fitting = _of(FITTING_STYLE, state["profile"])
+    style = F.when(fitting != 2, fitting).when((state["engagement"] >= 0.40) & (fatigue <= 0.65), 2).otherwise(0)
+    return F.when(state["profile"].isNull(), F.when(advance, 0).otherwise(9)).otherwise(macro * 9 + difficulty * 3 + style)
+
+
+def wanted_macro(state: Column, advance: Column) -> Column:
+    """The macro action that the heuristic wants: to advance where it may, a remedy of much misconception, else a review."""
+    return F.when(advance, 0).when(F.get(state["misconception"], state["position"]) > 0.28, 2).otherwise(1)
+
+
 def taken(state: Column, action: Column) -> Column:
     """What an action does without noise: next (a state), node, reward, terminated, truncated and successful.
 
     To advance from the last course completes the curriculum, with the full reward. The last step that doesn't is
     truncated, at a cost. Successful: a positive reward with 0.02 more mastery, 0.03 less misconception, or an advance.
     """
+    macro, node = F.floor(action / 9).cast("int"), target_node(state, F.floor(action / 9).cast("int"))
+    return outcome(state, macro, node, effect(state, action, node))
+
+
+def effect(state: Column, action: Column, node: Column) -> dict[str, Column]:
+    """What step gives for an action that is aimed at a course."""
     macro, difficulty, style = (F.floor(x).cast("int") for x in (action / 9, action % 9 / 3, action % 3))
-    node = target_node(state, macro)
-    graduates = (macro == 0) & (state["position"] == len(PREREQUISITES) - 1)
+    return step(F.get(state["mastery"], node), F.get(state["misconception"], node), state["engagement"], state["fatigue"], state["profile"], macro, difficulty, style)
+
+
+def outcome(state: Column, macro: Column, node: Column, after: dict[str, Column]) -> Column:
+    """As taken, of an action's effect."""
     mastery, misconception = F.get(state["mastery"], node), F.get(state["misconception"], node)
-    after = step(mastery, misconception, state["engagement"], state["fatigue"], state["profile"], macro, difficulty, style)
+    graduates = (macro == 0) & (state["position"] == len(PREREQUISITES) - 1)
     truncated = ~graduates & (state["step"] + 1 >= MAX_STEPS)
     raw = _raw(mastery, misconception, state["engagement"], state["fatigue"], macro, after) - F.when(truncated, 1.0).otherwise(0.0)
     reward = F.when(graduates, 1.0).otherwise(clamp(raw / REWARD_SCALE, -1.0, 1.0))
-    put = lambda values, new: F.transform(values, lambda v, i: F.when((i == node) & ~graduates, new).otherwise(v))
+    own = [F.when((node == i) & ~graduates, True).otherwise(False) for i in range(len(PREREQUISITES))]
+    put = lambda values, new: F.when(values.isNotNull(), F.array(*[F.when(x, new).otherwise(F.get(values, F.lit(i))) for i, x in enumerate(own)]))
     keep = lambda name: F.when(graduates, state[name]).otherwise(after[name])
     following = F.struct(
         put(state["mastery"], after["mastery"]).alias("mastery"),
@@ -145,16 +200,48 @@ def taken(state: Column, action: Column) -> Column:
 def episodes(states: DataFrame, key: str, state: str, steps: int = MAX_STEPS) -> DataFrame:
     """key, n, action and what taken gives of each step of the heuristic's noise-free episodes, until all have ended.
 
-    Each step is one map over the open episodes, written to the shared folder, so plans don't grow with the steps.
+    Each step is one map over the open episodes, written to the shared folder, so plans don't grow with the steps. What
+    later columns use more than once is a column first, and none is a function of lists, so that a step is compiled: in
+    as many parts as the JVM needs (it runs methods beyond HUGE_METHOD uncompiled, which is what one for all would be).
     """
-    out, open_ = None, states.select(key, F.col(state).alias("s"))
+    conf, limit = states.sparkSession.conf, "spark.sql.codegen.hugeMethodLimit"
+    before = conf.get(limit)
+    conf.set(limit, str(HUGE_METHOD))
+    try:
+        return _episodes(states.select(key, F.col(state).alias("s")), key, steps)
+    finally:
+        conf.set(limit, before)
+
+
+def _episodes(open_: DataFrame, key: str, steps: int) -> DataFrame:
+    out, layers = None, _layers()
     for n in range(steps):
-        chosen = written(open_.withColumn("valid", mask(F.col("s"))), "episode-masks").where(F.size("valid") > 0)
-        chosen = written(chosen.select(key, "s", policy(F.col("s"), F.col("valid")).cast("int").alias("action")), "episode-actions")
-        rows = written(chosen.select(key, F.lit(n).alias("n"), "action", taken(F.col("s"), F.col("action")).alias("t")), "episodes")
+        rows = open_.where(is_open(F.col("s")))
+        for layer in layers:
+            rows = rows.withColumns(layer)
+        last = n == steps - 1
+        rows = written(rows.select(key, F.lit(n).alias("n"), "action", F.col("t").dropFields("next").alias("t") if last else "t"), "episodes")
         step_ = rows.select(key, "n", "action", "t.node", "t.reward", "t.terminated", "t.truncated", "t.successful")
         out = step_ if out is None else out.unionByName(step_)
+        if last:
+            break
         open_ = rows.where("NOT t.terminated AND NOT t.truncated").select(key, F.col("t.next").alias("s"))
         if open_.isEmpty():
             break
     return out
+
+
+def _layers() -> list[dict[str, Column]]:
+    """The columns of a step from state s to action and t, each layer's from those before it."""
+    s, advance, wanted, action, macro, node = map(F.col, ("s", "advance", "wanted", "action", "macro", "node"))
+    after = effect(s, action, node)
+    return [
+        {"advance": may_advance(s)},
+        {"wanted": wanted_macro(s, advance)},
+        {"aim": target_node(s, wanted)},
+        {"action": heuristic(s, advance, wanted, F.col("aim")).cast("int")},
+        {"macro": F.floor(action / 9).cast("int")},
+        {"node": target_node(s, macro)},
+        {f"after_{x}": c for x, c in after.items()},
+        {"t": outcome(s, macro, node, {x: F.col(f"after_{x}") for x in after})},
+    ]

@@ -1,6 +1,7 @@
 """Literal cases of column functions and operators."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -255,6 +256,28 @@ def test_curriculum_ends(spark):
     assert value(spark, curriculum.policy(learner(), curriculum.mask(learner()))) == 4
 
 
+def test_heuristic(spark):
+    """What the heuristic chooses is policy's choice of the mask, and episodes are policy and taken step by step."""
+    values = [None, float("nan"), 0.0, 0.1, 0.12, 0.3, 0.34, 0.35, 0.4, 0.45, 0.5, 0.65, 0.7, 0.86, 1.0]
+    r = random.Random(3)
+    good = lambda: [r.choice([0.7, 0.8, 0.9, *values[:3], *values]) for _ in range(6)]
+    low = lambda: [r.choice([0.1, 0.2, 0.3, *values]) for _ in range(6)]
+    rows = [(i, (good(), low(), r.choice(values), r.choice(values), r.choice([None, *range(6)]), r.choice([None, 0, 1, 2]), r.choice([None, 0, 30, 38, 39, 40]), r.choice([None, False, False, True]))) for i in range(600)]
+    kind = "mastery array<double>, misconception array<double>, engagement double, fatigue double, position int, profile int, step int, completed boolean"
+    states = spark.createDataFrame(rows, f"k int, s struct<{kind}>").localCheckpoint()
+    done, s = states, F.col("s")
+    expected = []
+    for n in range(3):
+        chosen = done.select("k", "s", curriculum.mask(s).alias("m")).where("size(m) > 0").localCheckpoint()
+        chosen = chosen.select("k", "s", curriculum.policy(s, F.col("m")).alias("action")).localCheckpoint()
+        chosen = chosen.select("k", "action", curriculum.taken(s, F.col("action")).alias("t")).localCheckpoint()
+        expected += chosen.selectExpr("k", f"{n} AS n", "action", "t.node", "t.reward", "t.terminated", "t.truncated", "t.successful").collect()
+        done = chosen.where("NOT t.terminated AND NOT t.truncated").selectExpr("k", "t.next AS s")
+    found = curriculum.episodes(states, "k", "s", 3)
+    assert len(expected) > 600 and sorted(map(repr, found.collect())) == sorted(map(repr, expected))
+    assert "transform" not in "".join(map(str, curriculum._layers()))
+
+
 def test_section_chunks():
     pair = "".join(f"<i>{'y' * 600}</i>" for _ in range(2))
     xml = f"<a><title>T</title><sec><title>S</title><p>{'x' * 300}</p><p>short</p><p><bold>Sub</bold></p><list><i>a</i><i>b <b>c</b> d</i></list><p>after</p><list>{pair}</list><p>end?</p></sec></a>"
